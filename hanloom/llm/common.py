@@ -8,6 +8,7 @@ import types
 import uuid
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,3 +74,11 @@ def chunks(texts: list[str], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     if start < len(texts):
         yield start, len(texts)
 
+
+def slices(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most about ``limit`` bytes, whole rows, so that what a worker holds is bounded by that or its
+    longest row."""
+    for b in batches:
+        n = max(1, b.num_rows * limit // max(limit, b.nbytes))
+        for at in range(0, b.num_rows, n):
+            yield b.slice(at, n)

@@ -10,8 +10,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import chunks, once, worker_state
+from .common import chunks, once, slices, worker_state
 
 ORDER = 5
 #: The most labelled rows of a language that the models are fitted on; chosen by a hash of doc_id.
@@ -25,7 +26,7 @@ SLACK, SHORT = 0.75, 6.0
 EVIDENCE = 24
 
 _MULT = np.random.Generator(np.random.PCG64(5)).integers(1, 1 << 63, 32, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SLOTS = 1 << 21
+_SLOTS = 1 << 20
 
 
 def _letters() -> np.ndarray:
@@ -143,7 +144,7 @@ class Identifier:
     def __init__(self, models: dict[str, Model], order: int = ORDER):
         self.languages, self.order = sorted(models), order
         self.models = [models[x] for x in self.languages]
-        self.slots = max(1 << 10, min(_SLOTS, 1 << int(np.log2((1 << 24) / max(1, len(models))))))
+        self.slots = max(1 << 10, min(_SLOTS, 1 << int(np.log2((1 << 22) / max(1, len(models))))))
         self.met = None
 
     def losses(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -220,13 +221,16 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return found
 
 
-def identify(docs: DataFrame, model: Identifier, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, lang_pred, score, loss, rejected) and the columns ``keep``, a row per row of ``docs``.
+def identify(docs: DataFrame, model: Identifier, text_col: str = "text") -> DataFrame:
+    """(row, lang_pred, score, loss, rejected), a row per row of ``docs``; ``row`` holds all its columns, whatever their names.
 
     A null text, or one without a letter, is ``und`` with score 0, and rejected. Repeated rows stay. Ties go to the language first in
     order. If nothing was learned, every document is ``und``, and rejected only if it has no letter.
     """
-    shared, token = docs.sparkSession.sparkContext.broadcast((model.order, {k: vars(m) for k, m in zip(model.languages, model.models, strict=True)})), uuid.uuid4().hex
+    plain = model.order, {k: vars(m) for k, m in zip(model.languages, model.models, strict=True)}
+    shared, token = docs.sparkSession.sparkContext.broadcast(plain), uuid.uuid4().hex
+    names = ["row", "lang_pred", "score", "loss", "rejected"]
+    place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = worker_state()
@@ -234,11 +238,15 @@ def identify(docs: DataFrame, model: Identifier, id_col: str = "doc_id", text_co
             order, models = shared.value
             state["langid"] = token, Identifier({k: Model(**m) for k, m in models.items()}, order)
         found = state["langid"][1]
-        for b in batches:
-            lang, score, loss, rejected = found.predict([t or "" for t in b.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(loss), pa.array(rejected), *b.columns[2:]], names)
-
-    names = ["doc_id", "lang_pred", "score", "loss", "rejected", *keep]
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *keep)
-    types = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return rows.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in {"doc_id": types["doc_id"], "lang_pred": "string", "score": "double", "loss": "double", "rejected": "boolean", **{c: types[c] for c in keep}}.items()))
+        for b in slices(batches):
+            lang, score, loss, rejected = found.predict([t or "" for t in b.column(0).field(place).to_pylist()])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(loss), pa.array(rejected)], names)
+
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    schema = T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("loss", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
+    return rows.mapInArrow(run, schema)
+
+
+def accepted(docs: DataFrame, model: Identifier, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are not rejected."""
+    return identify(docs, model, text_col).where("not rejected").select("row.*")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, secrets, simhash, token_counts
+from . import bpe, decontam, html_extract, langid, licenses, lm_score, secrets, simhash, spotsigs, token_counts
 from .common import Workspace
 
 
@@ -35,11 +35,33 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spotsigs.compare_edited(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = lm_score.train(lm_score.with_target(docs, _table(spark, sf_dir, "labels")), Workspace(spark, "lm-score"))
+    return lm_score.score(docs, model).select("row.doc_id", "n_tokens", "target_loss", "background_loss", "difference")
+
+
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("row.page_id", "row.url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), Workspace(spark, "decontam"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.array_join(F.transform("licences", lambda x: F.concat_ws(":", x["licence"], x["start"], x["end"])), ",")
+    return found.select("row.doc_id", F.array_join("sentences.id", ",").alias("sentences"), F.array_join(F.array_sort(F.array_distinct("licences.licence")), ",").alias("licences"), spans.alias("spans"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = langid.identify(docs.select("doc_id", "text"), langid.train(docs)).select("row.doc_id", "lang_pred", "score", "rejected")
@@ -55,7 +77,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_token_counts, op3_simhash, op7_decontamination, op9_language_id, op10_bpe)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_token_counts, op3_simhash, op4_spotsigs, op5_lm_score, op6_html_extraction, op7_decontamination, op8_license_scan, op9_language_id, op10_bpe)}
 
 
 def _rule_sql(rule: secrets.Rule, k: int) -> str:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, chunks, text_or_empty
+from .common import Workspace, chunks, slices, text_or_empty
 from .components import connected_components
 from .hashing import padded, xxh64_spans
 
@@ -64,7 +64,7 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """(doc_id, fp): one row per row of ``docs``; fp is the fingerprint as a signed long. A null text counts as empty, fp 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             fp = fingerprint_texts(b.column(1).to_pylist(), words, seed)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 

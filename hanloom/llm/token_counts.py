@@ -11,11 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import once, text_or_empty
+from .common import once, slices, text_or_empty
 
 LIMIT = 4096
 #: Words whose counts a worker keeps, at most; and the longest it keeps.
-_KEPT, _LONGEST = 1 << 20, 64
+_KEPT, _LONGEST = 1 << 17, 64
 _CHUNK = re.compile("[ ▁]+[^ ▁]*")
 CACHE_SCHEMA = "content binary, tokenizer binary, n_tokens long"
 
@@ -82,7 +82,7 @@ def count_tokens(docs: DataFrame, model_path: str, cache: str, id_col: str = "do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = once(("pieces", tokenizer), lambda: PieceCounter(shared.value))
-        for b in batches:
+        for b in slices(batches):
             n = counter.counts(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([tokenizer] * len(n), pa.binary()), pa.array(n, pa.int64())], ["content", "tokenizer", "n_tokens"])
 

@@ -63,6 +63,14 @@ def text_or_empty(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 
 
+def free_name(base: str, columns: list[str]) -> str:
+    """``base`` with as many underscores before it as it takes to be none of ``columns``."""
+    taken = {c.lower() for c in columns}
+    while base.lower() in taken:
+        base = f"_{base}"
+    return base
+
+
 def chunks(texts: list[str], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose texts add up to about ``limit`` characters; a longer text is a range of its own."""
     start = total = 0

@@ -108,7 +108,7 @@ class Scanner:
                     if b > a:
                         if found := self._id(text[a:b]):
                             out.append((number, a, b, found))
-                        number += 1
+                        number += bool(normalise(text[a:b]))
                     a = b
             at = stop
         return out

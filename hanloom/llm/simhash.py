@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, chunks, slices, text_or_empty
+from .common import Workspace, chunks, free_name, slices, text_or_empty
 from .components import connected_components
 from .hashing import padded, xxh64_spans
 
@@ -150,8 +150,10 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The rows of ``docs`` without those that have a near-duplicate of smaller doc_id in their group. Rows that repeat a doc_id, and
     rows without one, stand or go together."""
     groups = near_duplicates(docs, id_col, text_col)
-    gone = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    name = free_name("gone", docs.columns)
+    gone = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(name)).distinct()
+    # Merged whatever the sizes, so that the plan is the same at any scale.
+    return docs.join(gone.hint("merge"), F.col(id_col) == F.col(name), "left_anti")
 
 
 def hex_fingerprint(fp: Column) -> Column:

@@ -6,3 +6,14 @@ from pyspark import cloudpickle
 cloudpickle.register_pickle_by_value(__import__(__name__))
 
 __version__ = "0.1.0"
+
+#: Grows when a signature of the public functions changes.
+ABI = 1
+
+
+def version_string() -> str:
+    return __version__
+
+
+def abi_number() -> int:
+    return ABI

@@ -116,3 +116,14 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.text or "" for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["", "吃"]
+
+
+def test_converter():
+    import hanloom
+    from hanloom.operators.converter import Converter
+
+    c = Converter(value="t2tw")
+    assert c.convert("喫“茶”", punct=True) == "吃「茶」" and c.convert("喫", "t2hk") == "吃" and c.get_config() == "t2tw"
+    with pytest.raises(ConfigError):
+        c.set_config("t2mars")
+    assert c.get_config() == "t2tw" and hanloom.abi_number() == 1 and hanloom.version_string() == hanloom.__version__

@@ -65,10 +65,10 @@ def rank_terms(words: Sequence[str], k: int, span: int = SPAN, damping: float =
                 links[b][a] = links[b].get(a, 0) + 1
     out = {w: sum(x.values()) for w, x in links.items()}
     score = dict.fromkeys(links, 1.0)
-    order = sorted(links)
+    shares = [(w, [(o, x / out[o]) for o, x in sorted(links[w].items())]) for w in sorted(links)]
     for _ in range(iterations):
-        for w in order:
-            score[w] = 1 - damping + damping * sum(x / out[o] * score[o] for o, x in sorted(links[w].items()))
+        for w, near in shares:
+            score[w] = 1 - damping + damping * sum([x * score[o] for o, x in near])
     return sorted(score.items(), key=lambda x: (-x[1], x[0]))[:k]
 
 

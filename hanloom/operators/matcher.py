@@ -9,6 +9,8 @@ from ..functions.text import DELIMITERS
 
 #: The longest window that is matched within a token, in characters.
 WINDOW = 64
+#: Chunks up to this length are kept, so many of them.
+MEMO_LENGTH, MEMO_SIZE = 24, 1 << 16
 _CLASS = "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in DELIMITERS)
 _CHUNK = re.compile(f"[^{_CLASS}]*[{_CLASS}]|[^{_CLASS}]+")
 IS_DELIMITER = frozenset(chr(c) for a, b in DELIMITERS for c in range(a, b + 1))
@@ -23,6 +25,7 @@ class Round:
 
     def __init__(self, tables: Sequence[Mapping[str, str]]):
         self.map: dict[str, str] = {}
+        self.memo: dict[str, str] = {}
         for table in reversed(tables):
             self.map.update(table)
         self.longest = min(WINDOW, max(map(len, self.map), default=0))
@@ -54,10 +57,22 @@ class Round:
         return self.by_character(token) if len(token) < 3 else self.by_longest(token)
 
 
+    def chunk(self, chunk: str, cut: Callable[[str], list[str]]) -> str:
+        """Short chunks come again and again; what becomes of them is kept, for one and the same ``cut``."""
+        if (known := self.memo.get(chunk)) is not None:
+            return known
+        out = "".join([self.token(t) for t in cut(chunk)])
+        if len(chunk) <= MEMO_LENGTH:
+            if len(self.memo) >= MEMO_SIZE:
+                self.memo.clear()
+            self.memo[chunk] = out
+        return out
+
+
 def convert(text: str, rounds: Iterable[Round], cut: Callable[[str], list[str]]) -> str:
     """Each round over the result of the one before. A key is found inside a token only, never across two. A round without any key
-    leaves the text."""
+    leaves the text. A round object goes with one ``cut``."""
     for r in rounds:
         if r.map:
-            text = "".join([r.token(t) for chunk in chunks(text) for t in cut(chunk)])
+            text = "".join([r.chunk(c, cut) for c in chunks(text)])
     return text

@@ -11,6 +11,8 @@ from .matcher import chunks
 #: Runs that are kept whole where no lexicon word covers them.
 _HAN = "〇㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff"
 _RUN = re.compile(rf"[{_HAN}]+|[A-Za-z0-9]+(?:\.[0-9]+)?%?|\s+|.", re.S)
+#: Chunks up to this length are kept, so many of them.
+MEMO_LENGTH, MEMO_SIZE = 24, 1 << 16
 _IS_HAN = re.compile(rf"[{_HAN}]")
 
 
@@ -48,6 +50,7 @@ class Segmenter:
     def __init__(self, vocabulary: Mapping[str, tuple[int, str | None]], hmm: HmmModel | None = None):
         self.words = dict(vocabulary)
         self.hmm = hmm
+        self.memo: dict[tuple[str, bool], list[str]] = {}
         self.total = math.log(max(1, sum(f for f, _ in self.words.values())) + 1)
         self.weight = {w: math.log(max(1, f)) - self.total for w, (f, _) in self.words.items()}
         self.prefixes = {w[:i] for w in self.words for i in range(1, len(w))}
@@ -90,6 +93,17 @@ class Segmenter:
         return [] if not run else [run] if len(run) == 1 or not self.hmm else self.hmm.cut(run)
 
     def _chunk(self, chunk: str, hmm: bool) -> list[str]:
+        """Short chunks come again and again; what they fall into is kept."""
+        if len(chunk) > MEMO_LENGTH:
+            return self._fresh(chunk, hmm)
+        key = chunk, hmm
+        if key not in self.memo:
+            if len(self.memo) >= MEMO_SIZE:
+                self.memo.clear()
+            self.memo[key] = self._fresh(chunk, hmm)
+        return self.memo[key]
+
+    def _fresh(self, chunk: str, hmm: bool) -> list[str]:
         if chunk in self.words:
             return [chunk]
         out = []

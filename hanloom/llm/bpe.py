@@ -22,12 +22,12 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, chunks, once, text_or_empty
+from .common import Workspace, chunks, free_name, once, shared_dir, slices, text_or_empty
 
 #: A word is frequent if it makes up this share of all words; so there are 1 / SHARE of them at most.
-SHARE = 1e-5
+SHARE = 4e-6
 #: Longer words are merged and not kept.
-_LONGEST, _KEPT, _SHORT = 64, 1 << 18, 48
+_LONGEST, _KEPT, _SHORT = 64, 1 << 17, 48
 #: Latin letters without case pairs of several characters; texts of these and plain ASCII take a quicker way.
 _LATIN = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u01c3\u01cd-\u024f"
 _PLAIN = re.compile(f"[\t\n\r -~\u00a1\u00a7\u00ab\u00bb\u00bf\u2010-\u2027{_LATIN}]*")
@@ -89,14 +89,14 @@ class WordBpe:
     def _merge_short(self, ids: list[int]) -> list[int]:
         get = self.ranks.get
         ranks = [get(p, _NONE) for p in zip(ids, ids[1:])]
-        while ranks and (best := min(ranks)) is not _NONE:
+        while len(ids) > 1 and (best := min(ranks)) is not _NONE:
             i = ranks.index(best)
-            ids[i : i + 2] = (best[1],)
-            del ranks[i]
+            one = ids[i] = best[1]
+            del ids[i + 1], ranks[i]
             if i:
-                ranks[i - 1] = get((ids[i - 1], best[1]), _NONE)
+                ranks[i - 1] = get((ids[i - 1], one), _NONE)
             if i < len(ranks):
-                ranks[i] = get((best[1], ids[i + 1]), _NONE)
+                ranks[i] = get((one, ids[i + 1]), _NONE)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
@@ -244,6 +244,7 @@ class Encoder:
         self.model, self.lexicon = model, lexicon
         self.ids: dict = {}
         self.said: dict = {}
+        self.old: tuple[dict, dict] = {}, {}
 
     def _learn(self, words: list[str]) -> None:
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
@@ -257,13 +258,15 @@ class Encoder:
         ids: list[bytes] = []
         said: list[str] = []
         for a, b in chunks(texts, 1 << 18):
-            if len(self.ids) > _KEPT:
-                self.ids, self.said = {}, {}
+            if len(self.ids) > _KEPT:  # what was met since the last time stays
+                self.old, self.ids, self.said = (self.ids, self.said), {}, {}
             for i in self.model.special.values():
                 self.ids[i], self.said[i] = np.array([i], "<u4").tobytes(), self.model.tokens[i]
             split = [self.model.pieces(t) for t in texts[a:b]]
-            new = list(set(chain.from_iterable(split)).difference(self.ids))
-            self._learn(new)
+            new = set(chain.from_iterable(split)).difference(self.ids)
+            for w in new.intersection(self.old[0]):
+                self.ids[w], self.said[w] = self.old[0][w], self.old[1][w]
+            self._learn(list(new.difference(self.old[0])))
             ids += [b"".join(map(self.ids.__getitem__, words)) for words in split]
             said += [" ".join(map(self.said.__getitem__, words)) for words in split]
             for w in new:
@@ -278,10 +281,12 @@ def word_counts(docs: DataFrame, source: bytes, text_col: str = "text") -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = once(("bpe", key), lambda: WordBpe(shared.value))
-        for b in batches:
+        for b in slices(batches):
             n: Counter = Counter()
             for t in b.column(0).to_pylist():
-                n.update(w for w in model.pieces(t) if not isinstance(w, int))
+                n.update(model.pieces(t))
+            for i in model.special.values():
+                n.pop(i, None)
             yield pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64())], ["word", "n"])
 
     return docs.where(F.col(text_col).isNotNull()).select(text_col).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -299,7 +304,7 @@ def compile_lexicon(docs: DataFrame, model_path: str, ws: Workspace, text_col: s
     frequent = [r[0].encode("utf-8", "surrogatepass") for r in counts.where((F.col("n") >= share * total) & (F.length("word") <= _LONGEST)).select("word").toLocalIterator()]
     block = Lexicon.compile({w: model.merge(w) for w in frequent if w})
     sc = docs.sparkSession.sparkContext
-    path = f"{ws.root}/lexicon-{hashlib.sha256(block).hexdigest()[:32]}.bin"
+    path = f"{shared_dir(docs.sparkSession)}/hanloom-lexicon-{hashlib.sha256(block).hexdigest()[:32]}.bin"
     where = sc._jvm.org.apache.hadoop.fs.Path(path)
     out = where.getFileSystem(sc._jsc.hadoopConfiguration()).create(where, True)
     out.write(bytearray(block))
@@ -320,17 +325,18 @@ def encode(docs: DataFrame, model_path: str, lexicon: str, text_col: str = "text
     shared, key = sc.broadcast(source), hashlib.sha256(source).hexdigest()
     sc.addFile(lexicon)
     name = lexicon.rsplit("/", 1)[-1]
-    kept = [f for f in docs.schema.fields if f.name not in ("ids", "decoded", "_text")]
+    kept = [f for f in docs.schema.fields if f.name not in ("ids", "decoded")]
+    own = free_name("_text", docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = once(("bpe", key), lambda: WordBpe(shared.value))
         encoder = once(("encoder", key, name), lambda: Encoder(model, Lexicon.mapped(SparkFiles.get(name))))
-        for b in batches:
+        for b in slices(batches):
             ids, said = encoder.encode(b.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(ids, pa.binary()), pa.array(said, pa.string())], [*(f.name for f in kept), "ids", "decoded"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "ids binary, decoded string"])
-    return docs.select(text_or_empty(text_col).alias("_text"), *[F.col(f"`{f.name}`") for f in kept]).mapInArrow(run, schema)
+    return docs.select(text_or_empty(text_col).alias(own), *[F.col(f"`{f.name}`") for f in kept]).mapInArrow(run, schema)
 
 
 def n_ids(ids: Column) -> Column:

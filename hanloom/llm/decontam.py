@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Workspace, text_or_empty
+from .common import Workspace, free_name, text_or_empty
 
 #: A shared span of WINDOW words has WINDOW - GRAM + 1 grams, which is the winnowing window: each such span keeps a common gram.
 WINDOW, GRAM = 10, 5
@@ -96,7 +96,8 @@ def hits_by_text(docs: DataFrame, benchmark: DataFrame, ws: Workspace, text_col:
     candidates = ws.save(near.groupBy("digest").agg(F.collect_set(F.struct("start", "n")).alias("near")), "candidates")
 
     source = docs.select(_digest(text).alias("digest"), text.alias("text"))
-    mine = source.join(candidates, "digest").groupBy("digest").agg(F.first("text").alias("text"), F.first("near").alias("near")).select("digest", words_of(F.col("text")).alias("words"), "near")
+    # Merged whatever the sizes, so that the plan is the same at any scale.
+    mine = source.join(candidates.hint("merge"), "digest").groupBy("digest").agg(F.first("text").alias("text"), F.first("near").alias("near")).select("digest", words_of(F.col("text")).alias("words"), "near")
     seen = F.transform(F.filter("near", lambda c: c["start"] + c["n"] <= F.size("words")), lambda c: F.struct(c["start"].alias("start"), c["n"].alias("n"), _window_key(F.col("words"), c["start"], c["n"]).alias("key")))
     verified = mine.select("digest", F.explode(seen).alias("c")).select("digest", "c.*")
     verified = ws.save(verified.join(_maybe_broadcast(keys), "key"), "hits")
@@ -130,5 +131,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, ws: Workspace, id_col:
 
 def clean(docs: DataFrame, benchmark: DataFrame, ws: Workspace, text_col: str = "text", **more) -> DataFrame:
     """The rows of ``docs`` without a hit, all columns."""
-    found = hits_by_text(docs, benchmark, ws, text_col, **more).select(F.col("digest").alias("_digest"))
-    return docs.join(found, _digest(text_or_empty(text_col)) == F.col("_digest"), "left_anti")
+    name = free_name("digest", docs.columns)
+    found = hits_by_text(docs, benchmark, ws, text_col, **more).select(F.col("digest").alias(name))
+    return docs.join(found.hint("merge"), _digest(text_or_empty(text_col)) == F.col(name), "left_anti")

@@ -176,4 +176,5 @@ def with_target(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> D
     """(text, target): target rows have a label of quality 1 and none that is toxic."""
     good = labels.groupBy(id_col).agg(F.min(F.coalesce(F.col("quality"), F.lit(0))).alias("quality"), F.max(F.coalesce(F.col("toxic"), F.lit(0))).alias("toxic"))
     good = good.where((F.col("quality") == 1) & (F.col("toxic") == 0)).select(F.col(id_col).alias("_id"), F.lit(True).alias("target"))
-    return docs.join(good, F.col(id_col) == F.col("_id"), "left").select("text", "target")
+    # Merged whatever the sizes, so that the plan is the same at any scale.
+    return docs.join(good.hint("merge"), F.col(id_col) == F.col("_id"), "left").select("text", "target")

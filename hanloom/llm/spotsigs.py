@@ -38,7 +38,7 @@ def signatures(text: str, anchors: frozenset[str] = frozenset(ANCHORS), chain: i
         if w not in anchors:
             ahead.append(w)
         elif len(ahead) >= chain:
-            found.add(f"{w} {' '.join(ahead[-chain:])}")
+            found.add(f"{w} {' '.join(ahead[: -chain - 1 : -1])}")
     if not found and text:
         found.add(" ".join(words) or text)
     return np.unique(np.fromiter((xxhash.xxh32_intdigest(s.encode("utf-8", "surrogatepass")) for s in found), np.uint32, len(found)))

@@ -17,8 +17,10 @@ from pyspark.sql import types as T
 from .common import Workspace, slices, worker_state
 from .hashing import mix
 
-#: Words and bigrams below these shares of all tokens have no entry of their own; so there are 1 / share entries at most.
-WORD_SHARE, PAIR_SHARE = 1e-5, 2e-6
+#: Words and bigrams below these shares of all tokens have no entry of their own. Zero: all have one, and the model grows with the corpus.
+WORD_SHARE, PAIR_SHARE = 0.0, 0.0
+#: Characters of text for each bucket of the tables.
+BUCKET = 8 << 20
 DISCOUNT = 0.75
 _UNKNOWN, _START = np.uint64(1), np.uint64(2)
 _KEPT = 1 << 17
@@ -60,33 +62,6 @@ def _closed(words: np.ndarray, n: np.ndarray, vocabulary: np.ndarray) -> tuple[n
     return w, before
 
 
-@dataclass
-class Pair:
-    """Loss differences are read from arrays that are sorted by hash."""
-
-    vocabulary: np.ndarray
-    unigram: np.ndarray  # (2, words + 1): log probabilities in target and background, the unknown word last
-    contexts: np.ndarray
-    backoff: np.ndarray  # (2, contexts + 1): log weights, a context that is not there last
-    pairs: np.ndarray
-    bigram: np.ndarray  # (2, pairs)
-
-    def losses(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Nats a token under (target, background), and the numbers of tokens."""
-        words, n = tokens(texts)
-        w, before = _closed(words, n, self.vocabulary)
-        at = _index(self.pairs, mix(before, w))
-        one, ctx = _index(self.vocabulary, w), _index(self.contexts, before)  # -1 takes the last column
-        doc = np.repeat(np.arange(len(texts)), n)
-        out = np.empty((2, len(texts)))
-        for k in range(2):
-            p = self.backoff[k][ctx] + self.unigram[k][one]
-            if len(self.pairs):
-                p = np.where(at >= 0, self.bigram[k][at], p)
-            out[k] = -np.bincount(doc, p, len(texts))
-        return out / np.maximum(n, 1), n
-
-
 def _counted(docs: DataFrame, vocabulary: np.ndarray | None) -> DataFrame:
     """(before, word, n_target, n_all) over all whole texts of ``docs`` (text, target); without a vocabulary (0, word, ...). A batch is summed
     before the shuffle."""
@@ -117,59 +92,181 @@ def _frequent(counts: DataFrame, share: float) -> tuple[np.ndarray, np.ndarray,
     return a[:, 0].copy().view(np.uint64), a[:, 1].copy().view(np.uint64), a[:, 2:].T.astype(float), np.array(total, float)
 
 
-def train(docs: DataFrame, ws: Workspace, word_share: float = WORD_SHARE, pair_share: float = PAIR_SHARE, discount: float = DISCOUNT) -> Pair:
+def _slice(words: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted pair hashes of closed ``words``, the words before and at each, the place of each token's pair among them."""
+    before = np.concatenate(([_START], words[:-1])) if len(words) else words
+    first = np.cumsum(n) - n
+    before[first[n > 0]] = _START
+    keys, at, place = np.unique(mix(before, words), return_index=True, return_inverse=True)
+    return keys, before[at], words[at], place
+
+
+def _dealt(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
+    """The buckets that sorted ``keys`` fall in, in their order, with the range of each."""
+    numbers, starts = np.unique(((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32), return_index=True)
+    for k, a, b in zip(numbers.tolist(), starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True):
+        yield k, slice(a, b)
+
+
+def _joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
+def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct sorted keys, a first place of each, and the sums of their rows of ``values``."""
+    found, first, place = np.unique(keys, return_index=True, return_inverse=True)
+    return found, first, np.stack([np.bincount(place, v, len(found)) for v in values.T], 1)
+
+
+_WORD, _PAIR, _KEPT_MASS = 0, 1, 2
+_PARTS = "kind int, bucket int, keys binary, befores binary, sums binary"
+
+
+def _parts(docs: DataFrame, vocabulary: np.ndarray | None, buckets: int) -> DataFrame:
+    """Counts of the words and pairs of ``docs`` (text, target), summed over a slice and dealt to buckets by hash. Words: target and all
+    tokens, target and all that have a word after them. Pairs: target and all."""
+    shared, names = docs.sparkSession.sparkContext.broadcast(vocabulary), ["kind", "bucket", "keys", "befores", "sums"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            words, n = tokens(b.column(0).to_pylist())
+            if shared.value is not None:
+                words = _closed(words, n, shared.value)[0]
+            own = np.repeat(b.column(1).to_numpy(zero_copy_only=False), n)
+            keys, before, word, place = _slice(words, n)
+            counts = np.stack([np.bincount(place, own, len(keys)), np.bincount(place, minlength=len(keys)).astype(float)], 1)
+            one = np.union1d(word, before)
+            sums = np.stack([np.bincount(at, c, len(one)) for at in (np.searchsorted(one, word), np.searchsorted(one, before)) for c in counts.T], 1)
+            out = [(_WORD, k, one[at].tobytes(), b"", sums[at].tobytes()) for k, at in _dealt(one, buckets)]
+            out += [(_PAIR, k, keys[at].tobytes(), before[at].tobytes(), counts[at].astype(np.int64).tobytes()) for k, at in _dealt(keys, buckets)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), *[pa.binary()] * 3), strict=True)], names)
+
+    return docs.select("text", F.col("target").cast("double")).mapInArrow(run, _PARTS)
+
+
+@dataclass
+class Model:
+    """Tables in the shared folder, a row a bucket of hashes: (kind, bucket, keys, sums). Nothing of the corpus is on the driver but the three
+    numbers and, where a share bounds it, the vocabulary."""
+
+    table: DataFrame
+    total: tuple[float, float]  # tokens of target and background
+    n_words: int
+    buckets: int
+    discount: float
+    vocabulary: np.ndarray | None
+
+
+def train(docs: DataFrame, ws: Workspace, word_share: float = WORD_SHARE, pair_share: float = PAIR_SHARE, discount: float = DISCOUNT) -> Model:
     """``docs``: text, target (boolean). The target model counts the rows where target is true, the background model all rows.
 
-    Both have the words and bigrams that are frequent in the whole: the same vocabulary, the same entries, the same absolute
-    discount; what an entry lacks goes to the unigrams, and those are smoothed by one. Everything is counted over all rows;
-    the driver gets 1 / share entries at most.
+    Both have the words and bigrams of the whole, all of them unless a share of all tokens is asked for: the same vocabulary, the
+    same entries, the same absolute discount; what an entry lacks goes to the unigrams, and those are smoothed by one. Everything is
+    counted over all rows and stays in tables dealt by hash, whose buckets grow in number with the text.
     """
     docs = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("target", F.lit(False)).alias("target"))
-    _, vocabulary, n, total = _frequent(ws.save(_counted(docs, None), "words"), word_share)
-    order = np.argsort(vocabulary)
-    vocabulary, n = vocabulary[order], n[:, order]
-    unigram = np.concatenate([n, (total - n.sum(1))[:, None]], 1) + 1
-    unigram = unigram / unigram.sum(1, keepdims=True)
-
-    pairs = ws.save(_counted(docs, vocabulary), "pairs")
-    of_context = pairs.groupBy("before").agg(F.sum("n_target").alias("n_target"), F.sum("n_all").alias("n_all"))  # a row for each word of the vocabulary
-    rows = np.array([tuple(r) for r in of_context.toLocalIterator()], np.int64).reshape(-1, 3)
-    contexts = rows[:, 0].copy().view(np.uint64)
-    order = np.argsort(contexts)
-    contexts, mass = contexts[order], rows[order, 1:].T.astype(float)
-    before, word, count, _ = _frequent(pairs, pair_share)
-    ctx = np.searchsorted(contexts, before)
-    direct = np.maximum(count - discount, 0) / np.maximum(mass[:, ctx], 1)
-    left = np.stack([1 - np.bincount(ctx, d, len(contexts)) for d in direct]) if len(contexts) else np.ones((2, 0))
-    left = np.maximum(left, 1e-12)
-    one = _index(vocabulary, word)
-    bigram = np.log(direct + left[:, ctx] * unigram[:, one])
-    key = mix(before, word)
-    order = np.argsort(key)
-    return Pair(vocabulary, np.log(unigram), contexts, np.concatenate([np.log(left), np.zeros((2, 1))], 1), key[order], bigram[:, order])
-
-
-def score(docs: DataFrame, model: Pair, text_col: str = "text") -> DataFrame:
+    buckets = max(1, (docs.agg(F.sum(F.length("text"))).first()[0] or 0) // BUCKET)
+    vocabulary, least = None, 1.0
+    if word_share or pair_share:
+        _, words, _, total = _frequent(ws.save(_counted(docs, None), "words"), word_share)
+        vocabulary, least = np.sort(words) if word_share else None, max(1.0, pair_share * total[1])
+
+    def merge(key: tuple, rows: pa.Table) -> pa.Table:
+        kind, bucket = (k.as_py() for k in key)
+        width = {_WORD: 4, _PAIR: 2}[kind]
+        keys, first, sums = _summed(_joined(rows["keys"], np.uint64), _joined(rows["sums"], np.float64 if kind == _WORD else np.int64).reshape(-1, width))
+        if kind == _WORD:
+            out = [(kind, bucket, keys.tobytes(), b"", np.concatenate([sums, np.zeros((len(keys), 2))], 1).tobytes())]
+        else:
+            before = _joined(rows["befores"], np.uint64)[first]
+            entries = sums[:, 1] >= least
+            keys, before, sums = keys[entries], before[entries], sums[entries]
+            out = [(kind, bucket, keys.tobytes(), b"", sums.astype(np.int64).tobytes())]
+            ctx, _, kept = _summed(before, np.maximum(sums - discount, 0))
+            kept = np.concatenate([np.zeros((len(ctx), 4)), kept], 1)
+            out += [(_KEPT_MASS, k, ctx[at].tobytes(), b"", kept[at].tobytes()) for k, at in _dealt(ctx, buckets)]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), *[pa.binary()] * 3), strict=True)], ["kind", "bucket", "keys", "befores", "sums"])
+
+    merged = ws.save(_parts(docs, vocabulary, buckets).groupBy("kind", "bucket").applyInArrow(merge, _PARTS), "merged")
+
+    def finish(key: tuple, rows: pa.Table) -> pa.Table:
+        keys, _, sums = _summed(_joined(rows["keys"], np.uint64), _joined(rows["sums"], np.float64).reshape(-1, 6))
+        known = int(((sums[:, 1] > 0) & (keys != _UNKNOWN)).sum())
+        return pa.table([pa.array([_WORD], pa.int32()), pa.array([key[0].as_py()], pa.int32()), [keys.tobytes()], [sums.tobytes()], [sums[:, 0].sum()], [sums[:, 1].sum()], pa.array([known], pa.int64())], ["kind", "bucket", "keys", "sums", "n_target", "n_all", "n_words"])
+
+    words = ws.save(merged.where(F.col("kind") != _PAIR).groupBy("bucket").applyInArrow(finish, "kind int, bucket int, keys binary, sums binary, n_target double, n_all double, n_words long"), "word-table")
+    n = [x or 0 for x in words.agg(F.sum("n_target"), F.sum("n_all"), F.sum("n_words")).first()]
+    table = words.select("kind", "bucket", "keys", "sums").union(merged.where(F.col("kind") == _PAIR).select("kind", "bucket", "keys", "sums"))
+    return Model(table, (n[0], n[1]), n[2], buckets, discount, vocabulary)
+
+
+def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """(row, n_tokens, target_loss, background_loss, difference), a row per row of ``docs``, ``row`` with all columns but the text.
 
     The difference, target less background in nats a token, is low where a document is like the target. A null text, or one without
     a word, has no tokens and zeros. Repeated rows stay.
+
+    Texts become slices of word places, one row each; the distinct words and pairs of a slice meet the model's buckets, and the counts
+    go back to the slice, in the order of the hashes.
     """
-    shared, token = docs.sparkSession.sparkContext.broadcast(vars(model)), uuid.uuid4().hex
+    spark = docs.sparkSession
+    ws, shared = Workspace(spark, "lm-slices"), spark.sparkContext.broadcast(model.vocabulary)
+    buckets, discount, total, size = model.buckets, model.discount, np.array(model.total), model.n_words + 1
     others = [c for c in docs.columns if c != text_col]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = worker_state()
-        if state.get("lm", ("",))[0] != token:
-            state["lm"] = token, Pair(**shared.value)
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            loss, n = state["lm"][1].losses(b.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(loss[0]), pa.array(loss[1]), pa.array(loss[0] - loss[1])], names)
+            words, n = tokens(b.column(1).to_pylist())
+            if shared.value is not None:
+                words = _closed(words, n, shared.value)[0]
+            keys, place = np.unique(words, return_inverse=True)
+            of = pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), b.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().bytes]), of, pa.array([keys.tobytes()]), pa.array([place.astype(np.uint32).tobytes()]), pa.array([n.tobytes()])], ["slice", "rows", "words", "place", "n"])
+
+    packed = T.StructType([T.StructField("slice", T.BinaryType()), T.StructField("rows", T.ArrayType(rows.schema["row"].dataType)), *(T.StructField(c, T.BinaryType()) for c in ("words", "place", "n"))])
+    packs = ws.save(rows.mapInArrow(pack, packed), "slices")
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s, *blobs in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                words, place, n = (np.frombuffer(x, t) for x, t in zip(blobs, (np.uint64, np.uint32, np.int64), strict=True))
+                # Both kinds are sorted by hash, so the answers stand in that order by bucket.
+                out = [(s, kind, k, keys[at].tobytes()) for kind, keys in ((_WORD, np.union1d(words, [_START])), (_PAIR, _slice(words[place], n)[0])) for k, at in _dealt(keys, buckets)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.binary(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["slice", "kind", "bucket", "keys"])
+
+    asked = packs.select("slice", "words", "place", "n").mapInArrow(ask, "slice binary, kind int, bucket int, keys binary")
+
+    def answer(key: tuple, asking: pa.Table, table: pa.Table) -> pa.Table:
+        kind = key[0].as_py()
+        width, of = {_WORD: (6, np.float64), _PAIR: (2, np.int64)}[kind]
+        keys, sums = _joined(table["keys"], np.uint64), _joined(table["sums"], of).reshape(-1, width)
+        sums = np.concatenate([sums, np.zeros((1, width), of)])  # what is not there
+        out = [sums[_index(keys, np.frombuffer(k, np.uint64))].tobytes() for k in asking["keys"].to_pylist()]
+        return pa.table([asking["slice"], asking["kind"], asking["bucket"], pa.array(out, pa.binary())], ["slice", "kind", "bucket", "sums"])
+
+    answers = asked.groupBy("kind", "bucket").cogroup(model.table.groupBy("kind", "bucket")).applyInArrow(answer, "slice binary, kind int, bucket int, sums binary")
+
+    def finish(pack: pa.Table, got: pa.Table) -> pa.Table:
+        words, place, n = (_joined(pack[c], t) for c, t in (("words", np.uint64), ("place", np.uint32), ("n", np.int64)))
+        order = np.lexsort((got["bucket"].to_numpy(), got["kind"].to_numpy()))
+        blobs, kinds = got["sums"].to_pylist(), got["kind"].to_pylist()
+        of_word, of_pair = (np.frombuffer(b"".join(blobs[i] for i in order if kinds[i] == k), t).reshape(-1, w) for k, t, w in ((_WORD, np.float64, 6), (_PAIR, np.int64, 2)))
+        _, before, word, at = _slice(words[place], n)
+        known = np.union1d(words, [_START])
+        ctx, one = (of_word[np.searchsorted(known, x)] for x in (before, word))
+        # A word the corpus lacks counts as the unknown one, which has no tokens of its own unless a share bounds the vocabulary.
+        mass = np.maximum(ctx[:, 2:4], 1)
+        left = np.maximum(1 - ctx[:, 4:6] / mass, 1e-12)
+        p = np.log(np.maximum(of_pair - discount, 0) / mass + left * (one[:, :2] + 1) / (total + size))
+        doc = np.repeat(np.arange(len(n)), n)
+        loss = [-np.bincount(doc, p[at, k], len(n)) / np.maximum(n, 1) for k in range(2)]
+        return pa.table([pa.chunked_array([c.flatten() for c in pack["rows"].chunks]), n, loss[0], loss[1], loss[0] - loss[1]], names)
 
     names = ["row", "n_tokens", "target_loss", "background_loss", "difference"]
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     fields = [T.StructField("n_tokens", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in names[2:])]
-    return rows.mapInArrow(run, T.StructType([rows.schema["row"], *fields]))
+    return packs.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(finish, T.StructType([rows.schema["row"], *fields]))
 
 
 def with_target(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -202,3 +202,23 @@ def test_licenses(spark):
 
 def test_digest_of_model_is_part_of_the_key():
     assert len(hashlib.sha256(open(PIECE, "rb").read()).digest()) == 32
+
+
+def test_lm_score_keeps_every_word_and_pair(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "BUCKET", 1 << 16)
+    many = " ".join(f"w{k}" for k in range(60_000))  # over 1 / 1e-5 tokens with the rest, so that single words used to go
+    rows = [(1, "x y " * 45_000, False), (2, many, True), (3, "w7 w8", False), (4, "w8 w7", False)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, target boolean")
+    model = lm_score.train(df, Workspace(spark, "test"))
+    got = {r.doc_id: r for r in lm_score.score(df.unionByName(spark.createDataFrame([(5, "never seen", None)], df.schema)), model).select("row.doc_id", "target_loss", "background_loss").collect()}
+    assert model.n_words == 60_002 and model.buckets > 1
+    docs = {i: t.split() for i, t, _ in rows} | {5: ["never", "seen"]}
+    for which, chosen in (("target_loss", [2]), ("background_loss", [1, 2, 3, 4])):
+        pairs, words, mass, kinds = {}, {}, {}, {}
+        for i in chosen:
+            for a, b in zip(["^", *docs[i]], docs[i]):
+                kinds[a] = kinds.get(a, 0) + ((a, b) not in pairs)
+                pairs[a, b], words[b], mass[a] = pairs.get((a, b), 0) + 1, words.get(b, 0) + 1, mass.get(a, 0) + 1
+        for i, d in docs.items():
+            p = [max(pairs.get((a, b), 0) - 0.75, 0) / mass.get(a, 1) + (0.75 * kinds[a] / mass[a] if a in mass else 1) * (words.get(b, 0) + 1) / (sum(words.values()) + 60_003) for a, b in zip(["^", *d], d)]
+            assert got[i][which] == pytest.approx(-sum(map(math.log, p)) / len(d), abs=1e-9)

@@ -45,6 +45,19 @@ SENTENCES = {
     "cc_by": "licensed under cc by 4 0",
     "cc_by_sa": "licensed under cc by sa 4 0",
     "reserved": "all rights reserved",
+    "mit_heading": "mit license",
+    "mit_heading_short": "the mit license mit",
+    "lgpl21_free": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "lgpl3_free": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "agpl3_free": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "gpl2_short": "this work is licensed under the gnu general public license version 2",
+    "mpl2_form": "this source code form is subject to the terms of the mozilla public license v 2 0",
+    "isc_grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "unlicense_free": "this is free and unencumbered software released into the public domain",
+    "boost_short": "distributed under the boost software license version 1 0",
+    "cc_by_long": "this work is licensed under a creative commons attribution 4 0 international license",
+    "cc_by_sa_long": "this work is licensed under a creative commons attribution sharealike 4 0 international license",
+    "cc_by_nc_long": "this work is licensed under a creative commons attribution noncommercial 4 0 international license",
 }
 # Licences by the sentences that make them up, in order.
 RULES = (
@@ -68,10 +81,31 @@ RULES = (
     ("CC-BY-SA-4.0", ("cc_by_sa",)),
     ("CC-BY-4.0", ("cc_by",)),
     ("Proprietary", ("reserved",)),
+    ("MIT", ("mit_heading",)),
+    ("MIT", ("mit_heading_short",)),
+    ("LGPL-2.1-or-later", ("lgpl21_free",)),
+    ("LGPL-3.0-or-later", ("lgpl3_free",)),
+    ("AGPL-3.0-or-later", ("agpl3_free",)),
+    ("GPL-2.0-only", ("gpl2_short",)),
+    ("MPL-2.0", ("mpl2_form",)),
+    ("ISC", ("isc_grant",)),
+    ("Unlicense", ("unlicense_free",)),
+    ("BSL-1.0", ("boost_short",)),
+    ("CC-BY-4.0", ("cc_by_long",)),
+    ("CC-BY-SA-4.0", ("cc_by_sa_long",)),
+    ("CC-BY-NC-4.0", ("cc_by_nc_long",)),
 )
-
-_END = re.compile(r"[.!?;:](?=\s|$)|\n[ \t]*\n")
-_LINE = re.compile(r"\n")
+# SPDX identifiers, besides those of the sentences above.
+SPDX = (
+    "BSD-2-Clause", "BSD-3-Clause", "0BSD", "ISC", "Zlib", "Unlicense", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "MPL-2.0", "EPL-2.0", "BSL-1.0", "PostgreSQL", "Python-2.0",
+    "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later",
+    "AGPL-3.0-only", "AGPL-3.0-or-later", "MIT OR Apache-2.0", "Apache-2.0 OR MIT",
+)
+
+#: A sentence may end here: at a stop before white space, at a line's end.
+_END = re.compile(r"[.!?;:](?=\s|$)|\n")
+#: Words that an asterisk may stand for.
+_OPEN = 40
 _NOT = re.compile(r"[^0-9a-z]+")
 
 
@@ -80,37 +114,51 @@ def normalise(sentence: str) -> str:
     return _NOT.sub(" ", sentence.lower()).strip()
 
 
+# Not the old ids GPL-2.0 and GPL-2.0+, which are alike when normalised.
+SENTENCES |= {f"spdx_{x}": normalise(f"SPDX-License-Identifier: {x}") for x in SPDX}
+RULES += tuple((x, (f"spdx_{x}",)) for x in SPDX)
+
+
 class Scanner:
     def __init__(self, sentences: dict[str, str] = SENTENCES, rules=RULES, gap: int = GAP):
         self.exact = {s: k for k, s in sentences.items() if "*" not in s}
-        self.open = [(k, re.compile("(?:.*)".join(map(re.escape, s.split("*"))))) for k, s in sentences.items() if "*" in s]
+        self.open = [(k, re.compile("(?:.*)".join(map(re.escape, s.split("*")))), s.split("*")[0], len(s.split()) + _OPEN) for k, s in sentences.items() if "*" in s]
+        heads = [*self.exact, *(h for _, _, h, _ in self.open)]
+        self.begun = {" ".join(w[:i]) for w in map(str.split, heads) for i in range(1, len(w) + 1)}
         self.rules = sorted(rules, key=lambda r: -len(r[1]))
         self.gap = gap
 
-    def _id(self, sentence: str) -> str | None:
-        s = normalise(sentence)
-        return self.exact.get(s) or next((k for k, p in self.open if p.fullmatch(s)), None)
+    def _from(self, pieces: list[tuple[int, int, str]], i: int) -> tuple[int, str] | None:
+        """The piece after, and the identifier of, the known sentence that starts with piece i: the longest without an asterisk, else the
+        shortest with one."""
+        s, best = "", None
+        for j in range(i, len(pieces)):
+            s = f"{s} {pieces[j][2]}" if s else pieces[j][2]
+            if found := self.exact.get(s):
+                best = j + 1, found
+            opened = [x for x in self.open if s.startswith(x[2]) and s.count(" ") < x[3]]
+            if not best:
+                if found := next((k for k, p, _, _ in opened if p.fullmatch(s)), None):
+                    return j + 1, found
+            if s not in self.begun and not opened:
+                break
+        return best
 
     def sentences(self, text: str) -> list[tuple[int, int, int, str]]:
-        """(number, start, end, identifier) of the known sentences. A sentence ends at a stop before white space or at an empty line; one
-        that is not known so is tried line by line, since notes often stand without a stop."""
-        out, at, number = [], 0, 0
+        """(number, start, end, identifier) of the known sentences. Texts fall into pieces at stops before white space and at the ends of
+        lines; a known sentence is any run of pieces that reads like it, so it may hold stops, line ends, empty lines and comment signs."""
+        pieces, at = [], 0
         for stop in [*(m.end() for m in _END.finditer(text)), len(text)]:
-            if stop <= at:
-                continue
-            found = self._id(text[at:stop])
-            if found:
-                out.append((number, at, stop, found))
-                number += 1
-            else:
-                a = at
-                for b in [*(m.end() for m in _LINE.finditer(text, at, stop)), stop]:
-                    if b > a:
-                        if found := self._id(text[a:b]):
-                            out.append((number, a, b, found))
-                        number += bool(normalise(text[a:b]))
-                    a = b
+            if stop > at and (s := normalise(text[at:stop])):
+                pieces.append((at, stop, s))
             at = stop
+        out, i, number = [], 0, 0
+        while i < len(pieces):
+            found = self._from(pieces, i)
+            if found:
+                out.append((number, pieces[i][0], pieces[found[0] - 1][1], found[1]))
+            i = found[0] if found else i + 1
+            number += 1
         return out
 
     def licences(self, found: list[tuple[int, int, int, str]]) -> list[tuple[str, int, int]]:

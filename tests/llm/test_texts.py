@@ -222,3 +222,54 @@ def test_lm_score_keeps_every_word_and_pair(spark, monkeypatch):
         for i, d in docs.items():
             p = [max(pairs.get((a, b), 0) - 0.75, 0) / mass.get(a, 1) + (0.75 * kinds[a] / mass[a] if a in mass else 1) * (words.get(b, 0) + 1) / (sum(words.values()) + 60_003) for a, b in zip(["^", *d], d)]
             assert got[i][which] == pytest.approx(-sum(map(math.log, p)) / len(d), abs=1e-9)
+
+
+APACHE = '''Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.'''
+GPL = '''    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+'''
+BSD = '''Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+3. Neither the name of Some Body, Inc. nor the names of its contributors may be
+   used to endorse or promote products derived from this software without
+   specific prior written permission.
+'''
+MPL = '''This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/2.0/.'''
+
+
+@pytest.mark.parametrize(
+    ("text", "licence", "sentences"),
+    [
+        ("# a file\n# SPDX-License-Identifier: MIT\nimport os\n", "MIT", 1), ("// SPDX-License-Identifier: Apache-2.0", "Apache-2.0", 1), ("SPDX-License-Identifier: GPL-2.0-only", "GPL-2.0-only", 1),
+        (APACHE, "Apache-2.0", 5), ("\n".join(f"# {x}".rstrip() for x in APACHE.split("\n")), "Apache-2.0", 5), ("/*\n" + "\n".join(f" * {x}" for x in APACHE.split("\n")) + "\n */", "Apache-2.0", 5),
+        ("x.py - a program\n" + GPL, "GPL-3.0-or-later", 3), (GPL.replace("software:", "software;").replace("Foundation,", "Foundation;").replace("version 3", "version 2"), "GPL-2.0-or-later", 3), (BSD, "BSD-3-Clause", 4), (MPL, "MPL-2.0", 1),
+    ],
+)
+def test_standard_notices(text, licence, sentences):
+    s = licenses.Scanner()
+    found = s.sentences(text)
+    assert [x[0] for x in s.licences(found)] == [licence] and len(found) == sentences

@@ -112,30 +112,34 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
 def main_text(page: str, width: int = WIDTH, surge: int = SURGE) -> str:
     """The lines between the points where the sums over ``width`` lines surge and where they fall to nothing; joined by a space.
 
-    In a page with articles only their lines count, and any text there is a surge. In others a surge is ``surge`` characters, or the
-    page's fullest block if that is less; and menus, that is mostly links, are left out.
+    A surge is ``surge`` characters, or the page's fullest block if that is less; menus, that is mostly links, are left out. Articles
+    decide among the surges: a surge in one takes in the article's lines before it, and if those in articles hold at least half of
+    the text of all surges, the others go.
     """
     lines = lines_of(page)
-    article = any(x[2] for x in lines)
-    if article:
-        lines = [x if x[2] else _BREAK for x in lines]
     sizes = [len(x[0]) for x in lines] + [0] * width
     sums = [sum(sizes[i : i + width]) for i in range(len(lines))]
-    least = 1 if article else max(1, min(surge, max(sums, default=0)))
-    kept: list[str] = []
-    i = 0
+    least = max(1, min(surge, max(sums, default=0)))
+    runs: list[list[tuple[str, int, bool]]] = []
+    i = end = 0
     while i < len(lines):
         if sums[i] < least or not sizes[i]:
             i += 1
             continue
-        stop = i
+        start = stop = i
+        while lines[i][2] and start > end and lines[start - 1][2]:
+            start -= 1
         while stop < len(lines) and sums[stop]:
             stop += 1
-        run = lines[i:stop]
-        if article or sum(x[1] for x in run) <= LINKS * sum(len(x[0]) for x in run):
-            kept += [x[0] for x in run if x[0]]
-        i = stop
-    return " ".join(kept)
+        run = lines[start:stop]
+        if sum(x[1] for x in run) <= LINKS * sum(len(x[0]) for x in run):
+            runs.append(run)
+        i = end = stop
+    size = [sum(len(x[0]) for x in run) for run in runs]
+    inside = [any(x[2] for x in run) for run in runs]  # articles begin and end with empty lines, so a run is in one or in none
+    if 2 * sum(n for n, x in zip(size, inside, strict=True) if x) >= sum(size) and any(inside):
+        runs = [run for run, x in zip(runs, inside, strict=True) if x]
+    return " ".join(x[0] for run in runs for x in run if x[0])
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:

@@ -273,3 +273,12 @@ def test_standard_notices(text, licence, sentences):
     s = licenses.Scanner()
     found = s.sentences(text)
     assert [x[0] for x in s.licences(found)] == [licence] and len(found) == sentences
+
+
+LONG = "This paragraph of the main text is long enough to be a surge, for it has many words in it and goes on for a while."
+
+
+def test_html_articles_are_evidence():
+    cards = "".join(f'<article><a href="/{k}">Teaser {k}</a></article>' for k in range(5))
+    assert html_extract.main_text(f"<body><div><p>{LONG}</p><p>{LONG}</p></div><section>{cards}</section></body>") == f"{LONG} {LONG}"
+    assert html_extract.main_text(f"<body><div><p>{LONG}</p></div><article><h1>T</h1><p>By</p><p>x</p><p>{LONG}</p><p>{LONG}</p><p>End.</p></article></body>") == f"T By x {LONG} {LONG} End."

@@ -31,27 +31,64 @@ _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for t in _RAW}
 _ATTRIBUTE = re.compile(r"(?:^|[\s\"'])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/\"']|$)", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _BREAK = ("", 0, False)
+#: Removed elements of the page's frame, after which text is another one; others, such as adverts, stand within a text.
+_FRAME = ("nav", "header", "footer")
+# Class tokens such as has-sidebar and comments-open tell a state of what holds other things.
+_STATE_BEFORE = ("has", "with", "without", "no", "not", "is", "hide", "hides", "show", "shows")
+_STATE_AFTER = ("open", "closed", "opened", "active", "inactive", "enabled", "disabled", "visible", "hidden", "on", "off", "left", "right", "none")
+
+
+def _hinted(value: str, inside: bool) -> tuple[bool, bool]:
+    """If a class, id or role names boilerplate; if one does so with nothing but a hint, so that there is no doubt."""
+    found = sure = False
+    for token in value.split():
+        words = [w.lower() for w in _WORD.findall(token)]
+        if len(words) > 1 and (words[0] in _STATE_BEFORE or words[-1] in _STATE_AFTER):
+            continue
+        hints = [w in _HINTS and not (inside and w in ("header", "search")) for w in words]
+        found |= any(hints)
+        sure |= bool(hints) and all(hints)
+    return found, sure
 
 
-def _boilerplate(tag: str, attributes: str, inside: bool) -> bool:
+def _boilerplate(tag: str, attributes: str, inside: bool) -> str:
+    """Empty if the element stays; else ``sure``, or ``hint`` where part of a class token tells."""
     if tag in _DROPPED:
-        return True
+        return "sure"
     if tag == "header":
-        return not inside  # an article's own header holds its title
+        return "" if inside else "sure"  # an article's own header holds its title
     if tag in _MAIN or tag in ("html", "body") or not attributes:
-        return False
+        return ""
+    why = ""
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
-        if name != "hidden" and any(w.lower() in _HINTS and not (inside and w.lower() in ("header", "search")) for w in _WORD.findall(value)):
-            return True
-    return False
+            return "sure"
+        found, sure = _hinted(value, inside)
+        if sure:
+            return "sure"
+        why = "hint" if found else why
+    return why
 
 
 def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """Text, characters of it in links and whether it stands in an article, of each block in page order. Boilerplate elements and the
-    ends of articles leave WIDTH empty lines, over which the distribution falls to nothing."""
+    """Text, characters of it in links and whether it stands in an article, of each block in page order. Removed parts of the page's frame
+    and the ends of articles leave WIDTH empty lines, over which the distribution falls to nothing; other removed elements leave none.
+    An element that only part of a class token makes boilerplate stays if it holds most of the page's text."""
+    kept: set[int] = set()
+    while True:
+        out, removed = _lines(page, kept)
+        total = sum(len(x[0]) for x in out) + sum(removed.values())
+        most = {at for at, n in removed.items() if 2 * n > total}
+        if not most:
+            return out
+        kept |= most
+
+
+def _lines(page: str, kept: set[int]) -> tuple[list[tuple[str, int, bool]], dict[int, int]]:
+    """The lines, and the text of each element that a hint removed, by its place; elements at the places ``kept`` stay."""
+    removed: dict[int, int] = {}
+    doubt = -1
     out: list[tuple[str, int, bool]] = []
     parts: list[str] = []
     links = at = inside = 0
@@ -71,6 +108,8 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
     while at < len(page):
         m = _TOKEN.search(page, at)
         stop = m.start() if m else len(page)
+        if stop > at and gone and doubt >= 0:
+            removed[doubt] += len("".join(page[at:stop].split()))
         if stop > at and not gone:
             text = html.unescape(page[at:stop])
             parts.append(text)
@@ -94,9 +133,12 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
                 continue
             else:
                 continue
-        if not close and tag not in _VOID and not attributes.rstrip().endswith("/") and _boilerplate(tag, attributes, inside > 0):
+        if not close and tag not in _VOID and not attributes.rstrip().endswith("/") and stop not in kept and (why := _boilerplate(tag, attributes, inside > 0)):
             gone, depth = tag, 1
-            end_line(gap=tag not in _INLINE and tag not in ("label", "button"))
+            doubt = stop if why == "hint" else -1
+            if doubt >= 0:
+                removed[doubt] = 0
+            end_line(gap=tag in _FRAME and not inside)
         elif tag == "br":
             parts.append(" ")
         elif tag in _INLINE:
@@ -106,7 +148,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             if tag in _MAIN:
                 inside = max(0, inside + (-1 if close else 1))
     end_line()
-    return out
+    return out, removed
 
 
 def main_text(page: str, width: int = WIDTH, surge: int = SURGE) -> str:

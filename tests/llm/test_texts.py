@@ -282,3 +282,10 @@ def test_html_articles_are_evidence():
     cards = "".join(f'<article><a href="/{k}">Teaser {k}</a></article>' for k in range(5))
     assert html_extract.main_text(f"<body><div><p>{LONG}</p><p>{LONG}</p></div><section>{cards}</section></body>") == f"{LONG} {LONG}"
     assert html_extract.main_text(f"<body><div><p>{LONG}</p></div><article><h1>T</h1><p>By</p><p>x</p><p>{LONG}</p><p>{LONG}</p><p>End.</p></article></body>") == f"T By x {LONG} {LONG} End."
+
+
+def test_html_adverts_and_states():
+    assert html_extract.main_text(f"<p>{LONG}</p><div class=ad>x</div><p>Short last line.</p><footer>f</footer>") == f"{LONG} Short last line."
+    assert html_extract.main_text(f"<p>{LONG}</p><div class=ad>x</div><h2>Head</h2><aside>y</aside><p>Short.</p><footer>f</footer><p>Site</p>") == f"{LONG} Head Short."
+    for value in ("content has-sidebar", "post-content comments-open", "layout sidebar-right", "social-page"):
+        assert html_extract.main_text(f'<body><div class="{value}"><p>{LONG}</p><p>End.</p></div><div class="ad-box">Buy</div></body>') == f"{LONG} End."

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -21,12 +22,14 @@ REFERENCES = 16
 GROUPS = 4
 #: Beyond this many different fingerprints, a bucket's links are found through the fingerprints between them, not as pairs.
 DENSE = 32
+#: Texts in the sample that tells common runs of words, and how often it has those.
+SAMPLE, COMMON = 5_000, 8
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
-def _fingerprints(texts: list[bytes], words: int, seed: int) -> np.ndarray:
-    """The fingerprint of each text whose words stand lower-cased, with one space between."""
+def _shingles(texts: list[bytes], words: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of ``words`` words, and the text of each; words stand lower-cased, with one space between."""
     buf = padded(b" ".join(texts) + b" ")
     sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     doc_start = np.cumsum(sizes) - sizes
@@ -43,8 +46,12 @@ def _fingerprints(texts: list[bytes], words: int, seed: int) -> np.ndarray:
     keep = (at + words - 1 <= last) | (first & (n[owner] < words))
     at = at[keep]
     stop = ends[np.minimum(at + words - 1, last[keep])]
-    h = xxh64_spans(buf, starts[at], stop - starts[at], seed)
-    owner = owner[at]
+    return xxh64_spans(buf, starts[at], stop - starts[at], seed), owner[at]
+
+
+def _fingerprints(texts: list[bytes], words: int, seed: int) -> np.ndarray:
+    """The fingerprint of each text."""
+    h, owner = _shingles(texts, words, seed)
     many = np.bincount(owner, minlength=len(texts))
     ones = np.empty((len(texts), 64), np.int64)
     for k, lane in enumerate(h.view(np.uint8).reshape(-1, 8).T):
@@ -146,10 +153,100 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(groups, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without those that have a near-duplicate of smaller doc_id in their group. Rows that repeat a doc_id, and
-    rows without one, stand or go together."""
-    groups = near_duplicates(docs, id_col, text_col)
+def shingle_sets(texts: list[str], words: int, seed: int = 42) -> list[np.ndarray]:
+    """The sorted different hashes of each text's runs of ``words`` words, of all its words where there are fewer."""
+    out: list[np.ndarray] = []
+    for a, b in chunks(texts):
+        h, owner = _shingles([b" ".join(t.encode("utf-8", "surrogatepass").lower().split()) for t in texts[a:b]], words, seed)
+        cuts = np.searchsorted(owner, np.arange(b - a + 1))
+        out += [np.unique(h[i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+    return out
+
+
+def _digest(hashes: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
+def _among(keys: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which of ``h`` are in sorted ``keys``."""
+    if not len(keys):
+        return np.zeros(len(h), bool)
+    return keys[np.minimum(np.searchsorted(keys, h), len(keys) - 1)] == h
+
+
+def _common(texts: DataFrame, words: int) -> np.ndarray:
+    """Sorted hashes of runs that a sample of about SAMPLE texts has often. They only decide an order, so the sample has no part in results."""
+    every = max(1, texts.count() // SAMPLE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*shingle_sets(b.column(0).to_pylist(), words), np.zeros(0, np.uint64)]).view(np.int64))], ["h"])
+
+    some = texts.where(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(every)) == 0)
+    rows = some.select("text").mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= COMMON).select("h").toLocalIterator()
+    return np.sort(np.fromiter((r["h"] for r in rows), np.int64).view(np.uint64))
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, like: float = 0.8) -> DataFrame:
+    """(doc_id, component_id): a row per row of ``docs``; the component is the smallest doc_id reachable over links of texts whose sets of
+    runs of ``words`` words have a Jaccard likeness of ``like`` or more.
+
+    Exact: under one order of all runs, the first n - ceil(like * n) + 1 of two sets as alike share one; those bucket the candidates,
+    whose whole sets are then compared. Common runs come last in the order. Equal sets are one node. A radius of fingerprints can't
+    do this: texts of likeness 0.8 differ by about ten bits, give or take some, and bit groups that agree are then of four bits.
+    Null texts count as empty and link to each other only; a null doc_id takes the component of its text.
+    """
+    spark = docs.sparkSession
+    ws = Workspace(spark, "similar")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    shared = spark.sparkContext.broadcast(_common(texts, words))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            sets, heads = shingle_sets(b.column(1).to_pylist(), words), []
+            for h in sets:
+                common = _among(shared.value, h)
+                heads.append(np.concatenate([h[~common], h[common]])[: len(h) - int(np.ceil(like * len(h) - 1e-9)) + 1].view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_digest(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int64()), pa.array(heads, pa.list_(pa.int64()))], ["doc_id", "digest", "n", "head"])
+
+    prints = ws.save(texts.mapInArrow(first, "doc_id long, digest long, n long, head array<long>"), "prints")
+    nodes = ws.save(prints.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("head").alias("head")).where("node is not null"), "nodes")
+    met = nodes.select("digest", "n", F.explode("head").alias("h"))
+    keyed = ws.save(met.join(met.groupBy("h").count().where("count > 1").select("h"), "h"), "keyed")
+    other = keyed.select(F.col("digest").alias("other"), F.col("n").alias("n_other"), "h")
+    near = (F.col("other") < F.col("digest")) & (F.least("n", "n_other") >= F.lit(like) * F.greatest("n", "n_other") - 1e-9)
+    pairs = ws.save(keyed.join(other, "h").where(near).select("digest", "other").distinct(), "pairs")
+    needed = pairs.select("digest").union(pairs.select(F.col("other"))).distinct().join(nodes.select("digest", "node"), "digest").select(F.col("node").alias("doc_id")).distinct()
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            sets = shingle_sets(b.column(0).to_pylist(), words)
+            yield pa.RecordBatch.from_arrays([pa.array([_digest(h) for h in sets], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())], ["digest", "hashes"])
+
+    sets = ws.save(texts.join(needed.hint("merge"), "doc_id", "left_semi").select("text").mapInArrow(whole, "digest long, hashes binary"), "sets")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            ok = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(both >= like * (len(x) + len(y) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["digest", "other"]).filter(pa.array(ok, pa.bool_()))
+
+    # Rows that repeat a doc_id may give a set twice, and so a link; components take links once.
+    both = pairs.join(sets.withColumnRenamed("hashes", "x").hint("merge"), "digest").join(sets.select(F.col("digest").alias("other"), F.col("hashes").alias("y")).hint("merge"), "other")
+    links = both.select("digest", "other", "x", "y").mapInArrow(verify, "digest long, other long")
+    ends = nodes.select("digest", F.col("node").alias("a")), nodes.select(F.col("digest").alias("other"), F.col("node").alias("b"))
+    found = connected_components(spark, links.join(ends[0], "digest").join(ends[1], "other").select("a", "b"), ws)
+    groups = ws.save(nodes.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id")), "groups")
+    return prints.select("doc_id", "digest").join(groups, "digest", "left").select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, like: float | None = None) -> DataFrame:
+    """The rows of ``docs`` without those that have a near-duplicate of smaller doc_id in their group: by fingerprints, or by the likeness
+    ``like`` of their runs of words. Rows that repeat a doc_id, and rows without one, stand or go together."""
+    groups = near_duplicates(docs, id_col, text_col, words=words) if like is None else similar(docs, id_col, text_col, words, like)
     name = free_name("gone", docs.columns)
     gone = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(name)).distinct()
     # Merged whatever the sizes, so that the plan is the same at any scale.

@@ -129,3 +129,28 @@ def test_spotsigs_classes(spark):
     s = {k: spotsigs.signatures(t or "") for k, t in rows if k is not None}
     want = groups(s, [(a, b) for a in s for b in s if a < b and spotsigs.jaccard(s[a], s[b]) >= 0.8])
     assert {k: got[k] for k in want} == want and got[None] == want[0]
+
+
+def test_similar(spark):
+    rng = random.Random(5)
+    texts = pq.read_table(DATA).column("text").to_pylist()[:90]
+
+    def edited(t):
+        w = t.split()
+        for _ in range(max(1, len(w) // rng.choice((50, 60, 90)))):
+            w[rng.randrange(len(w))] = "changed"
+        return " ".join(w)
+
+    rows = list(enumerate(texts)) + [(1000 + i, edited(t)) for i, t in enumerate(texts)] + [(3000, None), (3001, ""), (None, texts[0]), (3002, "two words")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar(df).collect()}
+    sets = {}
+    for k, t in rows:
+        w = (t or "").lower().split()
+        sets[k] = {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    alike = {(a, b): (len(sets[a] & sets[b]) / len(sets[a] | sets[b]) if sets[a] | sets[b] else 1) for a in sets for b in sets if None not in (a, b) and a < b}
+    want = groups([k for k in sets if k is not None], [p for p, x in alike.items() if x >= 0.8])
+    assert {k: got[k] for k in want} == want and got[None] == want[0] and sum(want[1000 + i] == want[i] for i in range(90)) > 20
+    kept = {r.doc_id for r in simhash.one_of_each(df, words=5, like=0.8).collect()}
+    assert kept == {None, *want.values()}
+    assert simhash.similar(df.limit(0)).count() == 0

@@ -28,12 +28,18 @@ class Rule:
         return hashlib.sha256(repr((self.kind, self.pattern, self.group, self.least)).encode()).hexdigest()[:16]
 
 
+# The key as far as its END line; without one as far as lines of base 64 go, a short last line included; a header alone otherwise.
+_KEY = (
+    r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
+    r"(?:(?:[\x20\t\r\n]*Proc-Type:[\x20-\x7E]*[\x20\t\r\n]*DEK-Info:[A-Za-z0-9,\x20-]*)?[A-Za-z0-9+/=\x20\t\r\n\\:,\"'>#*|]*-----END [A-Z ]{0,40}PRIVATE KEY-----"
+    r"|(?:[\x20\t\r\n]*Proc-Type:[\x20-\x7E]*[\x20\t\r\n]*DEK-Info:[A-Za-z0-9,\x20-]*)?[\x20\t\r\n\\nr]{0,8}[A-Za-z0-9+/=]{16,}(?:[A-Za-z0-9+/=\x20\t\r\n\\]*[A-Za-z0-9+/=]{16,})?(?:\r?\n[A-Za-z0-9+/=]{1,15}(?:\n|$))?)?"
+)
 #: The first three are the base rules. A run of hex digits that is too short can hold no longer match, so the bound stands in the pattern.
 RULES = (
     Rule("assign", r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 8),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 16),
     Rule("hex", r"[0-9a-f]{32,}", 0, 32),
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("private_key", _KEY),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),

@@ -16,7 +16,7 @@ from .components import connected_components
 from .hashing import padded, xxh64_spans
 
 WORDS, MAX_BITS = 3, 2
-#: Reference fingerprints of the distance table, besides zero and the 64 of one bit each.
+#: Reference fingerprints of the distance table, besides zero.
 REFERENCES = 16
 #: The 64 one-bit references are taken in this many groups; two fingerprints at MAX_BITS or less agree on all but MAX_BITS groups.
 GROUPS = 4
@@ -110,7 +110,8 @@ def _buckets(fp: Column, keep: int, groups: int = GROUPS) -> Column:
 def near_edges(spark: SparkSession, nodes: DataFrame, ws: Workspace, max_bits: int = MAX_BITS, dense: int = DENSE) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs of ``nodes`` (node, fp; fp differs) at ``max_bits`` or less.
 
-    Distances of every fingerprint to the references are laid down in a table. Fingerprints within ``max_bits`` agree on all
+    Distances of every fingerprint to zero and to REFERENCES references are laid down in a table; those to one-bit references are not, for
+    less the one to zero they are the bits, which are masked instead. Fingerprints within ``max_bits`` agree on all
     one-bit references of GROUPS - max_bits groups at least, which buckets them. In a bucket of at most ``dense`` fingerprints,
     pairs whose distances to any reference differ by more than ``max_bits`` are discarded (triangle inequality) and the rest are
     verified. The members of a fuller bucket are linked, exactly as well, through the fingerprints one bit away from them: two

@@ -22,7 +22,7 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, chunks, free_name, once, shared_dir, slices, text_or_empty
+from .common import Workspace, chunks, free_name, map_arrow, once, shared_dir, slices, text_or_empty
 
 #: A word is frequent if it makes up this share of all words; so there are 1 / SHARE of them at most.
 SHARE = 4e-6
@@ -289,7 +289,7 @@ def word_counts(docs: DataFrame, source: bytes, text_col: str = "text") -> DataF
                 n.pop(i, None)
             yield pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64())], ["word", "n"])
 
-    return docs.where(F.col(text_col).isNotNull()).select(text_col).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.where(F.col(text_col).isNotNull()).select(text_col).transform(map_arrow, run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def compile_lexicon(docs: DataFrame, model_path: str, ws: Workspace, text_col: str = "text", share: float = SHARE) -> str:
@@ -336,7 +336,7 @@ def encode(docs: DataFrame, model_path: str, lexicon: str, text_col: str = "text
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(ids, pa.binary()), pa.array(said, pa.string())], [*(f.name for f in kept), "ids", "decoded"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "ids binary, decoded string"])
-    return docs.select(text_or_empty(text_col).alias(own), *[F.col(f"`{f.name}`") for f in kept]).mapInArrow(run, schema)
+    return docs.select(text_or_empty(text_col).alias(own), *[F.col(f"`{f.name}`") for f in kept]).transform(map_arrow, run, schema)
 
 
 def n_ids(ids: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import tempfile
 import types
@@ -13,12 +14,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SETTING = "spark.checkpoint.dir"
+#: Bytes of a batch between the JVM and a worker.
+BATCH = 4 << 20
+
+
+_ARROW = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; where that is unset (tests), a temporary folder of this process."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where that is unset, a temporary folder of this process, on a local master only:
+    on a cluster the setting is needed."""
     found = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError(f"{_SETTING} must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="hanloom-")
         spark.conf.set(_SETTING, found)
     return found.rstrip("/")
@@ -43,6 +52,14 @@ class Workspace:
         where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: object) -> DataFrame:
+    """``df.mapInArrow``, with batches of about BATCH bytes unless the session sets a size: rows of text are long, and both the JVM and the
+    worker hold a batch whole."""
+    if df.sparkSession.conf.get(_ARROW, None) is None:
+        df.sparkSession.conf.set(_ARROW, str(BATCH))
+    return df.mapInArrow(run, schema)
+
+
 def worker_state() -> dict:
     """A dictionary that lives as long as the Python worker, over all its tasks."""
     name = "_hanloom_worker_state"

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import map_arrow, slices
 
 #: Lines a block sums, and the characters from which a block counts as a surge.
 WIDTH, SURGE = 3, 86
@@ -194,4 +194,4 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([main_text(h or "") for h in b.column(1).to_pylist()], pa.string())], ["row", "text"])
 
     rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), F.col(f"`{html_col}`").alias("html"))
-    return rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("text", T.StringType())]))
+    return rows.transform(map_arrow, run, T.StructType([rows.schema["row"], T.StructField("text", T.StringType())]))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, once, slices, worker_state
+from .common import chunks, map_arrow, once, slices, worker_state
 
 ORDER = 5
 #: The most labelled rows of a language that the models are fitted on; chosen by a hash of doc_id.
@@ -244,7 +244,7 @@ def identify(docs: DataFrame, model: Identifier, text_col: str = "text") -> Data
 
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     schema = T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("loss", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
-    return rows.mapInArrow(run, schema)
+    return rows.transform(map_arrow, run, schema)
 
 
 def accepted(docs: DataFrame, model: Identifier, text_col: str = "text") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import map_arrow, slices
 
 #: Unknown sentences that may stand between two of a rule.
 GAP = 2
@@ -197,4 +197,4 @@ def scan(docs: DataFrame, text_col: str = "text", scanner: Scanner | None = None
             yield pa.RecordBatch.from_arrays([b.column(0), ids, names], ["row", "sentences", "licences"])
 
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("sentences", sentence), T.StructField("licences", licence)]))
+    return rows.transform(map_arrow, run, T.StructType([rows.schema["row"], T.StructField("sentences", sentence), T.StructField("licences", licence)]))

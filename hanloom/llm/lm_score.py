@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Workspace, slices, worker_state
+from .common import Workspace, map_arrow, slices, worker_state
 from .hashing import mix
 
 #: Words and bigrams below these shares of all tokens have no entry of their own. Zero: all have one, and the model grows with the corpus.
@@ -80,7 +80,7 @@ def _counted(docs: DataFrame, vocabulary: np.ndarray | None) -> DataFrame:
             counts = np.bincount(place, own, len(first)).astype(np.int64), np.bincount(place, minlength=len(first))
             yield pa.RecordBatch.from_arrays([pa.array(before[first].view(np.int64)), pa.array(words[first].view(np.int64)), *map(pa.array, counts)], names)
 
-    rows = docs.select("text", F.col("target").cast("double")).mapInArrow(run, "before long, word long, n_target long, n_all long")
+    rows = docs.select("text", F.col("target").cast("double")).transform(map_arrow, run, "before long, word long, n_target long, n_all long")
     return rows.groupBy("before", "word").agg(F.sum("n_target").alias("n_target"), F.sum("n_all").alias("n_all"))
 
 
@@ -142,7 +142,7 @@ def _parts(docs: DataFrame, vocabulary: np.ndarray | None, buckets: int) -> Data
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), *[pa.binary()] * 3), strict=True)], names)
 
-    return docs.select("text", F.col("target").cast("double")).mapInArrow(run, _PARTS)
+    return docs.select("text", F.col("target").cast("double")).transform(map_arrow, run, _PARTS)
 
 
 @dataclass
@@ -226,7 +226,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().bytes]), of, pa.array([keys.tobytes()]), pa.array([place.astype(np.uint32).tobytes()]), pa.array([n.tobytes()])], ["slice", "rows", "words", "place", "n"])
 
     packed = T.StructType([T.StructField("slice", T.BinaryType()), T.StructField("rows", T.ArrayType(rows.schema["row"].dataType)), *(T.StructField(c, T.BinaryType()) for c in ("words", "place", "n"))])
-    packs = ws.save(rows.mapInArrow(pack, packed), "slices")
+    packs = ws.save(rows.transform(map_arrow, pack, packed), "slices")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -236,7 +236,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 out = [(s, kind, k, keys[at].tobytes()) for kind, keys in ((_WORD, np.union1d(words, [_START])), (_PAIR, _slice(words[place], n)[0])) for k, at in _dealt(keys, buckets)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.binary(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["slice", "kind", "bucket", "keys"])
 
-    asked = packs.select("slice", "words", "place", "n").mapInArrow(ask, "slice binary, kind int, bucket int, keys binary")
+    asked = packs.select("slice", "words", "place", "n").transform(map_arrow, ask, "slice binary, kind int, bucket int, keys binary")
 
     def answer(key: tuple, asking: pa.Table, table: pa.Table) -> pa.Table:
         kind = key[0].as_py()

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, chunks, free_name, slices, text_or_empty
+from .common import Workspace, chunks, free_name, map_arrow, slices, text_or_empty
 from .components import connected_components
 from .hashing import padded, xxh64_spans
 
@@ -75,7 +75,7 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             fp = fingerprint_texts(b.column(1).to_pylist(), words, seed)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).transform(map_arrow, run, "doc_id long, fp long")
 
 
 def references(n: int = REFERENCES) -> list[int]:
@@ -184,7 +184,7 @@ def _common(texts: DataFrame, words: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*shingle_sets(b.column(0).to_pylist(), words), np.zeros(0, np.uint64)]).view(np.int64))], ["h"])
 
     some = texts.where(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(every)) == 0)
-    rows = some.select("text").mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= COMMON).select("h").toLocalIterator()
+    rows = some.select("text").transform(map_arrow, run, "h long").groupBy("h").count().where(F.col("count") >= COMMON).select("h").toLocalIterator()
     return np.sort(np.fromiter((r["h"] for r in rows), np.int64).view(np.uint64))
 
 
@@ -210,7 +210,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
                 heads.append(np.concatenate([h[~common], h[common]])[: len(h) - int(np.ceil(like * len(h) - 1e-9)) + 1].view(np.int64))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_digest(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int64()), pa.array(heads, pa.list_(pa.int64()))], ["doc_id", "digest", "n", "head"])
 
-    prints = ws.save(texts.mapInArrow(first, "doc_id long, digest long, n long, head array<long>"), "prints")
+    prints = ws.save(texts.transform(map_arrow, first, "doc_id long, digest long, n long, head array<long>"), "prints")
     nodes = ws.save(prints.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("head").alias("head")).where("node is not null"), "nodes")
     met = nodes.select("digest", "n", F.explode("head").alias("h"))
     keyed = ws.save(met.join(met.groupBy("h").count().where("count > 1").select("h"), "h"), "keyed")
@@ -224,7 +224,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
             sets = shingle_sets(b.column(0).to_pylist(), words)
             yield pa.RecordBatch.from_arrays([pa.array([_digest(h) for h in sets], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())], ["digest", "hashes"])
 
-    sets = ws.save(texts.join(needed.hint("merge"), "doc_id", "left_semi").select("text").mapInArrow(whole, "digest long, hashes binary"), "sets")
+    sets = ws.save(texts.join(needed.hint("merge"), "doc_id", "left_semi").select("text").transform(map_arrow, whole, "digest long, hashes binary"), "sets")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -237,7 +237,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
 
     # Rows that repeat a doc_id may give a set twice, and so a link; components take links once.
     both = pairs.join(sets.withColumnRenamed("hashes", "x").hint("merge"), "digest").join(sets.select(F.col("digest").alias("other"), F.col("hashes").alias("y")).hint("merge"), "other")
-    links = both.select("digest", "other", "x", "y").mapInArrow(verify, "digest long, other long")
+    links = both.select("digest", "other", "x", "y").transform(map_arrow, verify, "digest long, other long")
     ends = nodes.select("digest", F.col("node").alias("a")), nodes.select(F.col("digest").alias("other"), F.col("node").alias("b"))
     found = connected_components(spark, links.join(ends[0], "digest").join(ends[1], "other").select("a", "b"), ws)
     groups = ws.save(nodes.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id")), "groups")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Workspace, slices, text_or_empty
+from .common import Workspace, map_arrow, slices, text_or_empty
 from .components import connected_components
 
 #: Content words in a chain; likeness of near-duplicates.
@@ -71,7 +71,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([to_string(signatures(t)) for t in b.column(1).to_pylist()], pa.string())], ["doc_id", "fingerprint"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(run, "doc_id long, fingerprint string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).transform(map_arrow, run, "doc_id long, fingerprint string")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", like: float = LIKE) -> DataFrame:
@@ -93,7 +93,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             n = [len(s) for s in sets]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), n)), pa.array(np.repeat(n, n).astype(np.int64)), pa.array(np.concatenate([*sets, np.zeros(0, np.uint32)]).astype(np.int64))], ["node", "n", "sig"])
 
-    sigs = ws.save(nodes.select("node", "fingerprint").mapInArrow(spread, "node long, n long, sig long"), "signatures")
+    sigs = ws.save(nodes.select("node", "fingerprint").transform(map_arrow, spread, "node long, n long, sig long"), "signatures")
     counted = ws.save(sigs.groupBy("sig").count(), "signature-counts")
     order = Window.partitionBy("node").orderBy("count", "sig")
     rare = sigs.join(counted, "sig").withColumn("k", F.row_number().over(order)).where(F.col("k") <= F.col("n") - F.ceil(F.lit(like) * F.col("n")) + 1)
@@ -109,7 +109,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             ok = pa.array([jaccard(from_string(x), from_string(y), like) >= like for x, y in zip(f, g, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(ok)
 
-    edges = pairs.join(left, "a").join(right, "b").select("a", "b", "f_a", "f_b").mapInArrow(verify, "a long, b long")
+    edges = pairs.join(left, "a").join(right, "b").select("a", "b", "f_a", "f_b").transform(map_arrow, verify, "a long, b long")
     found = connected_components(spark, edges, ws)
     groups = ws.save(nodes.join(found, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("component_id")), "groups")
     return prints.join(groups, "fingerprint", "left").select("doc_id", "component_id")
@@ -170,4 +170,4 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()), strict=True)], names)
 
-    return rows.mapInArrow(run, "doc_id long, n_chars long, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return rows.transform(map_arrow, run, "doc_id long, n_chars long, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -1,10 +1,10 @@
 """Per-text operators: tokenizers against their libraries, models against their definitions, extraction and scans against plain code."""
 
-import hashlib
 import html
 import math
 import random
 import re
+import shutil
 
 import numpy as np
 import public_tokenizers
@@ -200,8 +200,23 @@ def test_licenses(spark):
             assert s.licences(s.sentences(t))
 
 
-def test_digest_of_model_is_part_of_the_key():
-    assert len(hashlib.sha256(open(PIECE, "rb").read()).digest()) == 32
+def test_token_cache_by_tokenizer_and_twice(spark, tmp_path, monkeypatch):
+    rows = [(1, "a b", "x"), (1, "a b", "x"), (2, "a b", "y"), (None, "c", None), (None, "c", None), (3, None, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, content string")
+    cache, other = str(tmp_path / "cache"), str(tmp_path / "other.model")
+    shutil.copy(PIECE, other)
+    with open(other, "ab") as f:
+        f.write(b"\x9a\x7d\x01x")  # an unknown field: the same pieces, another digest
+    for path in (PIECE, other):
+        first = sorted(map(str, token_counts.count_tokens(df, path, cache).collect()))
+        assert len(first) == len(rows)
+    kept = spark.read.parquet(cache)
+    assert kept.count() == 6 and kept.select("tokenizer").distinct().count() == 2
+    spark.read.parquet(cache).coalesce(1).write.mode("append").parquet(cache)  # as two jobs at a time leave it
+    assert sorted(map(str, token_counts.count_tokens(df, other, cache).collect())) == first
+    monkeypatch.setattr(token_counts, "_KEPT", 8)
+    counter, sp = token_counts.PieceCounter(open(PIECE, "rb").read()), sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    assert counter.by_word and counter.counts(texts()) == [len(sp.encode(t)) for t in texts()] and len(counter.words) <= 8 >= len(counter.words.old)
 
 
 def test_lm_score_keeps_every_word_and_pair(spark, monkeypatch):

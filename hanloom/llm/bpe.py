@@ -7,11 +7,10 @@ import heapq
 import json
 import mmap
 import re
-import sys
 import unicodedata
-from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import lru_cache, partial
 from itertools import chain
 from pathlib import Path
 
@@ -26,13 +25,19 @@ from .common import Workspace, chunks, free_name, map_arrow, once, shared_dir, s
 
 #: A word is frequent if it makes up this share of all words; so there are 1 / SHARE of them at most.
 SHARE = 4e-6
-#: Longer words are merged and not kept.
-_LONGEST, _KEPT, _SHORT = 64, 1 << 17, 48
-#: Latin letters without case pairs of several characters; texts of these and plain ASCII take a quicker way.
-_LATIN = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u01c3\u01cd-\u024f"
+#: Longer words are merged one by one and not kept; of others a worker keeps two generations of so many.
+_LONGEST, _KEPT = 64, 1 << 16
+
+
+def _latin() -> str:
+    """A regex class of Latin letters in NFC whose lower case is one letter of the class; texts of these and plain ASCII take a quicker way."""
+    found = {chr(i) for i in range(0xC0, 0x250) if chr(i).isalpha() and unicodedata.is_normalized("NFC", chr(i))}
+    return "".join(sorted(c for c in found if c.lower() in found))
+
+
+_LATIN = _latin()
 _PLAIN = re.compile(f"[\t\n\r -~\u00a1\u00a7\u00ab\u00bb\u00bf\u2010-\u2027{_LATIN}]*")
-_BIG_ENDIAN = sys.byteorder == "big" or array("I").itemsize != 4
-_NONE = (1 << 60, -1)
+_NO_PAIR = 1 << 60
 _MAGIC = b"HLTX0001"
 
 
@@ -48,11 +53,43 @@ def _byte_symbols() -> list[str]:
     return out
 
 
+@lru_cache(maxsize=1)
+def unlike() -> bytes:
+    """A bit for each code point for which the library's tables may differ from Python's: those that Python's Unicode leaves unassigned, and
+    those found by probing letters, numbers, white space, normal forms, also beside marks of low and of high class, and lower case."""
+    from tokenizers import Regex, normalizers, pre_tokenizers
+
+    chars = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    bad = {c for c in chars if unicodedata.category(c) == "Cn"}
+    whole = "".join(c for c in chars if c not in bad)
+    for kind in ("\\p{L}", "\\p{N}", "\\s"):
+        runs = pre_tokenizers.Split(Regex(f"{kind}+"), "removed", invert=True).pre_tokenize_str(whole)
+        bad.update(set("".join(regex.findall(f"{kind}+", whole))) ^ set("".join(r for r, _ in runs)))
+    # Ideographs, syllables and private characters have neither case nor, by rule, another normal form than Python gives.
+    same = regex.compile(r"[\p{Co}\u3400-\u9fff\uac00-\ud7a3\U00020000-\U0002f7ff\U00030000-\U000323af]")
+    probed = [c for c in whole if c != "\n" and not same.match(c)]
+    frames = ("{}", "a{}\u0334", "a\u0345{}")
+    steps = ((normalizers.NFC(), partial(unicodedata.normalize, "NFC")), (normalizers.NFD(), partial(unicodedata.normalize, "NFD")), (normalizers.Lowercase(), lambda t: "".join(map(str.lower, t))))
+    for library, own in steps:
+        for frame in frames:
+            text = "\n".join(map(frame.format, probed))
+            bad.update(c for c, x, y in zip(probed, library.normalize_str(text).split("\n"), own(text).split("\n"), strict=True) if x != y)
+    for c in probed:  # a composition that only one side knows
+        if (parts := unicodedata.normalize("NFD", c)) != c and (c in bad or normalizers.NFC().normalize_str(parts) != unicodedata.normalize("NFC", parts)):
+            bad.update(parts)
+    table = np.zeros(0x110000, bool)
+    table[[ord(c) for c in bad]] = True
+    return np.packbits(table).tobytes()
+
+
 class WordBpe:
     """The model of a tokenizers file of the kind: NFC, white space runs to one space, lower case; split by pattern, byte symbols, BPE
-    with word ends. Anything else in the file is refused."""
+    with word ends. Anything else in the file is refused. ``odd``: what ``unlike`` gives for the file; texts with such a code point
+    are left to the library."""
 
-    def __init__(self, source: bytes):
+    def __init__(self, source: bytes, odd: bytes = b""):
+        self.source = source
+        self.odd = np.unpackbits(np.frombuffer(odd or bytes(0x110000 // 8), np.uint8)).astype(bool)
         spec = json.loads(source)
         kinds = [x["type"] for x in spec["normalizer"]["normalizers"]]
         split, level = spec["pre_tokenizer"]["pretokenizers"]
@@ -74,6 +111,14 @@ class WordBpe:
         symbols = _byte_symbols()
         self.first = [self.vocab[s] for s in symbols]
         self.last = [self.vocab[s + self.end] for s in symbols]
+        self._first, self._last = np.array(self.first, np.int64), np.array(self.last, np.int64)
+        pairs = np.array([a << 32 | b for a, b in self.ranks], np.int64)
+        order = np.argsort(pairs)
+        self._pairs, self._pair_rank = pairs[order], np.fromiter((k for k, _ in self.ranks.values()), np.int64, len(pairs))[order]
+        self._merged = np.zeros(len(merges) + 1, np.int64)
+        for k, one in self.ranks.values():
+            self._merged[k] = one
+        self._library = None
         pattern = split["pattern"]["Regex"]
         self.pattern = regex.compile(pattern)
         self.plain = re.compile(pattern.replace("[\\p{L}]", f"[a-z{_LATIN}]").replace("[\\p{N}]", "[0-9]").replace("[^\\s\\p{L}\\p{N}]", f"[^\\sa-z0-9{_LATIN}]"))
@@ -83,21 +128,53 @@ class WordBpe:
 
     def merge(self, word: bytes) -> list[int]:
         """Merges the adjacent pair of least rank, the leftmost first, until none is left."""
-        ids = [self.first[b] for b in word[:-1]] + [self.last[word[-1]]]
-        return self._merge_short(ids) if len(ids) <= _SHORT else self._merge_long(ids)
-
-    def _merge_short(self, ids: list[int]) -> list[int]:
-        get = self.ranks.get
-        ranks = [get(p, _NONE) for p in zip(ids, ids[1:])]
-        while len(ids) > 1 and (best := min(ranks)) is not _NONE:
-            i = ranks.index(best)
-            one = ids[i] = best[1]
-            del ids[i + 1], ranks[i]
-            if i:
-                ranks[i - 1] = get((ids[i - 1], one), _NONE)
-            if i < len(ranks):
-                ranks[i] = get((one, ids[i + 1]), _NONE)
-        return ids
+        return self._merge_long([self.first[b] for b in word[:-1]] + [self.last[word[-1]]])
+
+    def merge_all(self, words: list[bytes]) -> list[np.ndarray]:
+        """``merge`` of many short words at once: in each step every word that has a pair left merges its best one."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        if not len(words):
+            return []
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        of = np.repeat(np.arange(len(words)), sizes)
+        ids = self._first[raw]
+        stop = np.cumsum(sizes) - 1
+        ids[stop] = self._last[raw[stop]]
+        rank = np.full(len(ids), _NO_PAIR)
+        inner = np.flatnonzero(of[1:] == of[:-1])
+        rank[inner] = self._rank(ids[inner], ids[inner + 1])
+        done_of, done_ids = [], []
+        while len(ids):
+            start = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+            best = np.repeat(np.minimum.reduceat(rank, start), np.diff(np.append(start, len(ids))))
+            left = best < _NO_PAIR
+            if not left.all():
+                done_of.append(of[~left])
+                done_ids.append(ids[~left])
+                of, ids, rank, best = of[left], ids[left], rank[left], best[left]
+                if not len(ids):
+                    break
+            at = np.flatnonzero(rank == best)
+            at = at[np.concatenate(([True], of[at[1:]] != of[at[:-1]]))]
+            ids[at] = self._merged[rank[at]]
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            of, ids, rank = of[keep], ids[keep], rank[keep]
+            at -= np.arange(len(at))
+            for p in (at, at[at > 0] - 1):
+                pair = p[p + 1 < len(ids)]
+                rank[p] = _NO_PAIR
+                pair = pair[of[pair] == of[pair + 1]]
+                rank[pair] = self._rank(ids[pair], ids[pair + 1])
+        of, ids = np.concatenate(done_of), np.concatenate(done_ids)
+        order = np.argsort(of, kind="stable")
+        return np.split(ids[order].astype(np.uint32), np.cumsum(np.bincount(of, minlength=len(words)))[:-1])
+
+    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a << 32 | b
+        at = np.searchsorted(self._pairs, key)
+        at[at == len(self._pairs)] = 0
+        return np.where(self._pairs[at] == key, self._pair_rank[at], _NO_PAIR)
 
     def _merge_long(self, ids: list[int]) -> list[int]:
         n = len(ids)
@@ -118,8 +195,8 @@ class WordBpe:
                     heapq.heappush(heap, (ranks[p][0], a, p))
         return [x for x in ids if x >= 0]
 
-    def _pieces(self, text: str) -> list[str]:
-        if _PLAIN.fullmatch(text):  # in NFC; letters, digits and white space are told apart without Unicode's tables
+    def _pieces(self, text: str, plain: bool) -> list[str]:
+        if plain:  # in NFC; letters, digits and white space are told apart without Unicode's tables
             return self.plain.findall(text.lower())
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
@@ -127,17 +204,27 @@ class WordBpe:
         text = "".join(map(str.lower, text)) if "Σ" in text else text.lower()
         return self.pattern.findall(text)
 
-    def pieces(self, text: str) -> list[str | int]:
-        """Words, and the ids of special strings, which stand apart as in the library."""
+    def pieces(self, text: str) -> list[str | int] | None:
+        """Words, and the ids of special strings, which stand apart as in the library; None if a code point leaves the text to the library."""
+        plain = _PLAIN.fullmatch(text) is not None
+        if not plain and self.odd[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")].any():
+            return None
         if self.at_special is None or "<" not in text or not self.at_special.search(text):
-            return self._pieces(text)
+            return self._pieces(text, plain)
         out: list[str | int] = []
         at = 0
         for m in self.at_special.finditer(text):
-            out += self._pieces(text[at : m.start()])
+            out += self._pieces(text[at : m.start()], plain)
             out.append(self.special[m[0]])
             at = m.end()
-        return out + self._pieces(text[at:])
+        return out + self._pieces(text[at:], plain)
+
+    def by_library(self, text: str) -> list[int]:
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_str(self.source.decode())
+        return self._library.encode(text, add_special_tokens=False).ids
 
     def decode(self, ids: Iterable[int]) -> str:
         """The file names no decoder: tokens stand with a space between."""
@@ -248,10 +335,15 @@ class Encoder:
 
     def _learn(self, words: list[str]) -> None:
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
-        for w, b, n in zip(words, raw, self.lexicon.numbers(raw).tolist(), strict=True):
-            ids = self.lexicon.ids_of(n).tolist() if n >= 0 else self.model.merge(b)
-            self.ids[w] = np.array(ids, "<u4").tobytes() if _BIG_ENDIAN else array("I", ids).tobytes()
-            self.said[w] = self.model.decode(ids)
+        numbers = self.lexicon.numbers(raw)
+        unseen = np.flatnonzero(numbers < 0).tolist()
+        short = [i for i in unseen if len(raw[i]) <= _LONGEST]
+        merged = dict(zip(short, self.model.merge_all([raw[i] for i in short]), strict=True))
+        text, token = self.model.tokens, "<u4"
+        for i, (w, n) in enumerate(zip(words, numbers.tolist(), strict=True)):
+            ids = self.lexicon.ids_of(n) if n >= 0 else merged[i] if i in merged else np.array(self.model.merge(raw[i]), token)
+            self.ids[w] = ids.astype(token, copy=False).tobytes()
+            self.said[w] = " ".join([text[k] for k in ids.tolist()])
 
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
         """Ids as little-endian unsigned 32-bit integers; what they decode to."""
@@ -263,12 +355,19 @@ class Encoder:
             for i in self.model.special.values():
                 self.ids[i], self.said[i] = np.array([i], "<u4").tobytes(), self.model.tokens[i]
             split = [self.model.pieces(t) for t in texts[a:b]]
-            new = set(chain.from_iterable(split)).difference(self.ids)
-            for w in new.intersection(self.old[0]):
-                self.ids[w], self.said[w] = self.old[0][w], self.old[1][w]
-            self._learn(list(new.difference(self.old[0])))
-            ids += [b"".join(map(self.ids.__getitem__, words)) for words in split]
-            said += [" ".join(map(self.said.__getitem__, words)) for words in split]
+            new = [w for w in set(chain.from_iterable(x for x in split if x)) if w not in self.ids]
+            for w in new:
+                if w in self.old[0]:
+                    self.ids[w], self.said[w] = self.old[0][w], self.old[1][w]
+            self._learn([w for w in new if w not in self.ids])
+            for t, words in zip(texts[a:b], split, strict=True):
+                if words is None:
+                    own = self.model.by_library(t)
+                    ids.append(np.array(own, "<u4").tobytes())
+                    said.append(self.model.decode(own))
+                else:
+                    ids.append(b"".join([self.ids[w] for w in words]))
+                    said.append(" ".join([self.said[w] for w in words]))
             for w in new:
                 if len(w) > _LONGEST:
                     del self.ids[w], self.said[w]
@@ -277,14 +376,14 @@ class Encoder:
 
 def word_counts(docs: DataFrame, source: bytes, text_col: str = "text") -> DataFrame:
     """(word, n) over all whole texts; counts of a batch are summed before the shuffle."""
-    shared, key = docs.sparkSession.sparkContext.broadcast(source), hashlib.sha256(source).hexdigest()
+    shared, key = docs.sparkSession.sparkContext.broadcast((source, unlike())), hashlib.sha256(source).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = once(("bpe", key), lambda: WordBpe(shared.value))
+        model = once(("bpe", key), lambda: WordBpe(*shared.value))
         for b in slices(batches):
             n: Counter = Counter()
             for t in b.column(0).to_pylist():
-                n.update(model.pieces(t))
+                n.update(model.pieces(t) or ())
             for i in model.special.values():
                 n.pop(i, None)
             yield pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64())], ["word", "n"])
@@ -322,14 +421,14 @@ def encode(docs: DataFrame, model_path: str, lexicon: str, text_col: str = "text
     """
     sc = docs.sparkSession.sparkContext
     source = Path(model_path).read_bytes()
-    shared, key = sc.broadcast(source), hashlib.sha256(source).hexdigest()
+    shared, key = sc.broadcast((source, unlike())), hashlib.sha256(source).hexdigest()
     sc.addFile(lexicon)
     name = lexicon.rsplit("/", 1)[-1]
     kept = [f for f in docs.schema.fields if f.name not in ("ids", "decoded")]
     own = free_name("_text", docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = once(("bpe", key), lambda: WordBpe(shared.value))
+        model = once(("bpe", key), lambda: WordBpe(*shared.value))
         encoder = once(("encoder", key, name), lambda: Encoder(model, Lexicon.mapped(SparkFiles.get(name))))
         for b in slices(batches):
             ids, said = encoder.encode(b.column(0).to_pylist())

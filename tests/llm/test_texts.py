@@ -59,12 +59,30 @@ def test_lexicon_is_minimal():
 
 def test_merges_agree():
     model = bpe.WordBpe(open(WORD, "rb").read())
-    for t in texts(5)[-400:]:
-        for w in model.pieces(t):
-            if not isinstance(w, int):
-                b = w.encode()
-                first = [model.first[x] for x in b[:-1]] + [model.last[b[-1]]]
-                assert model._merge_long(list(first)) == model._merge_short(list(first))
+    words = [w.encode() for t in texts(5) for w in model.pieces(t) if not isinstance(w, int)]
+    assert model.merge_all([]) == [] and [x.tolist() for x in model.merge_all(words)] == [model.merge(w) for w in words]
+
+
+def test_every_code_point():
+    tk, source = Tokenizer.from_file(WORD), open(WORD, "rb").read()
+    model = bpe.WordBpe(source, bpe.unlike())
+    encoder = bpe.Encoder(model, bpe.Lexicon(bpe.Lexicon.compile({})))
+    every = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    odd = [c for c in every if model.odd[ord(c)]]
+    assert not any(map(bpe._PLAIN.fullmatch, odd)) and len(odd) > 1000
+    known = [c for c in every if not model.odd[ord(c)]]
+    plain = [c for c in known if ord(c) < 0x3400 or 0xF900 <= ord(c) < 0x10000 or 0x10000 <= ord(c) < 0x18000 or 0x1B000 <= ord(c) < 0x20000] + known[40_000::53]
+    # Several to a text, apart, since each is a word or joins its neighbours alike.
+    for make in (lambda c: f"{c} ", lambda c: f"a{c}b {c}1", lambda c: f"E{c}\u0301 x\u0327{c}"):
+        some = ["".join(map(make, plain[i : i + 40])) for i in range(0, len(plain), 40)]
+        got = encoder.encode(some)[0]
+        for t, x, want in zip(some, got, tk.encode_batch(some, add_special_tokens=False), strict=True):
+            assert np.frombuffer(x, "<u4").tolist() == want.ids, t
+    mixed = ["Əli Ɓ Ɖ Ɛ Ɔ Ɣ Ʊ Ⱥ", *(f"an {c}{c} a{c}" for c in odd[::2000] + [c for c in odd if ord(c) < 0x3000])]
+    ids, said = encoder.encode(mixed)
+    for t, x, y in zip(mixed, ids, said, strict=True):
+        want = tk.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(x, "<u4").tolist() == want and y == tk.decode(want, skip_special_tokens=False)
 
 
 def test_token_counts(spark, tmp_path):

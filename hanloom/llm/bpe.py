@@ -130,11 +130,12 @@ class WordBpe:
         """Merges the adjacent pair of least rank, the leftmost first, until none is left."""
         return self._merge_long([self.first[b] for b in word[:-1]] + [self.last[word[-1]]])
 
-    def merge_all(self, words: list[bytes]) -> list[np.ndarray]:
-        """``merge`` of many short words at once: in each step every word that has a pair left merges its best one."""
+    def merge_all(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """``merge`` of many short words at once: in each step every word that has a pair left merges its best one. The ids of all, and
+        where those of each word begin and the last end."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         if not len(words):
-            return []
+            return np.zeros(0, np.uint32), np.zeros(1, np.int64)
         raw = np.frombuffer(b"".join(words), np.uint8)
         of = np.repeat(np.arange(len(words)), sizes)
         ids = self._first[raw]
@@ -168,7 +169,7 @@ class WordBpe:
                 rank[pair] = self._rank(ids[pair], ids[pair + 1])
         of, ids = np.concatenate(done_of), np.concatenate(done_ids)
         order = np.argsort(of, kind="stable")
-        return np.split(ids[order].astype(np.uint32), np.cumsum(np.bincount(of, minlength=len(words)))[:-1])
+        return ids[order].astype("<u4"), np.concatenate(([0], np.cumsum(np.bincount(of, minlength=len(words)))))
 
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a << 32 | b
@@ -336,14 +337,19 @@ class Encoder:
     def _learn(self, words: list[str]) -> None:
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
         numbers = self.lexicon.numbers(raw)
-        unseen = np.flatnonzero(numbers < 0).tolist()
-        short = [i for i in unseen if len(raw[i]) <= _LONGEST]
-        merged = dict(zip(short, self.model.merge_all([raw[i] for i in short]), strict=True))
-        text, token = self.model.tokens, "<u4"
-        for i, (w, n) in enumerate(zip(words, numbers.tolist(), strict=True)):
-            ids = self.lexicon.ids_of(n) if n >= 0 else merged[i] if i in merged else np.array(self.model.merge(raw[i]), token)
-            self.ids[w] = ids.astype(token, copy=False).tobytes()
-            self.said[w] = " ".join([text[k] for k in ids.tolist()])
+        text = self.model.tokens
+        for i in np.flatnonzero(numbers >= 0).tolist():
+            ids = self.lexicon.ids_of(numbers[i])
+            self.ids[words[i]], self.said[words[i]] = ids.astype("<u4").tobytes(), self.model.decode(ids.tolist())
+        short = [i for i in np.flatnonzero(numbers < 0).tolist() if len(raw[i]) <= _LONGEST]
+        ids, at = self.model.merge_all([raw[i] for i in short])
+        flat, names, at = ids.tobytes(), [text[k] for k in ids.tolist()], at.tolist()
+        for i, a, b in zip(short, at, at[1:]):
+            self.ids[words[i]], self.said[words[i]] = flat[4 * a : 4 * b], " ".join(names[a:b])
+        for w, b, n in zip(words, raw, numbers.tolist(), strict=True):
+            if n < 0 and len(b) > _LONGEST:
+                own = self.model.merge(b)
+                self.ids[w], self.said[w] = np.array(own, "<u4").tobytes(), self.model.decode(own)
 
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
         """Ids as little-endian unsigned 32-bit integers; what they decode to."""
@@ -360,14 +366,15 @@ class Encoder:
                 if w in self.old[0]:
                     self.ids[w], self.said[w] = self.old[0][w], self.old[1][w]
             self._learn([w for w in new if w not in self.ids])
+            get, say = self.ids.__getitem__, self.said.__getitem__
             for t, words in zip(texts[a:b], split, strict=True):
                 if words is None:
                     own = self.model.by_library(t)
                     ids.append(np.array(own, "<u4").tobytes())
                     said.append(self.model.decode(own))
                 else:
-                    ids.append(b"".join([self.ids[w] for w in words]))
-                    said.append(" ".join([self.said[w] for w in words]))
+                    ids.append(b"".join(map(get, words)))
+                    said.append(" ".join(map(say, words)))
             for w in new:
                 if len(w) > _LONGEST:
                     del self.ids[w], self.said[w]

@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -14,17 +13,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Workspace, map_arrow, slices, worker_state
+from .common import Workspace, map_arrow, worker_state
 from .hashing import mix
 
-#: Words and bigrams below these shares of all tokens have no entry of their own. Zero: all have one, and the model grows with the corpus.
-WORD_SHARE, PAIR_SHARE = 0.0, 0.0
-#: Characters of text for each bucket of the tables.
-BUCKET = 8 << 20
+#: Characters of text for each bucket of the tables, and bytes of text of a slice.
+BUCKET, SLICE = 8 << 20, 16 << 20
 DISCOUNT = 0.75
-_UNKNOWN, _START = np.uint64(1), np.uint64(2)
+#: A context's pairs are dealt to so many places, by the second word, so that those of a common one don't meet in one.
+SALTS = 64
+_START = np.uint64(2)
 _KEPT = 1 << 17
 _WORDS = re.compile(r"[^\W_]+")
+_WORD, _PAIR, _CONTEXT, _SUM = range(4)
 
 
 class _Hashes(dict):
@@ -39,239 +39,239 @@ class _Hashes(dict):
 def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the lower-cased words of all texts; how many each text has."""
     get = worker_state().setdefault("lm-words", _Hashes()).__getitem__
-    found = [list(map(get, _WORDS.findall(t.lower()))) for t in texts]
+    found = [np.fromiter(map(get, _WORDS.findall(t.lower())), np.uint64) for t in texts]
     n = np.fromiter(map(len, found), np.int64, len(found))
-    return np.fromiter((h for f in found for h in f), np.uint64, int(n.sum())), n
-
-
-def _index(keys: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Place of each hash in ``keys``, -1 if it isn't there."""
-    if not len(keys):
-        return np.full(len(h), -1)
-    at = np.searchsorted(keys, h)
-    at[at == len(keys)] = 0
-    return np.where(keys[at] == h, at, -1)
-
-
-def _closed(words: np.ndarray, n: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words outside the vocabulary made one; the word before each, or the start of its text."""
-    w = np.where(_index(vocabulary, words) >= 0, words, _UNKNOWN)
-    before = np.concatenate(([_START], w[:-1])) if len(w) else w
-    first = np.cumsum(n) - n
-    before[first[n > 0]] = _START
-    return w, before
-
-
-def _counted(docs: DataFrame, vocabulary: np.ndarray | None) -> DataFrame:
-    """(before, word, n_target, n_all) over all whole texts of ``docs`` (text, target); without a vocabulary (0, word, ...). A batch is summed
-    before the shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    names = ["before", "word", "n_target", "n_all"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        for b in slices(batches, 16 << 20):
-            words, n = tokens(b.column(0).to_pylist())
-            own = np.repeat(b.column(1).to_numpy(zero_copy_only=False), n)
-            before = np.zeros(len(words), np.uint64)
-            if known is not None:
-                words, before = _closed(words, n, known)
-            _, first, place = np.unique(mix(before, words), return_index=True, return_inverse=True)
-            counts = np.bincount(place, own, len(first)).astype(np.int64), np.bincount(place, minlength=len(first))
-            yield pa.RecordBatch.from_arrays([pa.array(before[first].view(np.int64)), pa.array(words[first].view(np.int64)), *map(pa.array, counts)], names)
-
-    rows = docs.select("text", F.col("target").cast("double")).transform(map_arrow, run, "before long, word long, n_target long, n_all long")
-    return rows.groupBy("before", "word").agg(F.sum("n_target").alias("n_target"), F.sum("n_all").alias("n_all"))
-
-
-def _frequent(counts: DataFrame, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """before, word, (target, all) counts of the rows of at least ``share`` of all tokens, and the two sums over all rows."""
-    total = [r or 0 for r in counts.agg(F.sum("n_target"), F.sum("n_all")).first()]
-    rows = [tuple(r) for r in counts.where(F.col("n_all") >= max(1.0, share * total[1])).toLocalIterator()]
-    a = np.array(rows, np.int64).reshape(-1, 4)
-    return a[:, 0].copy().view(np.uint64), a[:, 1].copy().view(np.uint64), a[:, 2:].T.astype(float), np.array(total, float)
-
-
-def _slice(words: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted pair hashes of closed ``words``, the words before and at each, the place of each token's pair among them."""
-    before = np.concatenate(([_START], words[:-1])) if len(words) else words
-    first = np.cumsum(n) - n
-    before[first[n > 0]] = _START
-    keys, at, place = np.unique(mix(before, words), return_index=True, return_inverse=True)
-    return keys, before[at], words[at], place
-
-
-def _dealt(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
-    """The buckets that sorted ``keys`` fall in, in their order, with the range of each."""
-    numbers, starts = np.unique(((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32), return_index=True)
-    for k, a, b in zip(numbers.tolist(), starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True):
-        yield k, slice(a, b)
-
-
-def _joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind)
-
-
-def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct sorted keys, a first place of each, and the sums of their rows of ``values``."""
-    found, first, place = np.unique(keys, return_index=True, return_inverse=True)
-    return found, first, np.stack([np.bincount(place, v, len(found)) for v in values.T], 1)
-
-
-_WORD, _PAIR, _KEPT_MASS = 0, 1, 2
-_PARTS = "kind int, bucket int, keys binary, befores binary, sums binary"
-
-
-def _parts(docs: DataFrame, vocabulary: np.ndarray | None, buckets: int) -> DataFrame:
-    """Counts of the words and pairs of ``docs`` (text, target), summed over a slice and dealt to buckets by hash. Words: target and all
-    tokens, target and all that have a word after them. Pairs: target and all."""
-    shared, names = docs.sparkSession.sparkContext.broadcast(vocabulary), ["kind", "bucket", "keys", "befores", "sums"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            words, n = tokens(b.column(0).to_pylist())
-            if shared.value is not None:
-                words = _closed(words, n, shared.value)[0]
-            own = np.repeat(b.column(1).to_numpy(zero_copy_only=False), n)
-            keys, before, word, place = _slice(words, n)
-            counts = np.stack([np.bincount(place, own, len(keys)), np.bincount(place, minlength=len(keys)).astype(float)], 1)
-            one = np.union1d(word, before)
-            sums = np.stack([np.bincount(at, c, len(one)) for at in (np.searchsorted(one, word), np.searchsorted(one, before)) for c in counts.T], 1)
-            out = [(_WORD, k, one[at].tobytes(), b"", sums[at].tobytes()) for k, at in _dealt(one, buckets)]
-            out += [(_PAIR, k, keys[at].tobytes(), before[at].tobytes(), counts[at].astype(np.int64).tobytes()) for k, at in _dealt(keys, buckets)]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), *[pa.binary()] * 3), strict=True)], names)
-
-    return docs.select("text", F.col("target").cast("double")).transform(map_arrow, run, _PARTS)
-
-
-@dataclass
-class Model:
-    """Tables in the shared folder, a row a bucket of hashes: (kind, bucket, keys, sums). Nothing of the corpus is on the driver but the three
-    numbers and, where a share bounds it, the vocabulary."""
-
-    table: DataFrame
-    total: tuple[float, float]  # tokens of target and background
-    n_words: int
-    buckets: int
-    discount: float
-    vocabulary: np.ndarray | None
-
-
-def train(docs: DataFrame, ws: Workspace, word_share: float = WORD_SHARE, pair_share: float = PAIR_SHARE, discount: float = DISCOUNT) -> Model:
-    """``docs``: text, target (boolean). The target model counts the rows where target is true, the background model all rows.
-
-    Both have the words and bigrams of the whole, all of them unless a share of all tokens is asked for: the same vocabulary, the
-    same entries, the same absolute discount; what an entry lacks goes to the unigrams, and those are smoothed by one. Everything is
-    counted over all rows and stays in tables dealt by hash, whose buckets grow in number with the text.
-    """
-    docs = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("target", F.lit(False)).alias("target"))
-    buckets = max(1, (docs.agg(F.sum(F.length("text"))).first()[0] or 0) // BUCKET)
-    vocabulary, least = None, 1.0
-    if word_share or pair_share:
-        _, words, _, total = _frequent(ws.save(_counted(docs, None), "words"), word_share)
-        vocabulary, least = np.sort(words) if word_share else None, max(1.0, pair_share * total[1])
-
-    def merge(key: tuple, rows: pa.Table) -> pa.Table:
-        kind, bucket = (k.as_py() for k in key)
-        width = {_WORD: 4, _PAIR: 2}[kind]
-        keys, first, sums = _summed(_joined(rows["keys"], np.uint64), _joined(rows["sums"], np.float64 if kind == _WORD else np.int64).reshape(-1, width))
-        if kind == _WORD:
-            out = [(kind, bucket, keys.tobytes(), b"", np.concatenate([sums, np.zeros((len(keys), 2))], 1).tobytes())]
-        else:
-            before = _joined(rows["befores"], np.uint64)[first]
-            entries = sums[:, 1] >= least
-            keys, before, sums = keys[entries], before[entries], sums[entries]
-            out = [(kind, bucket, keys.tobytes(), b"", sums.astype(np.int64).tobytes())]
-            ctx, _, kept = _summed(before, np.maximum(sums - discount, 0))
-            kept = np.concatenate([np.zeros((len(ctx), 4)), kept], 1)
-            out += [(_KEPT_MASS, k, ctx[at].tobytes(), b"", kept[at].tobytes()) for k, at in _dealt(ctx, buckets)]
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), *[pa.binary()] * 3), strict=True)], ["kind", "bucket", "keys", "befores", "sums"])
-
-    merged = ws.save(_parts(docs, vocabulary, buckets).groupBy("kind", "bucket").applyInArrow(merge, _PARTS), "merged")
-
-    def finish(key: tuple, rows: pa.Table) -> pa.Table:
-        keys, _, sums = _summed(_joined(rows["keys"], np.uint64), _joined(rows["sums"], np.float64).reshape(-1, 6))
-        known = int(((sums[:, 1] > 0) & (keys != _UNKNOWN)).sum())
-        return pa.table([pa.array([_WORD], pa.int32()), pa.array([key[0].as_py()], pa.int32()), [keys.tobytes()], [sums.tobytes()], [sums[:, 0].sum()], [sums[:, 1].sum()], pa.array([known], pa.int64())], ["kind", "bucket", "keys", "sums", "n_target", "n_all", "n_words"])
-
-    words = ws.save(merged.where(F.col("kind") != _PAIR).groupBy("bucket").applyInArrow(finish, "kind int, bucket int, keys binary, sums binary, n_target double, n_all double, n_words long"), "word-table")
-    n = [x or 0 for x in words.agg(F.sum("n_target"), F.sum("n_all"), F.sum("n_words")).first()]
-    table = words.select("kind", "bucket", "keys", "sums").union(merged.where(F.col("kind") == _PAIR).select("kind", "bucket", "keys", "sums"))
-    return Model(table, (n[0], n[1]), n[2], buckets, discount, vocabulary)
-
-
-def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    return np.concatenate([*found, np.zeros(0, np.uint64)]), n
+
+
+def _squeeze(a: np.ndarray) -> bytes:
+    """Counts in the least width that holds them, compressed."""
+    width = next(w for w in (1, 2, 4, 8) if not len(a) or int(a.max()) < 1 << 8 * w)
+    raw = a.astype(f"<u{width}").tobytes()
+    return bytes([width]) + len(raw).to_bytes(8, "little") + (pa.compress(raw, "zstd", asbytes=True) if raw else b"")
+
+
+def _spread(b: bytes) -> np.ndarray:
+    size = int.from_bytes(b[1:9], "little")
+    return np.frombuffer(pa.decompress(b[9:], size, "zstd", asbytes=True) if size else b"", f"<u{b[0]}").astype(np.int64)
+
+
+def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    return (((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
+
+
+def _runs(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal values start, and the end of the last."""
+    start = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1]))) if len(sorted_) else np.zeros(0, np.int64)
+    return start, np.append(start, len(sorted_))[1:]
+
+
+class _Slice:
+    """The words and pairs of a slice of documents, each in the order in which its buckets are asked and answer."""
+
+    def __init__(self, words: bytes, place: bytes, n: bytes, buckets: int):
+        self.words = np.append(np.frombuffer(words, "<u8"), _START)  # the last is the start of a text
+        self.n = np.frombuffer(n, "<i8")
+        self.place = _spread(place)
+        size = len(self.words)
+        before = np.concatenate(([size - 1], self.place[:-1])) if len(self.place) else self.place
+        first = np.cumsum(self.n) - self.n
+        before[first[self.n > 0]] = size - 1
+        code, self.pair = np.unique(before * size + self.place, return_inverse=True)
+        self.before, self.after = code // size, code % size
+        self.word_bucket = _bucket(self.words, buckets)
+        salt = mix(self.words, 7)[self.after] % np.uint64(SALTS)
+        self.pair_bucket = _bucket(mix(self.words[self.before], salt), buckets)
+        self.word_order, self.pair_order = (np.argsort(x, kind="stable") for x in (self.word_bucket, self.pair_bucket))
+
+    def counts(self, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For documents that count ``weight`` times: of pairs; of words; of words as contexts."""
+        pair = np.bincount(self.pair, np.repeat(weight, self.n), len(self.before))
+        word, context = (np.bincount(x, pair, len(self.words)) for x in (self.after, self.before))
+        return tuple(x.astype(np.int64) for x in (pair, word, context))
+
+
+_ASKED = "kind int, bucket int, slice binary, contexts binary, runs binary, words binary, counts binary"
+_GOT = "kind int, bucket int, slice binary, words binary, counts binary, n_target long, n_all long, n_words long"
+
+
+def _table(rows: list[tuple], schema: str) -> pa.Table:
+    types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.table([pa.array([r[i] for r in rows], types[kind]) for i, (_, kind) in enumerate(fields)], [name for name, _ in fields])
+
+
+def _pairs_of(bucket: int, asked: pa.Table, buckets: int) -> list[tuple]:
+    """Answers of a bucket of pairs, and what it adds to how many different words follow a context."""
+    contexts, words, target, every = [], [], [], []
+    for c, r, w, n in zip(*(asked[k].to_pylist() for k in ("contexts", "runs", "words", "counts")), strict=True):
+        contexts.append(np.repeat(np.frombuffer(c, "<u8"), _spread(r)))
+        words.append(np.frombuffer(w, "<u8"))
+        both = _spread(n).reshape(2, -1)
+        target.append(both[0])
+        every.append(both[1])
+    sizes = list(map(len, words))
+    context = np.concatenate(contexts)
+    _, first, place = np.unique(mix(context, np.concatenate(words)), return_index=True, return_inverse=True)
+    total = [np.bincount(place, np.concatenate(x), len(first)).astype(np.int64) for x in (target, every)]
+    out, at = [], 0
+    for s, size in zip(asked["slice"].to_pylist(), sizes, strict=True):
+        own = place[at : at + size]
+        out.append((_PAIR, bucket, s, None, _squeeze(np.concatenate([x[own] for x in total])), None, None, None))
+        at += size
+    keys, of = np.unique(context[first], return_inverse=True)
+    kinds = np.stack([np.bincount(of, x > 0, len(keys)).astype(np.int64) for x in total])
+    to = _bucket(keys, buckets)  # keys are sorted, so each bucket is a run
+    out += [(_CONTEXT, int(to[a]), None, keys[a:b].tobytes(), _squeeze(kinds[:, a:b].ravel()), None, None, None) for a, b in zip(*_runs(to), strict=True)]
+    return out
+
+
+def _summed(keys: list[bytes], values: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different keys, the place of each key among them, the sums of their ``width`` values."""
+    found, place = np.unique(np.concatenate([np.frombuffer(k, "<u8") for k in keys] or [np.zeros(0, np.uint64)]), return_inverse=True)
+    rows = np.concatenate([_spread(v).reshape(width, -1) for v in values] or [np.zeros((width, 0), np.int64)], 1)
+    return found, place, np.stack([np.bincount(place, v, len(found)).astype(np.int64) for v in rows])
+
+
+def _words_of(bucket: int, asked: pa.Table) -> list[tuple]:
+    """The counts of a bucket of words: of target and all, as words and as contexts; and a row of sums."""
+    keys = asked["words"].to_pylist()
+    found, place, total = _summed(keys, asked["counts"].to_pylist(), 4)
+    out, at = [], 0
+    for s, k in zip(asked["slice"].to_pylist(), keys, strict=True):
+        own = place[at : at + len(k) // 8]
+        out.append((_WORD, bucket, s, k, _squeeze(total[:, own].ravel()), None, None, None))
+        at += len(k) // 8
+    return [*out, (_SUM, bucket, None, None, None, int(total[0].sum()), int(total[1].sum()), int((total[1] > 0).sum()))]
+
+
+def _follow(key: tuple, rows: pa.Table) -> pa.Table:
+    """The words of a bucket with the number of different words that follow each, under target and all."""
+    kinds, keys, counts = (rows[c].to_pylist() for c in ("kind", "words", "counts"))
+    after = [i for i, k in enumerate(kinds) if k == _CONTEXT]
+    found, _, total = _summed([keys[i] for i in after], [counts[i] for i in after], 2)
+    total = np.concatenate([total, np.zeros((2, 1), np.int64)], 1)
+    out = []
+    for i, s in enumerate(rows["slice"].to_pylist()):
+        if kinds[i] == _WORD:
+            h = np.frombuffer(keys[i], "<u8")
+            at = np.searchsorted(found, h)
+            at[~np.isin(h, found)] = len(found)
+            out.append((_WORD, key[0].as_py(), s, None, _squeeze(np.concatenate([_spread(counts[i]), *total[:, at]])), None, None, None))
+    return _table(out, _GOT)
+
+
+def score(docs: DataFrame, target_ids: DataFrame, ws: Workspace, id_col: str = "doc_id", text_col: str = "text", discount: float = DISCOUNT, counted_col: str | None = None) -> DataFrame:
     """(row, n_tokens, target_loss, background_loss, difference), a row per row of ``docs``, ``row`` with all columns but the text.
 
-    The difference, target less background in nats a token, is low where a document is like the target. A null text, or one without
-    a word, has no tokens and zeros. Repeated rows stay.
+    The target model counts the documents whose id is in ``target_ids`` (first column), the background model all of them. Every word and
+    every bigram of the corpus has an entry in both: one vocabulary, one absolute discount; what a context's bigrams lack goes to
+    the unigrams, which are smoothed by one. With ``counted_col``, rows where it is not true are scored only. The difference, target
+    less background in nats a token, is low where a document is like the target. A null text, or one without a word, has no tokens
+    and zeros. Repeated rows stay and count as often; a null id is no target; an empty table gives an empty result.
 
-    Texts become slices of word places, one row each; the distinct words and pairs of a slice meet the model's buckets, and the counts
-    go back to the slice, in the order of the hashes.
+    Texts become slices of word places. The different pairs and words of a slice go to buckets by hash, with their counts; a bucket adds
+    them up and answers each slice with the sums. So what is gathered grows with the text, in buckets of bounded size, and a common
+    pair, word or context is a number a slice. Nothing of the corpus is on the driver but three sums.
     """
     spark = docs.sparkSession
-    ws, shared = Workspace(spark, "lm-slices"), spark.sparkContext.broadcast(model.vocabulary)
-    buckets, discount, total, size = model.buckets, model.discount, np.array(model.total), model.n_words + 1
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    buckets = int(max(1, (docs.agg(F.sum(F.length(text))).first()[0] or 0) // BUCKET))
     others = [c for c in docs.columns if c != text_col]
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    counted = F.coalesce(F.col(f"`{counted_col}`"), F.lit(False)) if counted_col else F.lit(True)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), text.alias("text"), counted.alias("counted"))
+
+    def packed(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(batches).combine_chunks()
+        words, n = tokens(table["text"].to_pylist())
+        keys, place, many = np.unique(words, return_inverse=True, return_counts=True)
+        order = np.argsort(-many, kind="stable")  # common words have small numbers
+        number = np.empty(len(keys), np.int64)
+        number[order] = np.arange(len(keys))
+        row = pa.concat_arrays(table["row"].chunks)
+        cells = [[uuid.uuid4().bytes], None, [keys[order].tobytes()], [_squeeze(number[place])], [n.tobytes()], [table["counted"].to_numpy().astype(np.uint8).tobytes()]]
+        return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), row) if c is None else pa.array(c, pa.binary()) for c in cells], ["slice", "rows", "words", "place", "n", "counted"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            words, n = tokens(b.column(1).to_pylist())
-            if shared.value is not None:
-                words = _closed(words, n, shared.value)[0]
-            keys, place = np.unique(words, return_inverse=True)
-            of = pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), b.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().bytes]), of, pa.array([keys.tobytes()]), pa.array([place.astype(np.uint32).tobytes()]), pa.array([n.tobytes()])], ["slice", "rows", "words", "place", "n"])
-
-    packed = T.StructType([T.StructField("slice", T.BinaryType()), T.StructField("rows", T.ArrayType(rows.schema["row"].dataType)), *(T.StructField(c, T.BinaryType()) for c in ("words", "place", "n"))])
-    packs = ws.save(rows.transform(map_arrow, pack, packed), "slices")
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for b in batches:
-            for s, *blobs in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                words, place, n = (np.frombuffer(x, t) for x, t in zip(blobs, (np.uint64, np.uint32, np.int64), strict=True))
-                # Both kinds are sorted by hash, so the answers stand in that order by bucket.
-                out = [(s, kind, k, keys[at].tobytes()) for kind, keys in ((_WORD, np.union1d(words, [_START])), (_PAIR, _slice(words[place], n)[0])) for k, at in _dealt(keys, buckets)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.binary(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["slice", "kind", "bucket", "keys"])
-
-    asked = packs.select("slice", "words", "place", "n").transform(map_arrow, ask, "slice binary, kind int, bucket int, keys binary")
-
-    def answer(key: tuple, asking: pa.Table, table: pa.Table) -> pa.Table:
-        kind = key[0].as_py()
-        width, of = {_WORD: (6, np.float64), _PAIR: (2, np.int64)}[kind]
-        keys, sums = _joined(table["keys"], np.uint64), _joined(table["sums"], of).reshape(-1, width)
-        sums = np.concatenate([sums, np.zeros((1, width), of)])  # what is not there
-        out = [sums[_index(keys, np.frombuffer(k, np.uint64))].tobytes() for k in asking["keys"].to_pylist()]
-        return pa.table([asking["slice"], asking["kind"], asking["bucket"], pa.array(out, pa.binary())], ["slice", "kind", "bucket", "sums"])
+            if b.num_rows:
+                held.append(b)
+            if sum(x.nbytes for x in held) >= SLICE:
+                yield packed(held)
+                held = []
+        if held:
+            yield packed(held)
+
+    row_type = rows.schema["row"].dataType
+    schema = T.StructType([T.StructField("slice", T.BinaryType()), T.StructField("rows", T.ArrayType(row_type)), *(T.StructField(c, T.BinaryType()) for c in ("words", "place", "n", "counted"))])
+    packs = ws.save(rows.transform(map_arrow, pack, schema), "slices")
+
+    target = ws.save(target_ids.select(F.col(target_ids.columns[0]).alias("target")).where("target is not null").distinct(), "target")
+    places = packs.select("slice", F.posexplode(F.transform("rows", lambda r: r[id_col])).alias("at", "id"))
+    flags = places.join(target.hint("merge"), F.col("id") == F.col("target")).groupBy(F.col("slice").alias("of")).agg(F.collect_list("at").alias("at"))
+
+    def ask(pack: pa.Table, flag: pa.Table) -> pa.Table:
+        if not pack.num_rows:
+            return _table([], _ASKED)
+        (slice_,), (words,), (place,), (n,), (counted,) = (pack[c].to_pylist() for c in ("slice", "words", "place", "n", "counted"))
+        own = _Slice(words, place, n, buckets)
+        every = np.frombuffer(counted, np.uint8).astype(float)
+        wanted = np.zeros(len(every))
+        wanted[np.array([i for at in flag["at"].to_pylist() for i in at], np.int64)] = 1
+        (pair_t, word_t, ctx_t), (pair, word, ctx) = own.counts(every * wanted), own.counts(every)
+        out = []
+        bucket = own.word_bucket[own.word_order]
+        for a, b in zip(*_runs(bucket), strict=True):
+            at = own.word_order[a:b]
+            out.append((_WORD, int(bucket[a]), slice_, None, None, own.words[at].tobytes(), _squeeze(np.concatenate([x[at] for x in (word_t, word, ctx_t, ctx)]))))
+        bucket = own.pair_bucket[own.pair_order]
+        for a, b in zip(*_runs(bucket), strict=True):
+            at = own.pair_order[a:b]  # pairs of a context stand together
+            start, end = _runs(own.before[at])
+            out.append((_PAIR, int(bucket[a]), slice_, own.words[own.before[at[start]]].tobytes(), _squeeze(end - start), own.words[own.after[at]].tobytes(), _squeeze(np.concatenate([pair_t[at], pair[at]]))))
+        return _table(out, _ASKED)
+
+    asked = packs.select("slice", "words", "place", "n", "counted").groupBy("slice").cogroup(flags.groupBy("of")).applyInArrow(ask, _ASKED)
+
+    def answer(key: tuple, rows: pa.Table) -> pa.Table:
+        kind, bucket = (k.as_py() for k in key)
+        return _table(_words_of(bucket, rows) if kind == _WORD else _pairs_of(bucket, rows, buckets), _GOT)
 
-    answers = asked.groupBy("kind", "bucket").cogroup(model.table.groupBy("kind", "bucket")).applyInArrow(answer, "slice binary, kind int, bucket int, sums binary")
+    got = ws.save(asked.groupBy("kind", "bucket").applyInArrow(answer, _GOT), "counts")
+    sums = [x or 0 for x in got.where(F.col("kind") == _SUM).agg(F.sum("n_target"), F.sum("n_all"), F.sum("n_words")).first()]
+    total, size = np.array(sums[:2], float), sums[2] + 1
+    words = got.where(F.col("kind").isin(_WORD, _CONTEXT)).groupBy("bucket").applyInArrow(_follow, _GOT)
+    answers = got.where(F.col("kind") == _PAIR).union(words).select("kind", "bucket", "slice", "counts")
 
     def finish(pack: pa.Table, got: pa.Table) -> pa.Table:
-        words, place, n = (_joined(pack[c], t) for c, t in (("words", np.uint64), ("place", np.uint32), ("n", np.int64)))
-        order = np.lexsort((got["bucket"].to_numpy(), got["kind"].to_numpy()))
-        blobs, kinds = got["sums"].to_pylist(), got["kind"].to_pylist()
-        of_word, of_pair = (np.frombuffer(b"".join(blobs[i] for i in order if kinds[i] == k), t).reshape(-1, w) for k, t, w in ((_WORD, np.float64, 6), (_PAIR, np.int64, 2)))
-        _, before, word, at = _slice(words[place], n)
-        known = np.union1d(words, [_START])
-        ctx, one = (of_word[np.searchsorted(known, x)] for x in (before, word))
-        # A word the corpus lacks counts as the unknown one, which has no tokens of its own unless a share bounds the vocabulary.
-        mass = np.maximum(ctx[:, 2:4], 1)
-        left = np.maximum(1 - ctx[:, 4:6] / mass, 1e-12)
-        p = np.log(np.maximum(of_pair - discount, 0) / mass + left * (one[:, :2] + 1) / (total + size))
-        doc = np.repeat(np.arange(len(n)), n)
-        loss = [-np.bincount(doc, p[at, k], len(n)) / np.maximum(n, 1) for k in range(2)]
-        return pa.table([pa.chunked_array([c.flatten() for c in pack["rows"].chunks]), n, loss[0], loss[1], loss[0] - loss[1]], names)
+        if not pack.num_rows:
+            return pa.table([pa.array([], t) for t in (pack.schema.field("rows").type.value_type, pa.int64(), *[pa.float64()] * 3)], names)
+        (words,), (place,), (n,) = (pack[c].to_pylist() for c in ("words", "place", "n"))
+        own = _Slice(words, place, n, buckets)
+        kinds, blobs = got["kind"].to_numpy(), got["counts"].to_pylist()
+        order = np.argsort(got["bucket"].to_numpy(), kind="stable")
+        of = []
+        for kind, width, at in ((_WORD, 6, own.word_order), (_PAIR, 2, own.pair_order)):
+            parts = [_spread(blobs[i]).reshape(width, -1) for i in order if kinds[i] == kind]
+            counts = np.zeros((width, len(at)))
+            counts[:, at] = np.concatenate([*parts, np.zeros((width, 0), np.int64)], 1)
+            of.append(counts)
+        word, pair = of
+        mass, follow = word[2:4, own.before], word[4:6, own.before]
+        left = np.where(mass > 0, np.maximum(discount * follow, 1e-12) / np.maximum(mass, 1), 1.0)
+        p = np.log(np.maximum(pair - discount, 0) / np.maximum(mass, 1) + left * (word[:2, own.after] + 1) / (total[:, None] + size))
+        doc = np.repeat(np.arange(len(own.n)), own.n)
+        loss = [-np.bincount(doc, x[own.pair], len(own.n)) / np.maximum(own.n, 1) for x in p]
+        return pa.table([pa.chunked_array([c.flatten() for c in pack["rows"].chunks]), own.n, loss[0], loss[1], loss[0] - loss[1]], names)
 
     names = ["row", "n_tokens", "target_loss", "background_loss", "difference"]
     fields = [T.StructField("n_tokens", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in names[2:])]
-    return packs.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(finish, T.StructType([rows.schema["row"], *fields]))
+    return packs.select("slice", "rows", "words", "place", "n").groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(finish, T.StructType([rows.schema["row"], *fields]))
 
 
-def with_target(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(text, target): target rows have a label of quality 1 and none that is toxic."""
-    good = labels.groupBy(id_col).agg(F.min(F.coalesce(F.col("quality"), F.lit(0))).alias("quality"), F.max(F.coalesce(F.col("toxic"), F.lit(0))).alias("toxic"))
-    good = good.where((F.col("quality") == 1) & (F.col("toxic") == 0)).select(F.col(id_col).alias("_id"), F.lit(True).alias("target"))
-    # Merged whatever the sizes, so that the plan is the same at any scale.
-    return docs.join(good.hint("merge"), F.col(id_col) == F.col("_id"), "left").select("text", "target")
+def good_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The ids that have a label of quality 1 and none of less, and none that is toxic. A null label of quality counts as 0, of toxicity as not
+    toxic; ids may repeat; a null id is none."""
+    good = labels.groupBy(F.col(id_col).alias("id")).agg(F.min(F.coalesce(F.col("quality"), F.lit(0))).alias("quality"), F.max(F.coalesce(F.col("toxic"), F.lit(0))).alias("toxic"))
+    return good.where((F.col("id").isNotNull()) & (F.col("quality") == 1) & (F.col("toxic") == 0)).select("id")

@@ -42,8 +42,8 @@ def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = lm_score.train(lm_score.with_target(docs, _table(spark, sf_dir, "labels")), Workspace(spark, "lm-score"))
-    return lm_score.score(docs, model).select("row.doc_id", "n_tokens", "target_loss", "background_loss", "difference")
+    found = lm_score.score(docs, lm_score.good_ids(_table(spark, sf_dir, "labels")), Workspace(spark, "lm-score"))
+    return found.select("row.doc_id", "n_tokens", "target_loss", "background_loss", "difference")
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -143,42 +143,51 @@ def test_language_scores_do_not_depend_on_batches():
     assert np.allclose(one, each, atol=1e-5) and (n > 0).all()
 
 
-def test_lm_score(spark):
+def plain_losses(docs, chosen):
+    """Losses of all ``docs`` (id to words) under a bigram model that counts the ``chosen`` ones, in a vocabulary of all that are counted."""
+    pairs, words, mass, kinds = {}, {}, {}, {}
+    vocabulary = {w for i in docs if i in chosen[1] for w in docs[i]}
+    for i in chosen[0]:
+        for a, b in zip(["^", *docs[i]], docs[i]):
+            kinds[a] = kinds.get(a, 0) + ((a, b) not in pairs)
+            pairs[a, b], words[b], mass[a] = pairs.get((a, b), 0) + 1, words.get(b, 0) + 1, mass.get(a, 0) + 1
+    size, d = sum(words.values()) + len(vocabulary) + 1, lm_score.DISCOUNT
+    out = {}
+    for i, own in docs.items():
+        p = [max(pairs.get((a, b), 0) - d, 0) / mass.get(a, 1) + (d * kinds[a] / mass[a] if a in mass else 1) * (words.get(b, 0) + 1) / size for a, b in zip(["^", *own], own)]
+        out[i] = -sum(map(math.log, p)) / max(1, len(own))
+    return out
+
+
+def check_losses(got, rows, targets, counted):
+    docs = {k: re.findall(r"[^\W_]+", (r[1] or "").lower()) for k, r in enumerate(rows)}
+    every = [k for k in docs if counted(rows[k])]
+    target = plain_losses(docs, ([k for k in every if rows[k][0] in targets], every))
+    background = plain_losses(docs, (every, every))
+    want = sorted((str(rows[k][0]), len(docs[k]), target[k], background[k]) for k in docs)
+    assert len(got) == len(rows)
+    for r, w in zip(sorted((str(r.doc_id), r.n_tokens, r.target_loss, r.background_loss) for r in got), want, strict=True):
+        assert r[:2] == w[:2] and r[2:] == pytest.approx(w[2:], abs=1e-9)
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_lm_score(spark, monkeypatch, small):
+    if small:  # many slices and buckets
+        monkeypatch.setattr(lm_score, "BUCKET", 64)
+        monkeypatch.setattr(lm_score, "SLICE", 1 << 10)
     rng = random.Random(4)
-    rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 30))), i % 3 == 0, "k") for i in range(80)] + [(100, None, True, "k"), (101, "...", None, "k")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, target boolean, n_tokens string")
-    share, least = 0.05, 0.01
-    model = lm_score.train(df, Workspace(spark, "test"), share, least)
-    got = {r.doc_id: r for r in lm_score.score(df, model).select("row.doc_id", "n_tokens", "target_loss", "background_loss", "difference").collect()}
-    docs = [[w for w in re.findall(r"[^\W_]+", (t or "").lower())] for _, t, _, _ in rows]
-    flags = [bool(f) for _, _, f, _ in rows]
-    total = sum(map(len, docs))
-    one = {w: sum(d.count(w) for d in docs) for d in docs for w in d}
-    vocabulary = {w for w, n in one.items() if n >= share * total}
-    closed = [["^", *(w if w in vocabulary else "?" for w in d)] for d in docs]
-
-    def tables(chosen):
-        pairs, words = {}, dict.fromkeys([*vocabulary, "?"], 1)
-        for d in chosen:
-            for a, b in zip(d, d[1:]):
-                pairs[a, b] = pairs.get((a, b), 0) + 1
-                words[b] += 1
-        return pairs, words
-
-    every, _ = tables(closed)
-    kept = {p for p, n in every.items() if n >= least * total}
-    for which, chosen in (("target_loss", [d for d, f in zip(closed, flags) if f]), ("background_loss", closed)):
-        pairs, words = tables(chosen)
-        mass = {a: sum(n for (x, _), n in pairs.items() if x == a) for a, _ in every}
-        direct = {p: max(pairs.get(p, 0) - lm_score.DISCOUNT, 0) / max(mass[p[0]], 1) for p in kept}
-        left = {a: max(1 - sum(v for p, v in direct.items() if p[0] == a), 1e-12) for a in mass}
-        size = sum(words.values())
-        for (i, _, _, _), d in zip(rows, closed, strict=True):
-            loss = -sum(math.log(direct.get((a, b), 0) + left[a] * words[b] / size) for a, b in zip(d, d[1:]))
-            assert got[i][which] == pytest.approx(loss / max(1, len(d) - 1), abs=1e-9) and got[i].n_tokens == len(d) - 1
-    assert got[100].difference == got[101].difference == 0
-    empty = lm_score.train(df.limit(0), Workspace(spark, "test"))
-    assert lm_score.score(df, empty).count() == len(rows)
+    rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 30))), "k", i % 9 > 0) for i in range(80)]
+    rows += [(100, None, "k", True), (101, "...", None, True), (3, "repeated id a b", "k", True), (None, "no id", "k", True), (102, "Tie TIE tie_tie", "k", False), (103, "long " * 30_000, "k", True)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string, counted boolean")
+    labels = spark.createDataFrame([(i, 1, 0, "x") for i in range(0, 80, 3)] + [(6, 0, 0, "x"), (9, 1, 1, "x"), (12, 1, None, "x"), (15, None, 0, "x"), (None, 1, 0, "x"), (7, 1, 1, "x")], "doc_id long, quality int, toxic int, text string")
+    targets = {i for i in range(0, 80, 3) if i not in (6, 9, 15)}
+    assert sorted(r.id for r in lm_score.good_ids(labels).collect()) == sorted(targets)
+    got = lm_score.score(df, lm_score.good_ids(labels), Workspace(spark, "test")).select("row.doc_id", "n_tokens", "target_loss", "background_loss", "difference").collect()
+    check_losses(got, rows, targets, lambda r: True)
+    assert all(r.difference == r.target_loss - r.background_loss for r in got)
+    got = lm_score.score(df, lm_score.good_ids(labels), Workspace(spark, "test"), counted_col="counted").select("row.doc_id", "n_tokens", "target_loss", "background_loss").collect()
+    check_losses(got, rows, targets, lambda r: r[3])
+    assert lm_score.score(df.limit(0), lm_score.good_ids(labels.limit(0)), Workspace(spark, "test")).count() == 0
 
 
 def test_html(spark):
@@ -241,21 +250,10 @@ def test_token_cache_by_tokenizer_and_twice(spark, tmp_path, monkeypatch):
 def test_lm_score_keeps_every_word_and_pair(spark, monkeypatch):
     monkeypatch.setattr(lm_score, "BUCKET", 1 << 16)
     many = " ".join(f"w{k}" for k in range(60_000))  # over 1 / 1e-5 tokens with the rest, so that single words used to go
-    rows = [(1, "x y " * 45_000, False), (2, many, True), (3, "w7 w8", False), (4, "w8 w7", False)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, target boolean")
-    model = lm_score.train(df, Workspace(spark, "test"))
-    got = {r.doc_id: r for r in lm_score.score(df.unionByName(spark.createDataFrame([(5, "never seen", None)], df.schema)), model).select("row.doc_id", "target_loss", "background_loss").collect()}
-    assert model.n_words == 60_002 and model.buckets > 1
-    docs = {i: t.split() for i, t, _ in rows} | {5: ["never", "seen"]}
-    for which, chosen in (("target_loss", [2]), ("background_loss", [1, 2, 3, 4])):
-        pairs, words, mass, kinds = {}, {}, {}, {}
-        for i in chosen:
-            for a, b in zip(["^", *docs[i]], docs[i]):
-                kinds[a] = kinds.get(a, 0) + ((a, b) not in pairs)
-                pairs[a, b], words[b], mass[a] = pairs.get((a, b), 0) + 1, words.get(b, 0) + 1, mass.get(a, 0) + 1
-        for i, d in docs.items():
-            p = [max(pairs.get((a, b), 0) - 0.75, 0) / mass.get(a, 1) + (0.75 * kinds[a] / mass[a] if a in mass else 1) * (words.get(b, 0) + 1) / (sum(words.values()) + 60_003) for a, b in zip(["^", *d], d)]
-            assert got[i][which] == pytest.approx(-sum(map(math.log, p)) / len(d), abs=1e-9)
+    rows = [(1, "x y " * 45_000, True), (2, many, True), (3, "w7 w8", True), (4, "w8 w7", True), (5, "never seen", False)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, counted boolean")
+    got = lm_score.score(df, df.where("doc_id = 2").select("doc_id"), Workspace(spark, "test"), counted_col="counted").select("row.doc_id", "n_tokens", "target_loss", "background_loss").collect()
+    check_losses(got, rows, {2}, lambda r: r[2])
 
 
 APACHE = '''Licensed under the Apache License, Version 2.0 (the "License");

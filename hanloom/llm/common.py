@@ -9,6 +9,7 @@ import types
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -107,3 +108,15 @@ def slices(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[
         n = max(1, b.num_rows * limit // max(limit, b.nbytes))
         for at in range(0, b.num_rows, n):
             yield b.slice(at, n)
+
+
+def squeeze(a: np.ndarray) -> bytes:
+    """Counts in the least width that holds them, compressed."""
+    width = next(w for w in (1, 2, 4, 8) if not len(a) or int(a.max()) < 1 << 8 * w)
+    raw = a.astype(f"<u{width}").tobytes()
+    return bytes([width]) + len(raw).to_bytes(8, "little") + (pa.compress(raw, "zstd", asbytes=True) if raw else b"")
+
+
+def spread(b: bytes) -> np.ndarray:
+    size = int.from_bytes(b[1:9], "little")
+    return np.frombuffer(pa.decompress(b[9:], size, "zstd", asbytes=True) if size else b"", f"<u{b[0]}").astype(np.int64)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Workspace, map_arrow, worker_state
+from .common import Workspace, map_arrow, spread, squeeze, worker_state
 from .hashing import mix
 
 #: Characters of text for each bucket of the tables, and bytes of text of a slice.
@@ -44,18 +44,6 @@ def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([*found, np.zeros(0, np.uint64)]), n
 
 
-def _squeeze(a: np.ndarray) -> bytes:
-    """Counts in the least width that holds them, compressed."""
-    width = next(w for w in (1, 2, 4, 8) if not len(a) or int(a.max()) < 1 << 8 * w)
-    raw = a.astype(f"<u{width}").tobytes()
-    return bytes([width]) + len(raw).to_bytes(8, "little") + (pa.compress(raw, "zstd", asbytes=True) if raw else b"")
-
-
-def _spread(b: bytes) -> np.ndarray:
-    size = int.from_bytes(b[1:9], "little")
-    return np.frombuffer(pa.decompress(b[9:], size, "zstd", asbytes=True) if size else b"", f"<u{b[0]}").astype(np.int64)
-
-
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return (((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
 
@@ -72,7 +60,7 @@ class _Slice:
     def __init__(self, words: bytes, place: bytes, n: bytes, buckets: int):
         self.words = np.append(np.frombuffer(words, "<u8"), _START)  # the last is the start of a text
         self.n = np.frombuffer(n, "<i8")
-        self.place = _spread(place)
+        self.place = spread(place)
         size = len(self.words)
         before = np.concatenate(([size - 1], self.place[:-1])) if len(self.place) else self.place
         first = np.cumsum(self.n) - self.n
@@ -105,9 +93,9 @@ def _pairs_of(bucket: int, asked: pa.Table, buckets: int) -> list[tuple]:
     """Answers of a bucket of pairs, and what it adds to how many different words follow a context."""
     contexts, words, target, every = [], [], [], []
     for c, r, w, n in zip(*(asked[k].to_pylist() for k in ("contexts", "runs", "words", "counts")), strict=True):
-        contexts.append(np.repeat(np.frombuffer(c, "<u8"), _spread(r)))
+        contexts.append(np.repeat(np.frombuffer(c, "<u8"), spread(r)))
         words.append(np.frombuffer(w, "<u8"))
-        both = _spread(n).reshape(2, -1)
+        both = spread(n).reshape(2, -1)
         target.append(both[0])
         every.append(both[1])
     sizes = list(map(len, words))
@@ -117,19 +105,19 @@ def _pairs_of(bucket: int, asked: pa.Table, buckets: int) -> list[tuple]:
     out, at = [], 0
     for s, size in zip(asked["slice"].to_pylist(), sizes, strict=True):
         own = place[at : at + size]
-        out.append((_PAIR, bucket, s, None, _squeeze(np.concatenate([x[own] for x in total])), None, None, None))
+        out.append((_PAIR, bucket, s, None, squeeze(np.concatenate([x[own] for x in total])), None, None, None))
         at += size
     keys, of = np.unique(context[first], return_inverse=True)
     kinds = np.stack([np.bincount(of, x > 0, len(keys)).astype(np.int64) for x in total])
     to = _bucket(keys, buckets)  # keys are sorted, so each bucket is a run
-    out += [(_CONTEXT, int(to[a]), None, keys[a:b].tobytes(), _squeeze(kinds[:, a:b].ravel()), None, None, None) for a, b in zip(*_runs(to), strict=True)]
+    out += [(_CONTEXT, int(to[a]), None, keys[a:b].tobytes(), squeeze(kinds[:, a:b].ravel()), None, None, None) for a, b in zip(*_runs(to), strict=True)]
     return out
 
 
 def _summed(keys: list[bytes], values: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Different keys, the place of each key among them, the sums of their ``width`` values."""
     found, place = np.unique(np.concatenate([np.frombuffer(k, "<u8") for k in keys] or [np.zeros(0, np.uint64)]), return_inverse=True)
-    rows = np.concatenate([_spread(v).reshape(width, -1) for v in values] or [np.zeros((width, 0), np.int64)], 1)
+    rows = np.concatenate([spread(v).reshape(width, -1) for v in values] or [np.zeros((width, 0), np.int64)], 1)
     return found, place, np.stack([np.bincount(place, v, len(found)).astype(np.int64) for v in rows])
 
 
@@ -140,7 +128,7 @@ def _words_of(bucket: int, asked: pa.Table) -> list[tuple]:
     out, at = [], 0
     for s, k in zip(asked["slice"].to_pylist(), keys, strict=True):
         own = place[at : at + len(k) // 8]
-        out.append((_WORD, bucket, s, k, _squeeze(total[:, own].ravel()), None, None, None))
+        out.append((_WORD, bucket, s, k, squeeze(total[:, own].ravel()), None, None, None))
         at += len(k) // 8
     return [*out, (_SUM, bucket, None, None, None, int(total[0].sum()), int(total[1].sum()), int((total[1] > 0).sum()))]
 
@@ -157,7 +145,7 @@ def _follow(key: tuple, rows: pa.Table) -> pa.Table:
             h = np.frombuffer(keys[i], "<u8")
             at = np.searchsorted(found, h)
             at[~np.isin(h, found)] = len(found)
-            out.append((_WORD, key[0].as_py(), s, None, _squeeze(np.concatenate([_spread(counts[i]), *total[:, at]])), None, None, None))
+            out.append((_WORD, key[0].as_py(), s, None, squeeze(np.concatenate([spread(counts[i]), *total[:, at]])), None, None, None))
     return _table(out, _GOT)
 
 
@@ -189,7 +177,7 @@ def score(docs: DataFrame, target_ids: DataFrame, ws: Workspace, id_col: str = "
         number = np.empty(len(keys), np.int64)
         number[order] = np.arange(len(keys))
         row = pa.concat_arrays(table["row"].chunks)
-        cells = [[uuid.uuid4().bytes], None, [keys[order].tobytes()], [_squeeze(number[place])], [n.tobytes()], [table["counted"].to_numpy().astype(np.uint8).tobytes()]]
+        cells = [[uuid.uuid4().bytes], None, [keys[order].tobytes()], [squeeze(number[place])], [n.tobytes()], [table["counted"].to_numpy().astype(np.uint8).tobytes()]]
         return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), row) if c is None else pa.array(c, pa.binary()) for c in cells], ["slice", "rows", "words", "place", "n", "counted"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,12 +212,12 @@ def score(docs: DataFrame, target_ids: DataFrame, ws: Workspace, id_col: str = "
         bucket = own.word_bucket[own.word_order]
         for a, b in zip(*_runs(bucket), strict=True):
             at = own.word_order[a:b]
-            out.append((_WORD, int(bucket[a]), slice_, None, None, own.words[at].tobytes(), _squeeze(np.concatenate([x[at] for x in (word_t, word, ctx_t, ctx)]))))
+            out.append((_WORD, int(bucket[a]), slice_, None, None, own.words[at].tobytes(), squeeze(np.concatenate([x[at] for x in (word_t, word, ctx_t, ctx)]))))
         bucket = own.pair_bucket[own.pair_order]
         for a, b in zip(*_runs(bucket), strict=True):
             at = own.pair_order[a:b]  # pairs of a context stand together
             start, end = _runs(own.before[at])
-            out.append((_PAIR, int(bucket[a]), slice_, own.words[own.before[at[start]]].tobytes(), _squeeze(end - start), own.words[own.after[at]].tobytes(), _squeeze(np.concatenate([pair_t[at], pair[at]]))))
+            out.append((_PAIR, int(bucket[a]), slice_, own.words[own.before[at[start]]].tobytes(), squeeze(end - start), own.words[own.after[at]].tobytes(), squeeze(np.concatenate([pair_t[at], pair[at]]))))
         return _table(out, _ASKED)
 
     asked = packs.select("slice", "words", "place", "n", "counted").groupBy("slice").cogroup(flags.groupBy("of")).applyInArrow(ask, _ASKED)
@@ -253,7 +241,7 @@ def score(docs: DataFrame, target_ids: DataFrame, ws: Workspace, id_col: str = "
         order = np.argsort(got["bucket"].to_numpy(), kind="stable")
         of = []
         for kind, width, at in ((_WORD, 6, own.word_order), (_PAIR, 2, own.pair_order)):
-            parts = [_spread(blobs[i]).reshape(width, -1) for i in order if kinds[i] == kind]
+            parts = [spread(blobs[i]).reshape(width, -1) for i in order if kinds[i] == kind]
             counts = np.zeros((width, len(at)))
             counts[:, at] = np.concatenate([*parts, np.zeros((width, 0), np.int64)], 1)
             of.append(counts)

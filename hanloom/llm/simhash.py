@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, chunks, free_name, map_arrow, slices, text_or_empty
+from .common import Workspace, chunks, free_name, map_arrow, slices, spread, squeeze, text_or_empty
 from .components import connected_components
 from .hashing import padded, xxh64_spans
 
@@ -22,8 +23,10 @@ REFERENCES = 16
 GROUPS = 4
 #: Beyond this many different fingerprints, a bucket's links are found through the fingerprints between them, not as pairs.
 DENSE = 32
-#: Texts in the sample that tells common runs of words, and how often it has those.
-SAMPLE, COMMON = 5_000, 8
+#: Texts in the sample that tells common runs of words, how often it has those, and how many runs it tells at most.
+SAMPLE, COMMON, COMMON_MOST = 5_000, 4, 1 << 18
+#: Characters of text for each bucket of hashes; pairs of a key that are verified together.
+BUCKET, GROUP = 8 << 20, 64
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -164,8 +167,8 @@ def shingle_sets(texts: list[str], words: int, seed: int = 42) -> list[np.ndarra
     return out
 
 
-def _digest(hashes: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
+def _digest(hashes: np.ndarray) -> bytes:
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
 
 def _among(keys: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -176,7 +179,8 @@ def _among(keys: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def _common(texts: DataFrame, words: int) -> np.ndarray:
-    """Sorted hashes of runs that a sample of about SAMPLE texts has often. They only decide an order, so the sample has no part in results."""
+    """Sorted hashes of the runs that a sample of about SAMPLE texts has most often. They only decide an order, so the sample has no part in
+    results."""
     every = max(1, texts.count() // SAMPLE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,64 +188,193 @@ def _common(texts: DataFrame, words: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*shingle_sets(b.column(0).to_pylist(), words), np.zeros(0, np.uint64)]).view(np.int64))], ["h"])
 
     some = texts.where(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(every)) == 0)
-    rows = some.select("text").transform(map_arrow, run, "h long").groupBy("h").count().where(F.col("count") >= COMMON).select("h").toLocalIterator()
-    return np.sort(np.fromiter((r["h"] for r in rows), np.int64).view(np.uint64))
+    counts = some.select("text").transform(map_arrow, run, "h long").groupBy("h").count().where(F.col("count") >= COMMON)
+    rows = counts.orderBy(F.desc("count"), "h").limit(COMMON_MOST).collect()
+    return np.sort(np.array([r["h"] for r in rows], np.int64).view(np.uint64))
 
 
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, like: float = 0.8) -> DataFrame:
-    """(doc_id, component_id): a row per row of ``docs``; the component is the smallest doc_id reachable over links of texts whose sets of
-    runs of ``words`` words have a Jaccard likeness of ``like`` or more.
+_HEADS = "slice long, bucket int, ids array<long>, of binary, digests binary, n binary, h binary, node binary"
 
-    Exact: under one order of all runs, the first n - ceil(like * n) + 1 of two sets as alike share one; those bucket the candidates,
-    whose whole sets are then compared. Common runs come last in the order. Equal sets are one node. A radius of fingerprints can't
-    do this: texts of likeness 0.8 differ by about ten bits, give or take some, and bit groups that agree are then of four bits.
-    Null texts count as empty and link to each other only; a null doc_id takes the component of its text.
-    """
-    spark = docs.sparkSession
-    ws = Workspace(spark, "similar")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    shared = spark.sparkContext.broadcast(_common(texts, words))
 
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            sets, heads = shingle_sets(b.column(1).to_pylist(), words), []
-            for h in sets:
-                common = _among(shared.value, h)
-                heads.append(np.concatenate([h[~common], h[common]])[: len(h) - int(np.ceil(like * len(h) - 1e-9)) + 1].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_digest(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int64()), pa.array(heads, pa.list_(pa.int64()))], ["doc_id", "digest", "n", "head"])
-
-    prints = ws.save(texts.transform(map_arrow, first, "doc_id long, digest long, n long, head array<long>"), "prints")
-    nodes = ws.save(prints.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("head").alias("head")).where("node is not null"), "nodes")
-    met = nodes.select("digest", "n", F.explode("head").alias("h"))
-    keyed = ws.save(met.join(met.groupBy("h").count().where("count > 1").select("h"), "h"), "keyed")
-    other = keyed.select(F.col("digest").alias("other"), F.col("n").alias("n_other"), "h")
-    near = (F.col("other") < F.col("digest")) & (F.least("n", "n_other") >= F.lit(like) * F.greatest("n", "n_other") - 1e-9)
-    pairs = ws.save(keyed.join(other, "h").where(near).select("digest", "other").distinct(), "pairs")
-    needed = pairs.select("digest").union(pairs.select(F.col("other"))).distinct().join(nodes.select("digest", "node"), "digest").select(F.col("node").alias("doc_id")).distinct()
+def _heads(texts: DataFrame, words: int, like: float, buckets: int, common: object) -> DataFrame:
+    """Rows of slices of ``texts`` (doc_id, text). One a slice holds its ids, the number of each one's set among the slice's different sets, and the
+    digests and sizes of those; others, by bucket, hold the first hashes of the sets, n - ceil(like * n) + 1 of n, common ones last."""
+    names = [f.split()[0] for f in _HEADS.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 8 << 20):
+            known: dict[bytes, int] = {}
+            of, sizes, heads = [], [], []
+            for h in shingle_sets(b.column(1).to_pylist(), words):
+                d = _digest(h)
+                if d not in known:
+                    known[d] = len(known)
+                    sizes.append(len(h))
+                    late = _among(common.value, h)
+                    heads.append(np.concatenate([h[~late], h[late]])[: len(h) - int(np.ceil(like * len(h) - 1e-9)) + 1])
+                of.append(known[d])
+            slice_ = uuid.uuid4().int >> 65
+            rows = [(slice_, None, b.column(0).to_pylist(), np.array(of, "<i4").tobytes(), b"".join(known), np.array(sizes, "<i4").tobytes(), None, None)]
+            h, node = np.concatenate([*heads, np.zeros(0, np.uint64)]), np.repeat(np.arange(len(heads), dtype="<i4"), list(map(len, heads)))
+            to = (((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            cuts = np.flatnonzero(np.diff(to[order])) + 1
+            for at in np.split(order, cuts) if len(order) else []:
+                rows.append((slice_, int(to[at[0]]), None, None, None, None, h[at].tobytes(), squeeze(node[at])))
+            kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), *[pa.binary()] * 5)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    return texts.transform(map_arrow, run, _HEADS)
+
+
+def _shared(key: tuple, rows: pa.Table) -> pa.Table:
+    """(h, slice, node) of the hashes of a bucket that stand more than once."""
+    h = [np.frombuffer(x, np.int64) for x in rows["h"].to_pylist()]
+    slice_ = np.repeat(rows["slice"].to_numpy(), list(map(len, h)))
+    h, node = np.concatenate(h), np.concatenate([spread(x) for x in rows["node"].to_pylist()])
+    _, place, many = np.unique(h, return_inverse=True, return_counts=True)
+    keep = many[place] > 1
+    return pa.table([h[keep], slice_[keep], node[keep].astype(np.int32)], ["h", "slice", "node"])
+
+
+def _prints(heads: DataFrame) -> DataFrame:
+    """(doc_id, slice, node, digest, n), a row per text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for slice_, ids, of, digests, n in zip(*(b.column(k) for k in range(5)), strict=True):
+                of, d, size = np.frombuffer(of.as_py(), "<i4"), digests.as_py(), np.frombuffer(n.as_py(), "<i4")
+                yield pa.RecordBatch.from_arrays([ids.values, pa.array(np.full(len(of), slice_.as_py())), pa.array(of), pa.array([d[16 * k : 16 * k + 16] for k in of.tolist()], pa.binary()), pa.array(size[of].astype(np.int64))], ["doc_id", "slice", "node", "digest", "n"])
+
+    return heads.where("bucket is null").select("slice", "ids", "of", "digests", "n").transform(map_arrow, run, "doc_id long, slice long, node int, digest binary, n long")
+
+
+def _alike_in_size(like: float) -> Column:
+    return F.least("n", "n_2") >= F.lit(like) * F.greatest("n", "n_2") - 1e-9
+
+
+def _enough(shared: Column, like: float) -> Column:
+    """If texts that share so many of their first hashes can be as alike. As alike, they share at least like / (1 + like) of n + n_2 hashes, of
+    which all but ceil(like * n) - 1 are among the first of the one whose first hashes end earlier, and then among the other's."""
+    both = F.ceil((F.col("n") + F.col("n_2")) * F.lit(like / (1 + like)) - 1e-9)
+    return shared >= both + 1 - F.ceil(F.greatest("n", "n_2") * F.lit(like) - 1e-9)
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, ws: Workspace, words: int, like: float, name: str) -> DataFrame:
+    """The ``pairs`` (key, key_2) whose whole sets are as alike. The sets of pairs with one key meet in groups of about GROUP; a key with more
+    pairs has more groups, and its set goes to each."""
+    wanted = pairs.select("key").union(pairs.select("key_2")).distinct()
+    reps = ws.save(wanted.join(nodes.select("key", "doc"), "key"), f"{name}-wanted")
+    found = texts.join(reps.select("doc").distinct().hint("shuffle_hash"), F.col("doc_id") == F.col("doc"), "left_semi").select("text")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             sets = shingle_sets(b.column(0).to_pylist(), words)
-            yield pa.RecordBatch.from_arrays([pa.array([_digest(h) for h in sets], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())], ["digest", "hashes"])
+            yield pa.RecordBatch.from_arrays([pa.array([_key(_digest(h)) for h in sets], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())], ["key", "hashes"])
+
+    sets = ws.save(found.transform(map_arrow, whole, "key long, hashes binary"), f"{name}-sets")
+    groups = ws.save(pairs.groupBy("key").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups")), f"{name}-groups")
+    members = pairs.join(groups, "key").select("key", F.pmod(F.xxhash64("key_2"), F.col("groups")).cast("int").alias("part"), F.col("key_2").alias("of"))
+    firsts = groups.select("key", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), F.col("key").alias("of"))
+    sent = ws.save(members.union(firsts).select(F.col("key").alias("first"), "part", "of"), f"{name}-sent")
+
+    def compare(key: tuple, rows: pa.Table) -> pa.Table:
+        first = key[0].as_py()
+        sets = {k: np.frombuffer(h, np.uint64) for k, h in zip(rows["of"].to_pylist(), rows["hashes"].to_pylist(), strict=True)}
+        ok = []
+        for k, y in sets.items():
+            x = sets.get(first)
+            if x is not None and k != first:
+                both = int(_among(x, y).sum())
+                if both >= like * (len(x) + len(y) - both) - 1e-9:
+                    ok.append(k)
+        return pa.table([pa.array([first] * len(ok), pa.int64()), pa.array(ok, pa.int64())], ["key", "key_2"])
+
+    # Merged whatever the sizes, so that the plan is the same at any scale.
+    met = sent.join(sets.hint("merge"), F.col("of") == F.col("key")).select("first", "part", "of", "hashes")
+    out = ws.save(met.groupBy("first", "part").applyInArrow(compare, "key long, key_2 long"), f"{name}-links")
+    for old in ("sets", "sent", "groups", "wanted"):
+        ws.remove(f"{name}-{old}")
+    return out
 
-    sets = ws.save(texts.join(needed.hint("merge"), "doc_id", "left_semi").select("text").transform(map_arrow, whole, "digest long, hashes binary"), "sets")
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            ok = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(both >= like * (len(x) + len(y) - both) - 1e-9)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["digest", "other"]).filter(pa.array(ok, pa.bool_()))
-
-    # Rows that repeat a doc_id may give a set twice, and so a link; components take links once.
-    both = pairs.join(sets.withColumnRenamed("hashes", "x").hint("merge"), "digest").join(sets.select(F.col("digest").alias("other"), F.col("hashes").alias("y")).hint("merge"), "other")
-    links = both.select("digest", "other", "x", "y").transform(map_arrow, verify, "digest long, other long")
-    ends = nodes.select("digest", F.col("node").alias("a")), nodes.select(F.col("digest").alias("other"), F.col("node").alias("b"))
-    found = connected_components(spark, links.join(ends[0], "digest").join(ends[1], "other").select("a", "b"), ws)
-    groups = ws.save(nodes.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id")), "groups")
-    return prints.select("doc_id", "digest").join(groups, "digest", "left").select("doc_id", "component_id")
+def _key(digest: bytes) -> int:
+    return int.from_bytes(digest[:8], "big", signed=True)
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, like: float = 0.8, dense: int = DENSE) -> DataFrame:
+    """(doc_id, component_id): a row per row of ``docs``; the component is the smallest doc_id reachable over links of texts whose sets of
+    runs of ``words`` words have a Jaccard likeness of ``like`` or more.
+
+    Exact: under one order of all runs, the first n - ceil(like * n) + 1 of two sets as alike share one, and as many more as their sizes
+    tell (``_enough``). Common runs come last in the order. Equal sets are one node. Runs that up to ``dense`` nodes have among their
+    first give all their pairs, whose shared runs are counted; of the pairs with enough, whole sets are compared. Nodes of a run that
+    more have are compared with one or two of theirs, of like size; where that leaves more than one component, nodes outside the
+    run's largest are compared with the others. So a large group of near copies is linked by as many pairs as it has nodes. A radius
+    of fingerprints can't do this: texts of likeness 0.8 differ by about ten bits, give or take some.
+    Null texts count as empty and link to each other only; a null doc_id takes the component of its text, null if no other row gives
+    one. Rows that repeat a doc_id are linked. An empty table gives an empty result; other columns are not read.
+    """
+    spark = docs.sparkSession
+    ws = Workspace(spark, "similar")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    common = spark.sparkContext.broadcast(_common(texts, words))
+    buckets = int(max(1, (texts.agg(F.sum(F.length("text"))).first()[0] or 0) // BUCKET))
+    heads = ws.save(_heads(texts, words, like, buckets, common), "heads")
+    prints = ws.save(_prints(heads), "prints")
+    met = ws.save(heads.where("bucket is not null").select("bucket", "slice", "h", "node").groupBy("bucket").applyInArrow(_shared, "h long, slice long, node int"), "met")
+    ws.remove("heads")
+    key = F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long")
+    nodes = ws.save(prints.groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n")).where("doc is not null").withColumn("key", key), "nodes")
+    numbers = ws.save(prints.select("slice", "node", "digest").distinct().join(nodes, "digest").select("slice", "node", "key", "n"), "numbers")
+    rows = ws.save(met.join(numbers.hint("merge"), ["slice", "node"]).select("h", "key", "n").distinct(), "rows")
+    sizes = ws.save(rows.groupBy("h").count().where("count > 1"), "sizes")
+    rows = ws.save(rows.join(sizes.hint("merge"), "h"), "members")
+    for old in ("met", "numbers", "rows", "sizes"):
+        ws.remove(old)
+
+    few, many = rows.where(F.col("count") <= dense).select("h", "key", "n"), rows.where(F.col("count") > dense).select("h", "key", "n")
+    other = few.select("h", F.col("key").alias("key_2"), F.col("n").alias("n_2"))
+    counted = few.join(other.hint("merge"), "h").where((F.col("key") < F.col("key_2")) & _alike_in_size(like)).groupBy("key", "key_2", "n", "n_2").agg(F.count("*").alias("shared"))
+    # Sizes of a class are alike enough; a node meets one of its class and one of the class below.
+    many = ws.save(many.withColumn("class", F.floor(F.log("n") / -float(np.log(like)))), "dense")
+    firsts = ws.save(many.groupBy("h", "class").agg(F.min(F.struct("key", "n")).alias("first")), "dense-firsts")
+    near = many.withColumn("meets", F.explode(F.array(F.col("class"), F.col("class") - 1))).join(firsts.select("h", F.col("class").alias("meets"), "first").hint("merge"), ["h", "meets"])
+    a, b = F.struct("key", "n"), F.struct(F.col("first.key").alias("key"), F.col("first.n").alias("n"))
+    stars = near.select("h", F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).select("h", "a.key", F.col("b.key").alias("key_2"), "a.n", F.col("b.n").alias("n_2")).where((F.col("key") < F.col("key_2")) & _alike_in_size(like)).distinct()
+    counted = counted.union(stars.groupBy("key", "key_2", "n", "n_2").agg(F.count("*").alias("shared"))).groupBy("key", "key_2", "n", "n_2").agg(F.sum("shared").alias("shared"))
+    counted = ws.save(counted, "counted")
+    # Shared dense runs are counted for some pairs only, so all that both have may be shared.
+    more = ws.save(many.groupBy("key").agg(F.count("*").alias("more")), "dense-counts")
+    more_2 = more.select(F.col("key").alias("key_2"), F.col("more").alias("more_2"))
+    bound = F.col("shared") + F.least(F.coalesce("more", F.lit(0)), F.coalesce("more_2", F.lit(0)))
+    pairs = ws.save(counted.join(more.hint("merge"), "key", "left").join(more_2.hint("merge"), "key_2", "left").where(_enough(bound, like)).select("key", "key_2", "n", "n_2"), "pairs")
+    links = _verified(pairs.select("key", "key_2"), texts, nodes, ws, words, like, "first")
+    ends = nodes.select("key", F.col("doc").alias("a")), nodes.select(F.col("key").alias("key_2"), F.col("doc").alias("b"))
+
+    def components(links: DataFrame, name: str) -> DataFrame:
+        found = connected_components(spark, links.join(ends[0], "key").join(ends[1], "key_2").select("a", "b"), ws, name)
+        return ws.save(nodes.join(found, nodes["doc"] == found["node"], "left").select("digest", "key", F.coalesce("component", "doc").alias("component_id")), f"{name}-of")
+
+    groups = components(links, "near")
+    placed = ws.save(many.select("h", "key", "n").join(groups.select("key", "component_id").hint("merge"), "key"), "dense-placed")
+    largest = placed.groupBy("h", "component_id").count().groupBy("h").agg(F.max_by("component_id", F.struct("count", "component_id")).alias("largest"), F.count("*").alias("kinds")).where("kinds > 1")
+    left = ws.save(placed.join(largest.select("h", "largest").hint("merge"), "h"), "dense-left")
+    if left.limit(1).count():
+        outside = left.where(F.col("component_id") != F.col("largest")).select("h", "key", "n", "component_id")
+        every = left.select("h", F.col("key").alias("key_2"), F.col("n").alias("n_2"), F.col("component_id").alias("component_2"))
+        cross = outside.join(every.hint("merge"), "h").where((F.col("component_id") != F.col("component_2")) & _alike_in_size(like))
+        a, b = F.struct("key", "n"), F.struct(F.col("key_2").alias("key"), F.col("n_2").alias("n"))
+        cross = cross.select("h", F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct().groupBy("a", "b").agg(F.count("*").alias("own")).select("a.key", F.col("b.key").alias("key_2"), "a.n", F.col("b.n").alias("n_2"), "own")
+        seen = counted.select("key", "key_2", "shared")
+        # What the first count has of dense runs is counted twice here; a bound above is all that is needed.
+        cross = cross.join(seen.hint("merge"), ["key", "key_2"], "left").where(_enough(F.col("own") + F.coalesce("shared", F.lit(0)), like)).join(pairs.select("key", "key_2").hint("merge"), ["key", "key_2"], "left_anti")
+        again = _verified(ws.save(cross.select("key", "key_2"), "cross-pairs"), texts, nodes, ws, words, like, "second")
+        if again.limit(1).count():
+            groups = components(links.union(again), "all")
+    for old in ("members", "dense", "dense-firsts", "dense-counts", "dense-placed", "dense-left", "counted", "pairs", "first-links"):
+        ws.remove(old)
+    return prints.select("doc_id", "digest").join(groups.select("digest", "component_id"), "digest", "left").select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, like: float | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 import re
+from functools import partial
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -131,7 +132,12 @@ def test_spotsigs_classes(spark):
     assert {k: got[k] for k in want} == want and got[None] == want[0]
 
 
-def test_similar(spark):
+@pytest.mark.parametrize("dense", [32, 1])
+def test_similar(spark, dense, monkeypatch):
+    monkeypatch.setattr(simhash, "DENSE", dense)
+    monkeypatch.setattr(simhash, "BUCKET", 1 << 16)
+    monkeypatch.setattr(simhash, "GROUP", 4)
+    monkeypatch.setattr(simhash, "similar", partial(simhash.similar, dense=dense))
     rng = random.Random(5)
     texts = pq.read_table(DATA).column("text").to_pylist()[:90]
 
@@ -142,6 +148,12 @@ def test_similar(spark):
         return " ".join(w)
 
     rows = list(enumerate(texts)) + [(1000 + i, edited(t)) for i, t in enumerate(texts)] + [(3000, None), (3001, ""), (None, texts[0]), (3002, "two words")]
+    base = [f"w{rng.randrange(900)}" for _ in range(300)]
+    for i in range(40):  # a chain of copies, each near the next ones only; all share many runs
+        base[rng.randrange(300)] = f"new{i}"
+        rows.append((5000 + i, " ".join(base[: 300 - rng.randrange(20)])))
+    passage = " ".join(f"p{i}" for i in range(60))  # a passage that many documents share
+    rows += [(6000 + i, f"{passage} " + " ".join(f"q{i}-{k}" for k in range(rng.choice((3, 8, 15, 40))))) for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in simhash.similar(df).collect()}
     sets = {}

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -76,9 +77,12 @@ def textrank(tokens: DataFrame, k: int, span: int = SPAN, damping: float = DAMPI
     """``tokens`` (id, pos, term). A document's graph is no larger than its text, so each is ranked in one Arrow call."""
     words = tokens.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "term"))), lambda x: x["term"]).alias("words"))
 
-    @F.pandas_udf("array<struct<keyword:string,weight:double>>")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda w: [{"keyword": a, "weight": b} for a, b in rank_terms(list(w), k, span, damping, iterations)])
+    @F.arrow_udf("array<struct<keyword:string,weight:double>>")
+    def run(rows: pa.Array) -> pa.Array:
+        found = [rank_terms(w, k, span, damping, iterations) for w in rows.to_pylist()]
+        at = pa.array([0, *accumulate(map(len, found))], pa.int32())
+        flat = [x for f in found for x in f]
+        return pa.ListArray.from_arrays(at, pa.StructArray.from_arrays([pa.array([w for w, _ in flat], pa.string()), pa.array([x for _, x in flat], pa.float64())], ["keyword", "weight"]))
 
     return words.select("id", F.posexplode(run("words")).alias("rank", "x")).select("id", (F.col("rank") + 1).alias("rank"), "x.keyword", "x.weight")
 

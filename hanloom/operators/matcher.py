@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Mapping, Sequence
 
-from ..functions.text import DELIMITERS
+from ..functions.text import DELIMITER_CHARACTERS, DELIMITERS
 
 #: The longest window that is matched within a token, in characters.
 WINDOW = 64
@@ -13,13 +13,25 @@ WINDOW = 64
 MEMO_LENGTH, MEMO_SIZE = 24, 1 << 16
 _CLASS = "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in DELIMITERS)
 _CHUNK = re.compile(f"[^{_CLASS}]*[{_CLASS}]|[^{_CLASS}]+")
-IS_DELIMITER = frozenset(chr(c) for a, b in DELIMITERS for c in range(a, b + 1))
+IS_DELIMITER = frozenset(DELIMITER_CHARACTERS)
 
 
 def chunks(text: str) -> list[str]:
     return _CHUNK.findall(text)
 
 
+def _plain(c: str) -> str:
+    return c if c.isalnum() else f"\\x{{{ord(c):X}}}"
+
+
+def phrase_pattern(keys: Iterable[str]) -> str:
+    """A pattern of Java's that finds any of ``keys``, told apart by their first characters."""
+    rest: dict[str, list[str]] = {}
+    for k in sorted(keys):
+        rest.setdefault(k[0], []).append("".join(map(_plain, k[1:])))
+    return f"(?=[{''.join(map(_plain, rest))}])(?:{'|'.join(f'{_plain(c)}(?:{"|".join(ends)})' for c, ends in rest.items())})"
+
+
 class Round:
     """The tables of one round as one map: for a key, the first table that has it decides."""
 
@@ -31,6 +43,15 @@ class Round:
         self.longest = min(WINDOW, max(map(len, self.map), default=0))
         self.lengths = sorted({len(k) for k in self.map if len(k) <= WINDOW}, reverse=True)
 
+    def native(self, most: int) -> tuple[dict[str, str], list[str]] | None:
+        """What single characters become, and the longer keys, ``most`` at most: a text that holds none of those is mapped by character. None where
+        characters become several, or delimiters are keys."""
+        single = {k: v for k, v in self.map.items() if len(k) == 1}
+        phrases = [k for k in self.map if len(k) > 1]
+        if len(phrases) > most or any(len(v) != 1 for v in single.values()) or IS_DELIMITER.intersection(single):
+            return None
+        return single, phrases
+
     def by_character(self, text: str) -> str:
         get = self.map.get
         return "".join([get(c, c) for c in text])
@@ -56,7 +77,6 @@ class Round:
             return whole
         return self.by_character(token) if len(token) < 3 else self.by_longest(token)
 
-
     def chunk(self, chunk: str, cut: Callable[[str], list[str]]) -> str:
         """Short chunks come again and again; what becomes of them is kept, for one and the same ``cut``."""
         if (known := self.memo.get(chunk)) is not None:

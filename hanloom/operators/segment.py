@@ -14,6 +14,22 @@ _RUN = re.compile(rf"[{_HAN}]+|[A-Za-z0-9]+(?:\.[0-9]+)?%?|\s+|.", re.S)
 #: Chunks up to this length are kept, so many of them.
 MEMO_LENGTH, MEMO_SIZE = 24, 1 << 16
 _IS_HAN = re.compile(rf"[{_HAN}]")
+_NUMBER, _LATIN = re.compile(r"[0-9.]+%?"), re.compile(r"[A-Za-z0-9]+")
+
+
+class _Tags(dict):
+    """Tags of words met, so many at most."""
+
+    def __init__(self, words: Mapping[str, tuple[int, str | None]]):
+        super().__init__()
+        self.words = words
+
+    def __missing__(self, word: str) -> str:
+        tag = self.words.get(word, (0, None))[1] or ("m" if _NUMBER.fullmatch(word) else "eng" if _LATIN.fullmatch(word) else "x")
+        if len(self) >= MEMO_SIZE:
+            self.clear()
+        self[word] = tag
+        return tag
 
 
 class HmmModel:
@@ -50,7 +66,8 @@ class Segmenter:
     def __init__(self, vocabulary: Mapping[str, tuple[int, str | None]], hmm: HmmModel | None = None):
         self.words = dict(vocabulary)
         self.hmm = hmm
-        self.memo: dict[tuple[str, bool], list[str]] = {}
+        self.memo: tuple[dict[str, list[str]], dict[str, list[str]]] = {}, {}
+        self.tags = _Tags(self.words)
         self.total = math.log(max(1, sum(f for f, _ in self.words.values())) + 1)
         self.weight = {w: math.log(max(1, f)) - self.total for w, (f, _) in self.words.items()}
         self.prefixes = {w[:i] for w in self.words for i in range(1, len(w))}
@@ -96,12 +113,13 @@ class Segmenter:
         """Short chunks come again and again; what they fall into is kept."""
         if len(chunk) > MEMO_LENGTH:
             return self._fresh(chunk, hmm)
-        key = chunk, hmm
-        if key not in self.memo:
-            if len(self.memo) >= MEMO_SIZE:
-                self.memo.clear()
-            self.memo[key] = self._fresh(chunk, hmm)
-        return self.memo[key]
+        memo = self.memo[hmm]
+        found = memo.get(chunk)
+        if found is None:
+            if len(memo) >= MEMO_SIZE:
+                memo.clear()
+            found = memo[chunk] = self._fresh(chunk, hmm)
+        return found
 
     def _fresh(self, chunk: str, hmm: bool) -> list[str]:
         if chunk in self.words:
@@ -128,7 +146,11 @@ class Segmenter:
 
     def cut(self, text: str, hmm: bool = False) -> list[str]:
         """Delimiters are tokens too; nothing is lost."""
-        return [t for chunk in chunks(text) for t in self._chunk(chunk, hmm)]
+        out: list[str] = []
+        get = self.memo[hmm].get
+        for chunk in chunks(text):
+            out += get(chunk) or self._chunk(chunk, hmm)
+        return out
 
     def cut_chunk(self, chunk: str) -> list[str]:
         return self._chunk(chunk, True)
@@ -157,8 +179,8 @@ class Segmenter:
 
     def tag(self, text: str, hmm: bool = False) -> list[tuple[str, str]]:
         """Tags of the lexicon; else m for numbers, eng for Latin words, x for the rest."""
-        out = []
-        for word in self.cut(text, hmm):
-            known = self.words.get(word, (0, None))[1]
-            out.append((word, known or ("m" if re.fullmatch(r"[0-9.]+%?", word) else "eng" if re.fullmatch(r"[A-Za-z0-9]+", word) else "x")))
-        return out
+        words = self.cut(text, hmm)
+        return list(zip(words, self.tags_of(words), strict=True))
+
+    def tags_of(self, words: list[str]) -> list[str]:
+        return list(map(self.tags.__getitem__, words))

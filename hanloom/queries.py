@@ -8,10 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import source_queries, word_queries
 from .functions import text as tx
 from .operators import keywords as kw
 from .operators.engine import Engine
 from .plans import configs
+from .queries_base import spread_small
 from .sources import lexicon as lx
 
 _LETTERS = string.ascii_lowercase
@@ -51,7 +53,7 @@ def _han(name: str, text: str = "text") -> Column:
 
 
 def _docs(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread_small(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
 def _sha(c: Column) -> Column:
@@ -209,26 +211,12 @@ def cut_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir, "conversations").select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
-def cut_accurate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nothing is lost: tokens join to the text."""
-    docs = _docs(spark, sf_dir).select("doc_id", _segmenting(spark).cut(_han("t2jp")).alias("tokens"))
-    return docs.select("doc_id", _sha(F.array_join("tokens", "")).alias("text_sha256"))
-
-
-def cut_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", _segmenting(spark).cut_and_join(_han("t2jp"), "/", mode="search").alias("tokens"))
-
-
-def pos_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", tx.format_tags(_segmenting(spark).tag(_han("t2jp"))).alias("tagged"))
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    plain = (delimiter_profile, split_ranges, punct_to_corner, punct_to_curly, convert_by_column, utf8_truncate, strip_newlines, script_detect, script_auto_convert, config_dim, slot_dim, lexicon_stats, overlay_append, overlay_override, userdict_validate, dictionary_lookup, tfidf_top10, tfidf_tagged_top10, textrank_top10, cut_full, cut_accurate, cut_search, pos_tag)
+    plain = (delimiter_profile, split_ranges, punct_to_corner, punct_to_curly, convert_by_column, utf8_truncate, strip_newlines, script_detect, script_auto_convert, config_dim, slot_dim, lexicon_stats, overlay_append, overlay_override, userdict_validate, dictionary_lookup, tfidf_top10, tfidf_tagged_top10, textrank_top10, cut_full)
     out: dict[str, Callable[[SparkSession, str], DataFrame]] = {"split_inclusive": _split(True), "split_exclusive": _split(False)}
     out |= {f"{c}_documents": _convert(c) for c in CHAR_CONFIGS}
     out["t2jp_punct"] = _convert("t2jp", True)
-    return out | {f.__name__: f for f in plain}
+    return out | {f.__name__: f for f in plain} | word_queries.queries() | source_queries.queries()
 
 
 def _han_sql(name: str, text: str = "text") -> str:
@@ -251,6 +239,36 @@ r as (select *, row_number() over (partition by id order by weight desc, keyword
 select id as doc_id, rank::int as rank, keyword, round(weight, 6) as weight from r where rank <= 10"""
 
 
+# Number, name, quotation marks and rounds of each configuration; the tables, and other names of tables.
+_CONFIGS = """
+1 s2t s STPhrases+STCharacters
+2 s2tw s STPhrases+STCharacters TWVariantsPhrases+TWVariants
+3 s2twp s STPhrases+STCharacters TWPhrases+TWVariantsPhrases+TWVariants
+4 s2hk s STPhrases+STCharacters HKVariantsPhrases+HKVariants
+5 t2s t TSPhrases+TSCharacters
+6 t2tw s TWVariantsPhrases+TWVariants
+7 t2twp s TWPhrases+TWVariantsPhrases+TWVariants
+8 t2hk s HKVariantsPhrases+HKVariants
+9 tw2s t TWVariantsRev+TWVariantsRevPhrases TSPhrases+TSCharacters
+10 tw2sp t TWVariantsRev+TWVariantsRevPhrases TWPhrasesRev TSPhrases+TSCharacters
+11 tw2t s TWVariantsRev+TWVariantsRevPhrases
+12 tw2tp s TWVariantsRev+TWVariantsRevPhrases+TWPhrasesRev
+13 hk2s t HKVariantsRevPhrases+HKVariantsRev TSPhrases+TSCharacters
+14 hk2t s HKVariantsRevPhrases+HKVariantsRev
+15 jp2t s JPSPhrases+JPSCharacters
+16 t2jp s JPSCharactersRev
+17 s2hkp s STPhrases+STCharacters HKPhrases+HKVariantsPhrases+HKVariants
+18 hk2sp t HKPhrasesRev+HKVariantsRevPhrases+HKVariantsRev TSPhrases+TSCharacters
+19 t2hkp s HKPhrases+HKVariantsPhrases+HKVariants
+20 hk2tp s HKVariantsRevPhrases+HKVariantsRev+HKPhrasesRev
+"""
+_SLOTS = """
+STCharacters STPhrases TSCharacters TSPhrases TWPhrases TWPhrasesRev TWVariants TWVariantsPhrases TWVariantsRev TWVariantsRevPhrases
+HKPhrases HKPhrasesRev HKVariants HKVariantsPhrases HKVariantsRev HKVariantsRevPhrases JPSCharacters JPSCharactersRev JPSPhrases
+JPShinjitaiCharacters=JPSCharacters JPShinjitaiCharactersRev=JPSCharactersRev JPShinjitaiPhrases=JPSPhrases
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     out = {}
     for name, pattern in (("split_inclusive", tx.INCLUSIVE), ("split_exclusive", tx.EXCLUSIVE)):
@@ -279,8 +297,10 @@ s as (select doc_id, t, {prefix("q", tx.DETECT_IN)} as s from p),
 x as (select doc_id, t, case when s <> translate(s, '{a}', '{b}') then 1 when s <> translate(s, '{b}', '{a}') then 2 else 0 end as script from s)"""
     out["script_detect"] = f"with {script} select doc_id, script from x"
     out["script_auto_convert"] = f"with {script} select doc_id, sha256(case script when 1 then translate(t, '{a}', '{b}') when 2 then translate(t, '{b}', '{a}') else t end) as text_sha256 from x"
-    out["config_dim"] = "select * from (" + _values([(c.id, c.name, c.punct, i, j, s) for c in configs.CONFIGS for i, r in enumerate(c.rounds) for j, s in enumerate(r)]) + ") t(id, name, punct, round, priority, slot)"
-    out["slot_dim"] = "select * from (" + _values([*((s, s) for s in configs.SLOTS), *configs.SLOT_ALIASES.items()]) + ") t(name, slot)"
+    say = lambda x: x.split()
+    rows = [(int(n), name, punct, i, j, slot) for n, name, punct, *rounds in map(say, _CONFIGS.strip().split("\n")) for i, r in enumerate(rounds) for j, slot in enumerate(r.split("+"))]
+    out["config_dim"] = "select * from (" + _values(rows) + ") t(id, name, punct, round, priority, slot)"
+    out["slot_dim"] = "select * from (" + _values([tuple(x.split("=")) if "=" in x else (x, x) for x in say(_SLOTS)]) + ") t(name, slot)"
     entries = _values([(s, k) for s, t in _lexicon().tables.items() for k in t])
     out["lexicon_stats"] = f"select slot, count(*) as entries, min(length(k))::int as min_len, max(length(k))::int as max_len, bit_or(1::bigint << (length(k) - 1)::int) as len_mask, 0 as n_long from ({entries}) t(slot, k) group by slot"
     base = "select distinct lang as slot, source || '0' as key, 'base' as value, -1 as seq from documents"
@@ -298,5 +318,4 @@ x as (select doc_id, t, case when s <> translate(s, '{a}', '{b}') then 1 when s
     out["cut_full"] = f"""with t as (select conv_id, turn, regexp_replace({_han_sql("t2jp")}, '[^{a}]', '.', 'g') as t from conversations),
 p as (select t, unnest(range(1, length(t) + 1)) as i from t), w as (select w, length(w) as n from ({words}) x(w)),
 k as (select substr(t, i, 1) as token from p union all select w as token from p, w where substr(t, i, n) = w) select token, count(*) as n from k group by token"""
-    out["cut_accurate"] = f"select doc_id, sha256({_han_sql('t2jp')}) as text_sha256 from documents"
-    return out
+    return out | word_queries.oracle_sql() | source_queries.oracle_sql()

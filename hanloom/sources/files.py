@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import codecs
 import os
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,9 +18,10 @@ _JAVA_CHARSETS = "spark.sql.legacy.javaCharsets"
 def check_charset(name: str) -> str:
     """The name as Java and Python know it; raises for an unknown one."""
     try:
-        return codecs.lookup(name).name.upper().replace("_", "-")
+        found = codecs.lookup(name).name.upper().replace("_", "-")
     except LookupError as e:
         raise DocumentError(f"unknown charset: {name}") from e
+    return re.sub(r"^(UTF-(?:16|32))-([BL]E)$", r"\1\2", found.replace("ISO8859", "ISO-8859"))
 
 
 def check_paths(source: str | None, target: str | None) -> None:

@@ -165,12 +165,17 @@ def read_folder(path: str, base: Lexicon | None = None) -> Lexicon:
 
 def scan_table(spark: SparkSession, path: str, slot_name: str) -> DataFrame:
     """A large table as a DataFrame (slot, key, value, key_len), leniently: bad lines are dropped, of a key the last value counts."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("n"), F.regexp_replace(F.rtrim("value"), "^\\x{FEFF}", "").alias("s"))
-    rows = lines.where((F.col("s") != "") & ~F.startswith("s", F.lit("#")) & F.contains("s", F.lit("\t")))
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+    lines = spark.read.text(path).select(place.alias("at"), F.rtrim("value").alias("s"))
+    lines = lines.where((F.col("s") != "") & ~F.startswith("s", F.lit("#")))
+    # A byte order mark goes off the first line of data of a file only.
+    first = lines.groupBy(F.col("at.file").alias("of")).agg(F.min("at").alias("first"))
+    rows = lines.join(first, F.col("at.file") == F.col("of")).select("at", F.when(F.col("at") == F.col("first"), F.regexp_replace("s", "^\\x{FEFF}", "")).otherwise(F.col("s")).alias("s"))
+    rows = rows.where(F.contains("s", F.lit("\t")))
     part = F.split("s", "\t", 2)
     value = F.split(F.trim(F.regexp_replace(part[1], "\\s+", " ")), " ")[0]
-    rows = rows.select(F.lit(slot(slot_name)).alias("slot"), part[0].alias("key"), value.alias("value"), "n").where("key <> '' and value <> ''")
-    return rows.groupBy("slot", "key").agg(F.max_by("value", "n").alias("value")).withColumn("key_len", F.length("key"))
+    rows = rows.select(F.lit(slot(slot_name)).alias("slot"), part[0].alias("key"), value.alias("value"), "at").where("key <> '' and value <> ''")
+    return rows.groupBy("slot", "key").agg(F.max_by("value", "at").alias("value")).withColumn("key_len", F.length("key"))
 
 
 def parse_words(text: str, source: str = "") -> list[UserWord]:

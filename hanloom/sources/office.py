@@ -19,10 +19,10 @@ from ..errors import DocumentError
 FORMATS = ("docx", "xlsx", "pptx", "odt", "ods", "odp", "epub")
 # Where each format names its fonts (before, name), and the mark that stands for a name meanwhile.
 _FONTS = {
-    "docx": re.compile(r'(w:(?:eastAsia|ascii|hAnsi|cs)=")(.*?)(?=")'),
-    "xlsx": re.compile(r'(val=")(.*?)(?=")'),
-    "pptx": re.compile(r'(typeface=")(.*?)(?=")'),
-    "odt": re.compile(r"""((?:style:font-name(?:-asian|-complex)?|svg:font-family|style:name)=['"])([^'"]+)(?=['"])"""),
+    "docx": re.compile(r'(w:(?:eastAsia|ascii|hAnsi|cs)=")(.*?)(")'),
+    "xlsx": re.compile(r'(val=")(.*?)(")'),
+    "pptx": re.compile(r'(typeface=")(.*?)(")'),
+    "odt": re.compile(r"""((?:style:font-name(?:-asian|-complex)?|svg:font-family|style:name)=['"])([^'"]+)(['"])"""),
     "epub": re.compile(r"""(font-family\s*:\s*)([^;"']+)"""),
 }
 _MARK = "__F_O_N_T_{}__"
@@ -60,7 +60,7 @@ def _convert_part(kind: str, name: str, text: str, convert: Callable[[str], str]
 
         def hide(m: re.Match) -> str:
             names.append(m[2])
-            return m[1] + _MARK.format(len(names) - 1)
+            return m[1] + _MARK.format(len(names) - 1) + (m[3] if m.re.groups > 2 else "")
 
         text = pattern.sub(hide, text)
     text = convert(text)

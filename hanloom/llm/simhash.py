@@ -21,8 +21,8 @@ WORDS, MAX_BITS = 3, 2
 REFERENCES = 16
 #: The 64 one-bit references are taken in this many groups; two fingerprints at MAX_BITS or less agree on all but MAX_BITS groups.
 GROUPS = 4
-#: Beyond this many different fingerprints, a bucket's links are found through the fingerprints between them, not as pairs.
-DENSE = 32
+#: A cell of more fingerprints is cut by further references, in groups of FINE. (Runs of words that more nodes share are dense as well.)
+DENSE, FINE = 32, 4
 #: Texts in the sample that tells common runs of words, how often it has those, and how many runs it tells at most.
 SAMPLE, COMMON, COMMON_MOST = 5_000, 4, 1 << 18
 #: Characters of text for each bucket of hashes; pairs of a key that are verified together.
@@ -96,49 +96,52 @@ def _distances(fp: Column) -> Column:
     return F.array(*[F.bit_count(fp.bitwiseXOR(F.lit(r))).cast("tinyint") for r in (0, *references())])
 
 
-def _buckets(fp: Column, keep: int, groups: int = GROUPS) -> Column:
-    """A key for each choice of ``keep`` groups of the one-bit references.
+def _masks(max_bits: int) -> list[tuple[int, list[int]]]:
+    """For each choice of all but ``max_bits`` groups of the one-bit references, the mask of their bits; and for each choice of all but
+    ``max_bits`` of the rest's smaller groups, the mask of those and the first ones together."""
+    def of(groups: tuple[int, ...], size: int) -> int:
+        return sum(((1 << size) - 1) << (size * g) for g in groups)
 
-    The distance to such a reference less that to zero is 1 or -1 and depends on one bit only, so equal coordinates over a group
-    are equal bits under the group's mask.
-    """
-    size = 64 // groups
-    keys = []
-    for tag, chosen in enumerate(combinations(range(groups), keep)):
-        mask = sum(((1 << size) - 1) << (size * g) for g in chosen)
-        keys.append(F.xxhash64(F.lit(tag), fp.bitwiseAND(F.lit(_signed(mask)))))
-    return F.array(*keys)
+    size, out = 64 // GROUPS, []
+    for chosen in combinations(range(GROUPS), GROUPS - max_bits):
+        mask = of(chosen, size)
+        rest = [g for g in range(64 // FINE) if not mask >> (FINE * g) & 1]
+        out.append((mask, [mask | of(fine, FINE) for fine in combinations(rest, len(rest) - max_bits)]))
+    return out
+
+
+def _cell(fp: Column, tag: int, mask: int) -> Column:
+    return F.xxhash64(F.lit(tag), fp.bitwiseAND(F.lit(_signed(mask))))
 
 
 def near_edges(spark: SparkSession, nodes: DataFrame, ws: Workspace, max_bits: int = MAX_BITS, dense: int = DENSE) -> DataFrame:
-    """Edges (a, b) whose components are those of all pairs of ``nodes`` (node, fp; fp differs) at ``max_bits`` or less.
-
-    Distances of every fingerprint to zero and to REFERENCES references are laid down in a table; those to one-bit references are not, for
-    less the one to zero they are the bits, which are masked instead. Fingerprints within ``max_bits`` agree on all
-    one-bit references of GROUPS - max_bits groups at least, which buckets them. In a bucket of at most ``dense`` fingerprints,
-    pairs whose distances to any reference differ by more than ``max_bits`` are discarded (triangle inequality) and the rest are
-    verified. The members of a fuller bucket are linked, exactly as well, through the fingerprints one bit away from them: two
-    are within two bits if and only if they share one, and none is shared by more than 65, so the work stays linear.
+    """Edges (a, b): all pairs of ``nodes`` (node, fp; fp differs) at ``max_bits`` or less.
+
+    Distances of every fingerprint to zero and to REFERENCES references are laid down in a table. Those to the 64 one-bit references are
+    the one to zero and 1 or -1 by the bit, and so are the fingerprint itself. The references cut the space into cells: fingerprints
+    within ``max_bits`` have equal distances to all one-bit references of GROUPS - max_bits groups at least, and a cell for each such
+    choice. A cell of more than ``dense`` fingerprints is cut by further references: of the rest's groups of FINE, too, all but
+    ``max_bits`` are equal, which leaves cells of 1 << (FINE * max_bits) fingerprints at most, whatever the data. In a cell, pairs whose
+    distances to any reference differ by more than ``max_bits`` are discarded (triangle inequality), and the rest are verified.
     """
     if not 0 < max_bits <= 2:
         raise ValueError("max_bits must be 1 or 2")
     table = ws.save(nodes.select("node", "fp", _distances(F.col("fp")).alias("dist")), "pivot-distances")
-    put = table.select("node", "fp", "dist", F.explode(_buckets(F.col("fp"), GROUPS - max_bits)).alias("bucket"))
-    sizes = ws.save(put.groupBy("bucket").count().where("count > 1"), "bucket-sizes")
-    shared = ws.save(put.join(sizes, "bucket"), "shared-buckets")
-    few = shared.where(F.col("count") <= dense)
-    other = few.select(*[F.col(c).alias(f"{c}_2") for c in ("node", "fp", "dist")], "bucket")
+    masks = _masks(max_bits)
+    coarse = F.array(*[F.struct(F.lit(t).alias("tag"), _cell(F.col("fp"), t, m).alias("cell")) for t, (m, _) in enumerate(masks)])
+    put = table.select("node", "fp", "dist", F.explode(coarse).alias("c")).select("node", "fp", "dist", "c.*")
+    sizes = ws.save(put.groupBy("cell").count().where("count > 1"), "cell-sizes")
+    shared = ws.save(put.join(sizes, "cell"), "shared-cells")
+    fine = F.array()
+    for t, (_, finer) in enumerate(masks):
+        fine = F.when(F.col("tag") == t, F.array(*[_cell(F.col("fp"), 1_000 * (t + 1) + j, m) for j, m in enumerate(finer)])).otherwise(fine.cast("array<bigint>"))
+    cut = shared.where(F.col("count") > dense).select("node", "fp", "dist", F.explode(fine).alias("cell"))
+    again = ws.save(cut.groupBy("cell").count().where("count > 1"), "fine-sizes")
+    cells = ws.save(shared.where(F.col("count") <= dense).select("node", "fp", "dist", "cell").union(cut.join(again, "cell").select("node", "fp", "dist", "cell")), "cells")
+    other = cells.select(*[F.col(c).alias(f"{c}_2") for c in ("node", "fp", "dist")], "cell")
     apart = F.array_max(F.zip_with("dist", "dist_2", lambda x, y: F.abs(x.cast("int") - y.cast("int"))))
-    pairs = few.join(other, "bucket").where(F.col("node_2") < F.col("node")).where(apart <= max_bits).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_2"))) <= max_bits)
-    full = shared.where(F.col("count") > dense).select("node", "fp").distinct()
-    step = F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << i)) for i in range(64)])
-    if max_bits == 1:  # then the one between is an end: members meet at the smaller of two neighbours
-        near = full.select("node", F.explode(F.transform(step, lambda s: F.struct(F.least("fp", F.col("fp").bitwiseXOR(s)).alias("lo"), F.greatest("fp", F.col("fp").bitwiseXOR(s)).alias("hi")))).alias("between"))
-    else:
-        near = full.select("node", F.explode(F.transform(step, lambda s: F.col("fp").bitwiseXOR(s))).alias("between"))
-    met = near.groupBy("between").agg(F.min("node").alias("b"), F.collect_list("node").alias("of")).where(F.size("of") > 1)
-    links = met.select(F.explode("of").alias("a"), "b").where("a <> b")
-    return pairs.select(F.col("node").alias("a"), F.col("node_2").alias("b")).union(links).distinct()
+    pairs = cells.join(other, "cell").where(F.col("node_2") < F.col("node")).where(apart <= max_bits).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_2"))) <= max_bits)
+    return pairs.select(F.col("node").alias("a"), F.col("node_2").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, words: int = WORDS) -> DataFrame:

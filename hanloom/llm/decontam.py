@@ -69,7 +69,7 @@ def _digest(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
-def hits_by_text(docs: DataFrame, benchmark: DataFrame, ws: Workspace, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def hits_by_text(docs: DataFrame, benchmark: DataFrame, ws: Workspace, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(digest, n_hit, items) for every different text of ``docs`` in which an item has a window. See ``contamination``."""
     text = text_or_empty(text_col)
     rows = docs.select(_digest(text).alias("digest"), words_of(text).alias("words"))
@@ -95,9 +95,12 @@ def hits_by_text(docs: DataFrame, benchmark: DataFrame, ws: Workspace, text_col:
         near = near.unionByName(hashed.select("digest", F.explode(all_grams).alias("g")).select("digest", "g.*").join(_maybe_broadcast(brief), ["n", "gram"]).select("digest", "start", "n"))
     candidates = ws.save(near.groupBy("digest").agg(F.collect_set(F.struct("start", "n")).alias("near")), "candidates")
 
-    source = docs.select(_digest(text).alias("digest"), text.alias("text"))
-    # Merged whatever the sizes, so that the plan is the same at any scale.
-    mine = source.join(candidates.hint("merge"), "digest").groupBy("digest").agg(F.first("text").alias("text"), F.first("near").alias("near")).select("digest", words_of(F.col("text")).alias("words"), "near")
+    # One document of each such text brings it. Copies meet as digests only, summed before they are exchanged; texts are dealt by id, and
+    # stream past the few that are wanted. Merged whatever the sizes, so that the plan is the same at any scale.
+    source = docs.select(F.col(f"`{id_col}`").alias("id"), _digest(text).alias("digest"), text.alias("text"))
+    first = source.groupBy("digest").agg(F.min("id").alias("at"))
+    wanted = ws.save(first.join(candidates.hint("merge"), "digest").select(F.col("digest").alias("of"), "at", "near"), "wanted")
+    mine = source.join(wanted.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("at")) & (F.col("digest") == F.col("of"))).select("digest", words_of(F.col("text")).alias("words"), "near")
     seen = F.transform(F.filter("near", lambda c: c["start"] + c["n"] <= F.size("words")), lambda c: F.struct(c["start"].alias("start"), c["n"].alias("n"), _window_key(F.col("words"), c["start"], c["n"]).alias("key")))
     verified = mine.select("digest", F.explode(seen).alias("c")).select("digest", "c.*")
     verified = ws.save(verified.join(_maybe_broadcast(keys), "key"), "hits")
@@ -122,15 +125,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, ws: Workspace, id_col:
     different text. Null texts, and texts without words, have no words and no hits. Items without id hit, but are not listed.
     Repeated rows and items change nothing; other columns are not read.
     """
-    found = hits_by_text(docs, benchmark, ws, text_col, **more)
+    found = hits_by_text(docs, benchmark, ws, id_col, text_col, **more)
     text = text_or_empty(text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), _digest(text).alias("digest"), F.size(words_of(text)).cast("long").alias("n_words"))
     out = rows.join(found, "digest", "left")
     return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, ws: Workspace, text_col: str = "text", **more) -> DataFrame:
-    """The rows of ``docs`` without a hit, all columns."""
+def clean(docs: DataFrame, benchmark: DataFrame, ws: Workspace, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
+    """The rows of ``docs`` without a hit, all columns. Null and empty texts stay, repeated rows stand or go together; without items all stay."""
     name = free_name("digest", docs.columns)
-    found = hits_by_text(docs, benchmark, ws, text_col, **more).select(F.col("digest").alias(name))
+    found = hits_by_text(docs, benchmark, ws, id_col, text_col, **more).select(F.col("digest").alias(name))
     return docs.join(found.hint("merge"), _digest(text_or_empty(text_col)) == F.col(name), "left_anti")

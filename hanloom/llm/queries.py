@@ -22,7 +22,7 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger.scan(docs)
     f = F.col("findings")
     counts = [secrets.count_of(f, k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
-    return ledger.locate(docs).select("row.doc_id", *counts, F.sha2(secrets.spans(f, secrets.BASE), 256).alias("base_sha256"), secrets.spans(f).alias("spans"))
+    return ledger.locate(docs, columns=["doc_id"]).select("row.doc_id", *counts, F.sha2(secrets.spans(f, secrets.BASE), 256).alias("base_sha256"), secrets.spans(f).alias("spans"))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -118,9 +118,9 @@ class BlobLedger:
         placed = F.transform(keep, lambda x: F.struct(x["start"].alias("start"), order[x["version"]].alias("rule"), x["end"].alias("end"), x["kind"].alias("kind"), x["version"].alias("version")))
         return self.rows().select("blob", placed.alias("findings"))
 
-    def locate(self, versions: DataFrame, text_col: str = "text") -> DataFrame:
-        """(row, findings) for every row of ``versions``: ``row`` holds all its columns, whatever their names; findings is an array, empty where
-        nothing is found.
+    def locate(self, versions: DataFrame, text_col: str = "text", columns: Sequence[str] | None = None) -> DataFrame:
+        """(row, findings) for every row of ``versions``: ``row`` holds ``columns``, or all, whatever their names; findings is an array, empty where
+        nothing is found. Columns that aren't needed, texts above all, are better left out: rows are joined by content.
 
         A null text counts as empty. Every row comes out once, repeated rows too. All blobs must be scanned before. Blobs that
         were scanned more than once, under different rule versions, are put together first.
@@ -128,7 +128,7 @@ class BlobLedger:
         found = self.findings().where(F.size("findings") > 0)
         if found.groupBy("blob").count().where("count > 1").limit(1).count():
             found = found.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("findings")))).alias("findings"))
-        rows = versions.select(F.struct(*[F.col(f"`{c}`") for c in versions.columns]).alias("row"), blob_of(text_or_empty(text_col)).alias("at"))
+        rows = versions.select(F.struct(*[F.col(f"`{c}`") for c in columns or versions.columns]).alias("row"), blob_of(text_or_empty(text_col)).alias("at"))
         # Merged whatever the sizes, so that the plan is the same at any scale.
         out = rows.join(found.hint("merge"), rows["at"] == found["blob"], "left")
         return out.select("row", F.coalesce("findings", F.array().cast(f"array<{_FINDING}>")).alias("findings"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import math
 import re
 from collections.abc import Iterator, Sequence
 
@@ -116,8 +117,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _place(key: Column, bounds: Sequence[int]) -> Column:
-    """How many of the bounds, which fall, are over ``key``."""
-    return F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b > key)) if bounds else F.lit(0)
+    """How many of the bounds, which fall, are over ``key``: first by blocks, then in one block, so that a row meets two roots of them."""
+    if not bounds:
+        return F.lit(0)
+    size = math.isqrt(len(bounds) - 1) + 1
+    blocks = [bounds[i : i + size] for i in range(0, len(bounds), size)]
+    row = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
+    over = lambda xs: F.size(F.filter(xs, lambda b: b > key))
+    block = over(row([b[0] for b in blocks])) - 1
+    return F.when(block < 0, 0).otherwise(block * size + over(F.get(F.array(*map(row, blocks)), block)))
 
 
 def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

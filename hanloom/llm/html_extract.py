@@ -15,6 +15,8 @@ from .common import map_arrow, slices
 
 #: Lines a block sums, and the characters from which a block counts as a surge.
 WIDTH, SURGE = 3, 86
+#: How often a page is read again for elements that turn out to hold most of its text.
+PASSES = 8
 #: A run of lines of whose text links hold more than this share is a menu.
 LINKS = 0.5
 
@@ -26,7 +28,8 @@ _MAIN = ("article", "main")
 _VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
 _HINTS = ("ad", "ads", "adv", "advert", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "promo", "promotion", "banner", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "header", "masthead", "footer", "sidebar", "aside", "widget", "cookie", "cookies", "consent", "gdpr", "notice", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "search", "share", "sharing", "social", "related", "recommended", "comment", "comments", "respond", "reply", "replies", "disqus", "pagination", "pager", "toolbar", "skip", "copyright", "complementary", "contentinfo", "alert")
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+# A quotation mark opens a value after an equals sign only, and what it opens ends with the page at the latest; no part is tried twice.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))?+)*+)(?:>|\Z)", re.S)
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for t in _RAW}
 _ATTRIBUTE = re.compile(r"(?:^|[\s\"'])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/\"']|$)", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -74,19 +77,21 @@ def _boilerplate(tag: str, attributes: str, inside: bool) -> str:
 def lines_of(page: str) -> list[tuple[str, int, bool]]:
     """Text, characters of it in links and whether it stands in an article, of each block in page order. Removed parts of the page's frame
     and the ends of articles leave WIDTH empty lines, over which the distribution falls to nothing; other removed elements leave none.
-    An element that only part of a class token makes boilerplate stays if it holds most of the page's text."""
+    An element that only part of a class token makes boilerplate stays if it holds most of the page's text; where such elements lie in each
+    other to more than PASSES depths, all of them stay."""
     kept: set[int] = set()
-    while True:
+    for _ in range(PASSES):
         out, removed = _lines(page, kept)
         total = sum(len(x[0]) for x in out) + sum(removed.values())
         most = {at for at, n in removed.items() if 2 * n > total}
         if not most:
             return out
         kept |= most
+    return _lines(page, None)[0]
 
 
-def _lines(page: str, kept: set[int]) -> tuple[list[tuple[str, int, bool]], dict[int, int]]:
-    """The lines, and the text of each element that a hint removed, by its place; elements at the places ``kept`` stay."""
+def _lines(page: str, kept: set[int] | None) -> tuple[list[tuple[str, int, bool]], dict[int, int]]:
+    """The lines, and the text of each element that a hint removed, by its place; elements at the places ``kept`` stay, None: all."""
     removed: dict[int, int] = {}
     doubt = -1
     out: list[tuple[str, int, bool]] = []
@@ -133,7 +138,7 @@ def _lines(page: str, kept: set[int]) -> tuple[list[tuple[str, int, bool]], dict
                 continue
             else:
                 continue
-        if not close and tag not in _VOID and not attributes.rstrip().endswith("/") and stop not in kept and (why := _boilerplate(tag, attributes, inside > 0)):
+        if not close and tag not in _VOID and not attributes.rstrip().endswith("/") and (kept is None or stop not in kept) and (why := _boilerplate(tag, attributes, inside > 0)) and (kept is not None or why == "sure"):
             gone, depth = tag, 1
             doubt = stop if why == "hint" else -1
             if doubt >= 0:

@@ -17,10 +17,10 @@ from .common import Workspace, map_arrow, spread, squeeze, worker_state
 from .hashing import mix
 
 #: Characters of text for each bucket of the tables, and bytes of text of a slice.
-BUCKET, SLICE = 8 << 20, 16 << 20
+BUCKET, SLICE = 8 << 20, 10 << 20
 DISCOUNT = 0.75
-#: A context's pairs are dealt to so many places, by the second word, so that those of a common one don't meet in one.
-SALTS = 64
+#: The pairs of a context that has more than a bucket's share of all words, or this share, are dealt to several buckets by the second word.
+COMMON = 1e-5
 _START = np.uint64(2)
 _KEPT = 1 << 17
 _WORDS = re.compile(r"[^\W_]+")
@@ -57,7 +57,7 @@ def _runs(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class _Slice:
     """The words and pairs of a slice of documents, each in the order in which its buckets are asked and answer."""
 
-    def __init__(self, words: bytes, place: bytes, n: bytes, buckets: int):
+    def __init__(self, words: bytes, place: bytes, n: bytes, buckets: int, salts: tuple[np.ndarray, np.ndarray]):
         self.words = np.append(np.frombuffer(words, "<u8"), _START)  # the last is the start of a text
         self.n = np.frombuffer(n, "<i8")
         self.place = spread(place)
@@ -68,7 +68,10 @@ class _Slice:
         code, self.pair = np.unique(before * size + self.place, return_inverse=True)
         self.before, self.after = code // size, code % size
         self.word_bucket = _bucket(self.words, buckets)
-        salt = mix(self.words, 7)[self.after] % np.uint64(SALTS)
+        known, many = salts
+        at = np.minimum(np.searchsorted(known, self.words), max(0, len(known) - 1))
+        parts = np.where(known[at] == self.words, many[at], np.uint64(1)) if len(known) else np.ones(size, np.uint64)
+        salt = mix(self.words, 7)[self.after] % parts[self.before]
         self.pair_bucket = _bucket(mix(self.words[self.before], salt), buckets)
         self.word_order, self.pair_order = (np.argsort(x, kind="stable") for x in (self.word_bucket, self.pair_bucket))
 
@@ -149,6 +152,23 @@ def _follow(key: tuple, rows: pa.Table) -> pa.Table:
     return _table(out, _GOT)
 
 
+def _salts(packs: DataFrame, share: float, buckets: int) -> object:
+    """Broadcast: the sorted hashes of the words that make up ``share`` of all or more, about, and the number of buckets of each as a context. There
+    are 1 / ``share`` of them at most, and they decide nothing but where pairs are counted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for place, n, common, many in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                words = np.append(np.frombuffer(common, "<u8"), _START)
+                counts = np.append(spread(many), int((np.frombuffer(n, "<i8") > 0).sum()))
+                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts), pa.array([0] * len(counts[1:]) + [len(spread(place))])], ["word", "n", "of"])
+
+    found = packs.select("place", "n", "common", "common_n").transform(map_arrow, run, "word long, n long, of long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("of").alias("of"))
+    total = found.agg(F.sum("of")).first()[0] or 1
+    rows = sorted((r["word"] & 0xFFFFFFFFFFFFFFFF, -(-r["n"] * buckets // total)) for r in found.where(F.col("n") >= share * total).collect())
+    return packs.sparkSession.sparkContext.broadcast((np.array([r[0] for r in rows], np.uint64), np.array([max(1, r[1]) for r in rows], np.uint64)))
+
+
 def score(docs: DataFrame, target_ids: DataFrame, ws: Workspace, id_col: str = "doc_id", text_col: str = "text", discount: float = DISCOUNT, counted_col: str | None = None) -> DataFrame:
     """(row, n_tokens, target_loss, background_loss, difference), a row per row of ``docs``, ``row`` with all columns but the text.
 
@@ -166,6 +186,7 @@ def score(docs: DataFrame, target_ids: DataFrame, ws: Workspace, id_col: str = "
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     buckets = int(max(1, (docs.agg(F.sum(F.length(text))).first()[0] or 0) // BUCKET))
     others = [c for c in docs.columns if c != text_col]
+    share = max(1 / buckets, COMMON)
     counted = F.coalesce(F.col(f"`{counted_col}`"), F.lit(False)) if counted_col else F.lit(True)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), text.alias("text"), counted.alias("counted"))
 
@@ -177,8 +198,9 @@ def score(docs: DataFrame, target_ids: DataFrame, ws: Workspace, id_col: str = "
         number = np.empty(len(keys), np.int64)
         number[order] = np.arange(len(keys))
         row = pa.concat_arrays(table["row"].chunks)
-        cells = [[uuid.uuid4().bytes], None, [keys[order].tobytes()], [squeeze(number[place])], [n.tobytes()], [table["counted"].to_numpy().astype(np.uint8).tobytes()]]
-        return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), row) if c is None else pa.array(c, pa.binary()) for c in cells], ["slice", "rows", "words", "place", "n", "counted"])
+        common = order[: int((many >= max(2, share / 2 * len(words))).sum())]
+        cells = [[uuid.uuid4().bytes], None, [keys[order].tobytes()], [squeeze(number[place])], [n.tobytes()], [table["counted"].to_numpy().astype(np.uint8).tobytes()], [keys[common].tobytes()], [squeeze(many[common])]]
+        return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), row) if c is None else pa.array(c, pa.binary()) for c in cells], names_packed)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -191,9 +213,10 @@ def score(docs: DataFrame, target_ids: DataFrame, ws: Workspace, id_col: str = "
         if held:
             yield packed(held)
 
-    row_type = rows.schema["row"].dataType
-    schema = T.StructType([T.StructField("slice", T.BinaryType()), T.StructField("rows", T.ArrayType(row_type)), *(T.StructField(c, T.BinaryType()) for c in ("words", "place", "n", "counted"))])
+    names_packed = ["slice", "rows", "words", "place", "n", "counted", "common", "common_n"]
+    schema = T.StructType([T.StructField(c, T.ArrayType(rows.schema["row"].dataType) if c == "rows" else T.BinaryType()) for c in names_packed])
     packs = ws.save(rows.transform(map_arrow, pack, schema), "slices")
+    salts = _salts(packs, share, buckets)
 
     target = ws.save(target_ids.select(F.col(target_ids.columns[0]).alias("target")).where("target is not null").distinct(), "target")
     places = packs.select("slice", F.posexplode(F.transform("rows", lambda r: r[id_col])).alias("at", "id"))
@@ -203,7 +226,7 @@ def score(docs: DataFrame, target_ids: DataFrame, ws: Workspace, id_col: str = "
         if not pack.num_rows:
             return _table([], _ASKED)
         (slice_,), (words,), (place,), (n,), (counted,) = (pack[c].to_pylist() for c in ("slice", "words", "place", "n", "counted"))
-        own = _Slice(words, place, n, buckets)
+        own = _Slice(words, place, n, buckets, salts.value)
         every = np.frombuffer(counted, np.uint8).astype(float)
         wanted = np.zeros(len(every))
         wanted[np.array([i for at in flag["at"].to_pylist() for i in at], np.int64)] = 1
@@ -236,7 +259,7 @@ def score(docs: DataFrame, target_ids: DataFrame, ws: Workspace, id_col: str = "
         if not pack.num_rows:
             return pa.table([pa.array([], t) for t in (pack.schema.field("rows").type.value_type, pa.int64(), *[pa.float64()] * 3)], names)
         (words,), (place,), (n,) = (pack[c].to_pylist() for c in ("words", "place", "n"))
-        own = _Slice(words, place, n, buckets)
+        own = _Slice(words, place, n, buckets, salts.value)
         kinds, blobs = got["kind"].to_numpy(), got["counts"].to_pylist()
         order = np.argsort(got["bucket"].to_numpy(), kind="stable")
         of = []

@@ -46,8 +46,10 @@ def tfidf(tokens: DataFrame, k: int, idf: DataFrame | None = None) -> DataFrame:
     median of those for terms it lacks. Counts are summed before they are exchanged."""
     n = tokens.groupBy("id", "term").agg(F.count("*").alias("n"))
     if idf is None:
-        total = n.agg(F.count_distinct("id").alias("docs"))
-        idf = n.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total)).select("term", F.log(F.col("docs") / F.col("df")).alias("idf"))  # one row
+        # Both read the counts, too, so that the three uses of ``n`` are one and the same exchange, which runs once.
+        total = n.groupBy("id").agg(F.sum("n").alias("size")).where("size > 0").agg(F.count("*").alias("docs"))
+        idf = n.groupBy("term").agg(F.count("*").alias("df"), F.max("n").alias("most")).where("most > 0")
+        idf = idf.crossJoin(F.broadcast(total)).select("term", F.log(F.col("docs") / F.col("df")).alias("idf"))  # one row
         weighed = n.join(idf, "term")
     else:
         middle = idf.agg(F.median("idf").alias("middle"))

@@ -173,8 +173,8 @@ def dictionary_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _plain_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.posexplode(tx.split_chunks(F.lower(tx.strip_newlines(F.col("text"))), False)).alias("pos", "term"))
-    return rows.where((F.length("term") >= kw.SHORTEST) & ~F.col("term").rlike(tx.DELIMITER))
+    parts = F.split(F.lower(tx.strip_newlines(F.col("text"))), tx.DELIMITER)
+    return _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.posexplode(parts).alias("pos", "term")).where(F.length("term") >= kw.SHORTEST)
 
 
 def tfidf_top10(spark: SparkSession, sf_dir: str) -> DataFrame:

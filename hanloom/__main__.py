@@ -13,6 +13,7 @@ from .errors import HanloomError
 from .functions import text as tx
 from .operators.converter import Converter
 from .operators.engine import Engine
+from .operators.segment import HmmModel
 from .plans import configs
 from .sources import files, office
 from .sources import lexicon as lx
@@ -60,9 +61,9 @@ def run_convert(args: argparse.Namespace) -> None:
 def run_segment(args: argparse.Namespace) -> None:
     files.check_paths(args.input, args.output)
     spark = _session()
-    engine = Engine(spark, _lexicon(args, spark))
+    engine = Engine(spark, _lexicon(args, spark), HmmModel.read(args.hmm_model) if args.hmm_model else None)
     text = F.col("text") if args.input else F.rtrim(F.lit("\n"), tx.normalise_newlines(F.col("text")))
-    out = tx.format_tags(engine.tag(text), args.delim, args.separator) if args.mode == "tag" else engine.cut_and_join(text, args.delim, mode=args.mode)
+    out = tx.format_tags(engine.tag(text, args.hmm), args.delim, args.separator) if args.mode == "tag" else engine.cut_and_join(text, args.delim, args.hmm, args.mode)
     _write(_document(args, spark).select(out.alias("t")).first()["t"].encode(), args.output)
 
 
@@ -112,6 +113,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-m", "--mode", choices=("cut", "search", "full", "all", "tag"), default="cut")
     p.add_argument("-d", "--delim", default="/")
     p.add_argument("-s", "--separator", default="/")
+    p.add_argument("--hmm", action=argparse.BooleanOptionalAction, default=True, help="cut unknown words by the model, if there is one")
+    p.add_argument("--hmm-model", help="JSON file of a hidden Markov model: start, move, emit")
     p.set_defaults(run=run_segment)
     p = sub.add_parser("office", parents=[common])
     p.add_argument("-i", "--input", required=True)

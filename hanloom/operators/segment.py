@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections.abc import Mapping
 
+from ..errors import LexiconReadError
 from .matcher import chunks
 
 #: Runs that are kept whole where no lexicon word covers them.
@@ -38,6 +40,16 @@ class HmmModel:
     def __init__(self, start: Mapping[str, float], move: Mapping[str, Mapping[str, float]], emit: Mapping[str, Mapping[str, float]], unseen: float = -20.0):
         self.start, self.move, self.emit, self.unseen = start, move, emit, unseen
 
+    @classmethod
+    def read(cls, path: str) -> HmmModel:
+        """A JSON file of ``start`` (state to log probability), ``move`` (state to state), ``emit`` (state to character) and perhaps ``unseen``."""
+        try:
+            with open(path, encoding="utf-8") as f:
+                raw = json.load(f)
+            return cls(raw["start"], raw["move"], raw["emit"], float(raw.get("unseen", -20.0)))
+        except (OSError, ValueError, KeyError, TypeError, AttributeError) as e:
+            raise LexiconReadError(f"{path}: not a model: {e}") from e
+
     def cut(self, run: str) -> list[str]:
         """Viterbi; a state follows only where ``move`` has it."""
         score = {s: self.start.get(s, -1e9) + self.emit.get(s, {}).get(run[0], self.unseen) for s in "BMES"}

@@ -1,4 +1,5 @@
 import io
+import json
 import zipfile
 
 import pytest
@@ -15,6 +16,13 @@ def test_convert_and_segment(spark, tmp_path, capsysbinary):
     (tmp_path / "c.txt").write_text("好茶葉", encoding="utf-8")
     assert main(["segment", "-i", str(tmp_path / "c.txt"), "-U", str(tmp_path / "w.txt"), "-m", "tag", "-d", " "]) == 0
     assert "好/x 茶葉/n" in capsysbinary.readouterr().out.decode()
+    model = {"start": {"B": -0.1, "S": -3}, "move": {"B": {"E": -0.1, "M": -3}, "M": {"M": -1, "E": -1}, "E": {"B": -0.5, "S": -0.5}, "S": {"B": -0.5, "S": -0.5}}, "emit": {"B": {"甲": -1}, "E": {"乙": -1}, "S": {"丙": -1}, "M": {}}}
+    (tmp_path / "hmm.json").write_text(json.dumps(model), encoding="utf-8")
+    (tmp_path / "u.txt").write_text("甲乙丙", encoding="utf-8")
+    for flag, want in (("--hmm", "甲乙/丙"), ("--no-hmm", "甲/乙/丙")):
+        assert main(["segment", "-i", str(tmp_path / "u.txt"), "--hmm-model", str(tmp_path / "hmm.json"), flag]) == 0
+        assert want in capsysbinary.readouterr().out.decode()
+    assert main(["segment", "-i", str(tmp_path / "u.txt"), "--hmm-model", str(tmp_path / "u.txt")]) == 2
     assert main(["convert", "-i", str(tmp_path / "none.txt"), "-c", "t2tw"]) == 2
     assert main(["convert", "-i", str(tmp_path / "a.txt"), "-c", "t2mars"]) == 2
 

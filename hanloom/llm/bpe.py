@@ -408,6 +408,7 @@ def compile_lexicon(docs: DataFrame, model_path: str, ws: Workspace, text_col: s
     total = counts.agg(F.sum("n")).first()[0] or 0
     model = WordBpe(source)
     frequent = [r[0].encode("utf-8", "surrogatepass") for r in counts.where((F.col("n") >= share * total) & (F.length("word") <= _LONGEST)).select("word").toLocalIterator()]
+    ws.remove("word-counts")
     block = Lexicon.compile({w: model.merge(w) for w in frequent if w})
     sc = docs.sparkSession.sparkContext
     path = f"{shared_dir(docs.sparkSession)}/hanloom-lexicon-{hashlib.sha256(block).hexdigest()[:32]}.bin"

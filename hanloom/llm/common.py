@@ -8,6 +8,8 @@ import tempfile
 import types
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +37,28 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Workspace:
-    """Tables written to the shared folder. They cut lineage: what an executor loses is read again, not computed again."""
+    """Tables written to the shared folder. They cut lineage: what an executor loses is read again, not computed again. Operators remove what
+    they alone have read; what a result still reads stays until ``remove``, or the end of ``temporary``."""
+
+    #: For each ``temporary`` that is open, the workspaces made since.
+    _open: ClassVar[list[list[Workspace]]] = []
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/hanloom-{name}-{uuid.uuid4().hex}"
+        for made in self._open:
+            made.append(self)
+
+    @classmethod
+    @contextmanager
+    def temporary(cls) -> Iterator[None]:
+        """Workspaces made inside are removed at the end, when what was computed from them has been written elsewhere."""
+        cls._open.append([])
+        try:
+            yield
+        finally:
+            for made in cls._open.pop():
+                made.remove()
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
@@ -48,7 +67,12 @@ class Workspace:
         df.write.mode("overwrite").parquet(self.path(table))
         return self.spark.read.schema(df.schema).parquet(self.path(table))
 
-    def remove(self, table: str = "") -> None:
+    def remove(self, *tables: str) -> None:
+        """The named tables, or all."""
+        for table in tables or ("",):
+            self._remove(table)
+
+    def _remove(self, table: str) -> None:
         where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(table) if table else self.root)
         where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 

@@ -112,7 +112,9 @@ def hits_by_text(docs: DataFrame, benchmark: DataFrame, ws: Workspace, id_col: s
     classes = verified.select("digest", "key").distinct().join(_maybe_broadcast(item_rows), "key").select("digest", "of").distinct()
     ids = items.where("item is not null").select("of", "item").distinct()
     listed = classes.join(_maybe_broadcast(ids), "of").groupBy("digest").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    return ws.save(hits.join(listed, "digest", "left").select("digest", "n_hit", F.coalesce("items", F.array().cast("array<string>")).alias("items")), "result")
+    out = ws.save(hits.join(listed, "digest", "left").select("digest", "n_hit", F.coalesce("items", F.array().cast("array<string>")).alias("items")), "result")
+    ws.remove("items", "windows", "window-keys", "item-grams", "short-grams", "candidates", "wanted", "hits")
+    return out
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, ws: Workspace, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:

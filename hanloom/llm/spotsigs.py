@@ -113,6 +113,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edges = pairs.join(left, "a").join(right, "b").select("a", "b", "f_a", "f_b").transform(map_arrow, verify, "a long, b long")
     found = connected_components(spark, edges, ws)
     groups = ws.save(nodes.join(found, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("component_id")), "groups")
+    ws.remove("nodes", "signatures", "signature-counts", "rare-signatures")
     return prints.join(groups, "fingerprint", "left").select("doc_id", "component_id")
 
 

@@ -166,3 +166,20 @@ def test_similar(spark, dense, monkeypatch):
     kept = {r.doc_id for r in simhash.one_of_each(df, words=5, like=0.8).collect()}
     assert kept == {None, *want.values()}
     assert simhash.similar(df.limit(0)).count() == 0
+
+
+def test_compare_edited_with_clashing_columns_and_long_texts(spark):
+    long = "the cat sat on a mat " * 60_000
+    rows = [(2, long, "x", 1), (1, long, None, 2), (1, long, None, 2), (None, None, "y", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, fingerprint string, place int")
+    got = spotsigs.compare_edited(df).collect()
+    assert sorted(r.n_chars for r in got) == [0, len(long), len(long), len(long)] and len({r.fingerprint for r in got if r.n_chars}) == 1
+    assert {r.near_next for r in got if r.doc_id == 2} == {1.0} and spotsigs.compare_edited(df.limit(0)).count() == 0
+
+
+def test_places_among_many_bounds(spark):
+    rng = random.Random(7)
+    bounds = sorted({rng.randrange(-500, 500) for _ in range(230)}, reverse=True)
+    got = spark.range(-510, 510).select("id", spotsigs._place(spotsigs.F.col("id"), bounds).alias("p")).collect()
+    assert all(r.p == sum(b > r.id for b in bounds) for r in got)
+    assert spark.range(3).select(spotsigs._place(spotsigs.F.col("id"), []).alias("p")).distinct().collect()[0].p == 0

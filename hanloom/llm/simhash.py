@@ -23,10 +23,12 @@ REFERENCES = 16
 GROUPS = 4
 #: A cell of more fingerprints is cut by further references, in groups of FINE. (Runs of words that more nodes share are dense as well.)
 DENSE, FINE = 32, 4
-#: Texts in the sample that tells common runs of words, how often it has those, and how many runs it tells at most.
-SAMPLE, COMMON, COMMON_MOST = 5_000, 4, 1 << 18
+#: One of so many texts tells common runs of words, if at least so many of those have them; the most common ones, up to so many.
+SAMPLE, COMMON, COMMON_MOST = 8, 4, 1 << 20
 #: Characters of text for each bucket of hashes; pairs of a key that are verified together.
 BUCKET, GROUP = 8 << 20, 64
+#: Classes of size from a size to the least one that can be as alike.
+CLASSES = 4
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -157,6 +159,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = ws.save(prints.groupBy("fp").agg(F.min("doc_id").alias("node")).where("node is not null"), "nodes")
     found = connected_components(spark, near_edges(spark, nodes, ws, max_bits), ws)
     groups = ws.save(nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")), "groups")
+    ws.remove("nodes", "pivot-distances", "cell-sizes", "shared-cells", "fine-sizes", "cells")
     return prints.join(groups, "fp", "left").select("doc_id", "fp", "component_id")
 
 
@@ -182,26 +185,27 @@ def _among(keys: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def _common(texts: DataFrame, words: int) -> np.ndarray:
-    """Sorted hashes of the runs that a sample of about SAMPLE texts has most often. They only decide an order, so the sample has no part in
-    results."""
-    every = max(1, texts.count() // SAMPLE)
+    """Sorted hashes of the runs that one of SAMPLE texts has most often. They only decide an order, so the sample has no part in results."""
+    every = SAMPLE if texts.count() > 1_000 * SAMPLE else 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*shingle_sets(b.column(0).to_pylist(), words), np.zeros(0, np.uint64)]).view(np.int64))], ["h"])
+            h, n = np.unique(np.concatenate([*shingle_sets(b.column(0).to_pylist(), words), np.zeros(0, np.uint64)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
     some = texts.where(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(every)) == 0)
-    counts = some.select("text").transform(map_arrow, run, "h long").groupBy("h").count().where(F.col("count") >= COMMON)
-    rows = counts.orderBy(F.desc("count"), "h").limit(COMMON_MOST).collect()
+    counts = some.select("text").transform(map_arrow, run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
+    rows = counts.orderBy(F.desc("n"), "h").limit(COMMON_MOST).collect()
     return np.sort(np.array([r["h"] for r in rows], np.int64).view(np.uint64))
 
 
-_HEADS = "slice long, bucket int, ids array<long>, of binary, digests binary, n binary, h binary, node binary"
+_HEADS = "slice long, bucket int, ids array<long>, of binary, digests binary, n binary, h binary, node binary, pos binary"
 
 
 def _heads(texts: DataFrame, words: int, like: float, buckets: int, common: object) -> DataFrame:
     """Rows of slices of ``texts`` (doc_id, text). One a slice holds its ids, the number of each one's set among the slice's different sets, and the
-    digests and sizes of those; others, by bucket, hold the first hashes of the sets, n - ceil(like * n) + 1 of n, common ones last."""
+    digests and sizes of those; others, by bucket, hold the first hashes of the sets, n - ceil(like * n) + 1 of n, common ones last, with their
+    places."""
     names = [f.split()[0] for f in _HEADS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,27 +221,28 @@ def _heads(texts: DataFrame, words: int, like: float, buckets: int, common: obje
                     heads.append(np.concatenate([h[~late], h[late]])[: len(h) - int(np.ceil(like * len(h) - 1e-9)) + 1])
                 of.append(known[d])
             slice_ = uuid.uuid4().int >> 65
-            rows = [(slice_, None, b.column(0).to_pylist(), np.array(of, "<i4").tobytes(), b"".join(known), np.array(sizes, "<i4").tobytes(), None, None)]
+            rows = [(slice_, None, b.column(0).to_pylist(), np.array(of, "<i4").tobytes(), b"".join(known), np.array(sizes, "<i4").tobytes(), None, None, None)]
+            pos = np.concatenate([*map(np.arange, map(len, heads)), np.zeros(0, np.int64)])
             h, node = np.concatenate([*heads, np.zeros(0, np.uint64)]), np.repeat(np.arange(len(heads), dtype="<i4"), list(map(len, heads)))
             to = (((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
             order = np.argsort(to, kind="stable")
             cuts = np.flatnonzero(np.diff(to[order])) + 1
             for at in np.split(order, cuts) if len(order) else []:
-                rows.append((slice_, int(to[at[0]]), None, None, None, None, h[at].tobytes(), squeeze(node[at])))
-            kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), *[pa.binary()] * 5)
+                rows.append((slice_, int(to[at[0]]), None, None, None, None, h[at].tobytes(), squeeze(node[at]), squeeze(pos[at])))
+            kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), *[pa.binary()] * 6)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     return texts.transform(map_arrow, run, _HEADS)
 
 
 def _shared(key: tuple, rows: pa.Table) -> pa.Table:
-    """(h, slice, node) of the hashes of a bucket that stand more than once."""
+    """(h, slice, node, pos) of the hashes of a bucket that stand more than once."""
     h = [np.frombuffer(x, np.int64) for x in rows["h"].to_pylist()]
     slice_ = np.repeat(rows["slice"].to_numpy(), list(map(len, h)))
-    h, node = np.concatenate(h), np.concatenate([spread(x) for x in rows["node"].to_pylist()])
+    h, node, pos = np.concatenate(h), *(np.concatenate([spread(x) for x in rows[c].to_pylist()]) for c in ("node", "pos"))
     _, place, many = np.unique(h, return_inverse=True, return_counts=True)
     keep = many[place] > 1
-    return pa.table([h[keep], slice_[keep], node[keep].astype(np.int32)], ["h", "slice", "node"])
+    return pa.table([h[keep], slice_[keep], node[keep].astype(np.int32), pos[keep].astype(np.int32)], ["h", "slice", "node", "pos"])
 
 
 def _prints(heads: DataFrame) -> DataFrame:
@@ -256,11 +261,20 @@ def _alike_in_size(like: float) -> Column:
     return F.least("n", "n_2") >= F.lit(like) * F.greatest("n", "n_2") - 1e-9
 
 
+def _both(n: Column, n_2: Column, like: float) -> Column:
+    """How many hashes two sets as alike share at least."""
+    return F.ceil((n + n_2) * F.lit(like / (1 + like)) - 1e-9)
+
+
 def _enough(shared: Column, like: float) -> Column:
-    """If texts that share so many of their first hashes can be as alike. As alike, they share at least like / (1 + like) of n + n_2 hashes, of
-    which all but ceil(like * n) - 1 are among the first of the one whose first hashes end earlier, and then among the other's."""
-    both = F.ceil((F.col("n") + F.col("n_2")) * F.lit(like / (1 + like)) - 1e-9)
-    return shared >= both + 1 - F.ceil(F.greatest("n", "n_2") * F.lit(like) - 1e-9)
+    """If texts that share so many of their first hashes can be as alike: of those they share all but ceil(like * n) - 1 are among the first of
+    the one whose first hashes end earlier, and then among the other's."""
+    return shared >= _both(F.col("n"), F.col("n_2"), like) + 1 - F.ceil(F.greatest("n", "n_2") * F.lit(like) - 1e-9)
+
+
+def _early(like: float) -> Column:
+    """If a hash at these places can be the first that the two share: enough must be left behind it in both."""
+    return F.least(F.col("n") - F.col("pos"), F.col("n_2") - F.col("pos_2")) >= _both(F.col("n"), F.col("n_2"), like)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, ws: Workspace, words: int, like: float, name: str) -> DataFrame:
@@ -296,8 +310,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, ws: Workspac
     # Merged whatever the sizes, so that the plan is the same at any scale.
     met = sent.join(sets.hint("merge"), F.col("of") == F.col("key")).select("first", "part", "of", "hashes")
     out = ws.save(met.groupBy("first", "part").applyInArrow(compare, "key long, key_2 long"), f"{name}-links")
-    for old in ("sets", "sent", "groups", "wanted"):
-        ws.remove(f"{name}-{old}")
+    ws.remove(*(f"{name}-{old}" for old in ("sets", "sent", "groups", "wanted")))
     return out
 
 
@@ -309,12 +322,13 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     """(doc_id, component_id): a row per row of ``docs``; the component is the smallest doc_id reachable over links of texts whose sets of
     runs of ``words`` words have a Jaccard likeness of ``like`` or more.
 
-    Exact: under one order of all runs, the first n - ceil(like * n) + 1 of two sets as alike share one, and as many more as their sizes
-    tell (``_enough``). Common runs come last in the order. Equal sets are one node. Runs that up to ``dense`` nodes have among their
-    first give all their pairs, whose shared runs are counted; of the pairs with enough, whole sets are compared. Nodes of a run that
-    more have are compared with one or two of theirs, of like size; where that leaves more than one component, nodes outside the
-    run's largest are compared with the others. So a large group of near copies is linked by as many pairs as it has nodes. A radius
-    of fingerprints can't do this: texts of likeness 0.8 differ by about ten bits, give or take some.
+    Exact: under one order of all runs, the first n - ceil(like * n) + 1 of two sets as alike share one, early enough in both (``_early``), and
+    as many more as their sizes tell (``_enough``). Common runs come last in the order. Equal sets are one node. Runs that up to
+    ``dense`` nodes have among their first give all their pairs, whose shared runs are counted; of the pairs with enough, whole sets are
+    compared. Nodes of other runs are parted by sizes and places first. Of a part that is still dense, each node is compared with one in
+    its middle; where that leaves more than one component, nodes outside the part's largest are compared with the others. So a large
+    group of near copies is linked by about as many pairs as it has nodes. A radius of fingerprints can't do this: texts of likeness
+    0.8 differ by about ten bits, give or take some.
     Null texts count as empty and link to each other only; a null doc_id takes the component of its text, null if no other row gives
     one. Rows that repeat a doc_id are linked. An empty table gives an empty result; other columns are not read.
     """
@@ -325,34 +339,46 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     buckets = int(max(1, (texts.agg(F.sum(F.length("text"))).first()[0] or 0) // BUCKET))
     heads = ws.save(_heads(texts, words, like, buckets, common), "heads")
     prints = ws.save(_prints(heads), "prints")
-    met = ws.save(heads.where("bucket is not null").select("bucket", "slice", "h", "node").groupBy("bucket").applyInArrow(_shared, "h long, slice long, node int"), "met")
+    met = ws.save(heads.where("bucket is not null").select("bucket", "slice", "h", "node", "pos").groupBy("bucket").applyInArrow(_shared, "h long, slice long, node int, pos int"), "met")
     ws.remove("heads")
     key = F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long")
     nodes = ws.save(prints.groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n")).where("doc is not null").withColumn("key", key), "nodes")
     numbers = ws.save(prints.select("slice", "node", "digest").distinct().join(nodes, "digest").select("slice", "node", "key", "n"), "numbers")
-    rows = ws.save(met.join(numbers.hint("merge"), ["slice", "node"]).select("h", "key", "n").distinct(), "rows")
+    rows = ws.save(met.join(numbers.hint("merge"), ["slice", "node"]).select("h", "key", "n", "pos").distinct(), "rows")
     sizes = ws.save(rows.groupBy("h").count().where("count > 1"), "sizes")
     rows = ws.save(rows.join(sizes.hint("merge"), "h"), "members")
-    for old in ("met", "numbers", "rows", "sizes"):
-        ws.remove(old)
-
-    few, many = rows.where(F.col("count") <= dense).select("h", "key", "n"), rows.where(F.col("count") > dense).select("h", "key", "n")
-    other = few.select("h", F.col("key").alias("key_2"), F.col("n").alias("n_2"))
-    counted = few.join(other.hint("merge"), "h").where((F.col("key") < F.col("key_2")) & _alike_in_size(like)).groupBy("key", "key_2", "n", "n_2").agg(F.count("*").alias("shared"))
-    # Sizes of a class are alike enough; a node meets one of its class and one of the class below.
-    many = ws.save(many.withColumn("class", F.floor(F.log("n") / -float(np.log(like)))), "dense")
-    firsts = ws.save(many.groupBy("h", "class").agg(F.min(F.struct("key", "n")).alias("first")), "dense-firsts")
-    near = many.withColumn("meets", F.explode(F.array(F.col("class"), F.col("class") - 1))).join(firsts.select("h", F.col("class").alias("meets"), "first").hint("merge"), ["h", "meets"])
-    a, b = F.struct("key", "n"), F.struct(F.col("first.key").alias("key"), F.col("first.n").alias("n"))
-    stars = near.select("h", F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).select("h", "a.key", F.col("b.key").alias("key_2"), "a.n", F.col("b.n").alias("n_2")).where((F.col("key") < F.col("key_2")) & _alike_in_size(like)).distinct()
-    counted = counted.union(stars.groupBy("key", "key_2", "n", "n_2").agg(F.count("*").alias("shared"))).groupBy("key", "key_2", "n", "n_2").agg(F.sum("shared").alias("shared"))
-    counted = ws.save(counted, "counted")
-    # Shared dense runs are counted for some pairs only, so all that both have may be shared.
+    ws.remove("met", "numbers", "rows", "sizes")
+
+    few, many = rows.where(F.col("count") <= dense).drop("count"), ws.save(rows.where(F.col("count") > dense).drop("count"), "dense")
+    twin = [F.col(c).alias(f"{c}_2") for c in ("key", "n", "pos")]
+    met = few.join(few.select("h", *twin).hint("merge"), "h").where((F.col("key") < F.col("key_2")) & _alike_in_size(like))
+    counted = met.groupBy("key", "key_2", "n", "n_2").agg(F.count("*").alias("shared"), F.bool_or(_early(like)).alias("early")).where("early")
+    # Dense runs that they share are not counted, so all that both have may be.
     more = ws.save(many.groupBy("key").agg(F.count("*").alias("more")), "dense-counts")
     more_2 = more.select(F.col("key").alias("key_2"), F.col("more").alias("more_2"))
     bound = F.col("shared") + F.least(F.coalesce("more", F.lit(0)), F.coalesce("more_2", F.lit(0)))
-    pairs = ws.save(counted.join(more.hint("merge"), "key", "left").join(more_2.hint("merge"), "key_2", "left").where(_enough(bound, like)).select("key", "key_2", "n", "n_2"), "pairs")
-    links = _verified(pairs.select("key", "key_2"), texts, nodes, ws, words, like, "first")
+    pairs = counted.join(more.hint("merge"), "key", "left").join(more_2.hint("merge"), "key_2", "left").where(_enough(bound, like)).select("key", "key_2")
+
+    # A dense run's nodes are parted by classes of size, theirs and that of the other node; a node is in a part only if the run stands early
+    # enough in it for the least sizes of the other class. Parts that are still dense meet in their middle: the node with the most dense runs.
+    step = -float(np.log(like)) / CLASSES
+    level = F.floor(F.log("n") / step + 1e-9)
+    least = F.greatest(F.ceil(F.exp(F.col("other") * F.lit(step)) - 1e-6), F.ceil(F.lit(like) * F.col("n") - 1e-9))
+    parted = many.withColumn("class", level).withColumn("other", F.explode(F.transform(F.sequence(F.lit(-CLASSES - 1), F.lit(CLASSES + 1)), lambda d: F.col("class") + d)))
+    parted = parted.where((F.col("n") - F.col("pos") >= _both(F.col("n"), least, like)))
+    parted = parted.select("h", F.least("class", "other").alias("low"), F.greatest("class", "other").alias("high"), "class", "key", "n", "pos")
+    parts = parted.groupBy("h", "low", "high").agg(F.count("*").alias("count"), (F.min("class") < F.max("class")).alias("two"))
+    parts = ws.save(parts.where((F.col("count") > 1) & (F.col("two") | (F.col("low") == F.col("high")))).drop("two"), "part-sizes")
+    parted = ws.save(parted.join(parts.hint("merge"), ["h", "low", "high"]).join(more.hint("merge"), "key"), "parted")
+    at, others = ["h", "low", "high"], (F.col("low") == F.col("high")) | (F.col("class") != F.col("class_2"))
+    twin.append(F.col("class").alias("class_2"))
+    few = parted.where(F.col("count") <= dense)
+    met = few.join(few.select(*at, *twin).hint("merge"), at).where((F.col("key") < F.col("key_2")) & others & _alike_in_size(like) & _early(like)).select("key", "key_2")
+    many = ws.save(parted.where(F.col("count") > dense), "dense-parts")
+    middle = ws.save(many.groupBy(*at).agg(F.max(F.struct("more", "key", "n", "pos")).alias("m")).select(*at, F.col("m.key").alias("key_2"), F.col("m.n").alias("n_2"), F.col("m.pos").alias("pos_2")), "middles")
+    stars = many.join(middle.hint("merge"), at).where((F.col("key") != F.col("key_2")) & _alike_in_size(like)).select(F.least("key", "key_2").alias("key"), F.greatest("key", "key_2").alias("key_2"))
+    pairs = ws.save(pairs.union(met).union(stars).distinct(), "pairs")
+    links = _verified(pairs, texts, nodes, ws, words, like, "first")
     ends = nodes.select("key", F.col("doc").alias("a")), nodes.select(F.col("key").alias("key_2"), F.col("doc").alias("b"))
 
     def components(links: DataFrame, name: str) -> DataFrame:
@@ -360,23 +386,18 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
         return ws.save(nodes.join(found, nodes["doc"] == found["node"], "left").select("digest", "key", F.coalesce("component", "doc").alias("component_id")), f"{name}-of")
 
     groups = components(links, "near")
-    placed = ws.save(many.select("h", "key", "n").join(groups.select("key", "component_id").hint("merge"), "key"), "dense-placed")
-    largest = placed.groupBy("h", "component_id").count().groupBy("h").agg(F.max_by("component_id", F.struct("count", "component_id")).alias("largest"), F.count("*").alias("kinds")).where("kinds > 1")
-    left = ws.save(placed.join(largest.select("h", "largest").hint("merge"), "h"), "dense-left")
+    placed = ws.save(many.select(*at, "class", "key", "n", "pos").join(groups.select("key", "component_id").hint("merge"), "key"), "dense-placed")
+    largest = placed.groupBy(*at, "component_id").count().groupBy(*at).agg(F.max_by("component_id", F.struct("count", "component_id")).alias("largest"), F.count("*").alias("kinds")).where("kinds > 1")
+    left = ws.save(placed.join(ws.save(largest.select(*at, "largest"), "dense-largest").hint("merge"), at), "dense-left")
     if left.limit(1).count():
-        outside = left.where(F.col("component_id") != F.col("largest")).select("h", "key", "n", "component_id")
-        every = left.select("h", F.col("key").alias("key_2"), F.col("n").alias("n_2"), F.col("component_id").alias("component_2"))
-        cross = outside.join(every.hint("merge"), "h").where((F.col("component_id") != F.col("component_2")) & _alike_in_size(like))
-        a, b = F.struct("key", "n"), F.struct(F.col("key_2").alias("key"), F.col("n_2").alias("n"))
-        cross = cross.select("h", F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct().groupBy("a", "b").agg(F.count("*").alias("own")).select("a.key", F.col("b.key").alias("key_2"), "a.n", F.col("b.n").alias("n_2"), "own")
-        seen = counted.select("key", "key_2", "shared")
-        # What the first count has of dense runs is counted twice here; a bound above is all that is needed.
-        cross = cross.join(seen.hint("merge"), ["key", "key_2"], "left").where(_enough(F.col("own") + F.coalesce("shared", F.lit(0)), like)).join(pairs.select("key", "key_2").hint("merge"), ["key", "key_2"], "left_anti")
-        again = _verified(ws.save(cross.select("key", "key_2"), "cross-pairs"), texts, nodes, ws, words, like, "second")
+        outside = left.where(F.col("component_id") != F.col("largest")).select(*at, "class", "key", "n", "pos", "component_id")
+        cross = outside.join(left.select(*at, *twin, F.col("component_id").alias("component_2")).hint("merge"), at)
+        cross = cross.where((F.col("component_id") != F.col("component_2")) & others & _alike_in_size(like) & _early(like))
+        cross = cross.select(F.least("key", "key_2").alias("key"), F.greatest("key", "key_2").alias("key_2")).distinct().join(pairs.hint("merge"), ["key", "key_2"], "left_anti")
+        again = _verified(ws.save(cross, "cross-pairs"), texts, nodes, ws, words, like, "second")
         if again.limit(1).count():
             groups = components(links.union(again), "all")
-    for old in ("members", "dense", "dense-firsts", "dense-counts", "dense-placed", "dense-left", "counted", "pairs", "first-links"):
-        ws.remove(old)
+    ws.remove("members", "dense", "dense-counts", "part-sizes", "parted", "dense-parts", "middles", "dense-placed", "dense-largest", "dense-left", "pairs", "cross-pairs", "first-links", "second-links")
     return prints.select("doc_id", "digest").join(groups.select("digest", "component_id"), "digest", "left").select("doc_id", "component_id")
 
 

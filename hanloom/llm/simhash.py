@@ -277,9 +277,9 @@ def _early(like: float) -> Column:
     return F.least(F.col("n") - F.col("pos"), F.col("n_2") - F.col("pos_2")) >= _both(F.col("n"), F.col("n_2"), like)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, ws: Workspace, words: int, like: float, name: str) -> DataFrame:
-    """The ``pairs`` (key, key_2) whose whole sets are as alike. The sets of pairs with one key meet in groups of about GROUP; a key with more
-    pairs has more groups, and its set goes to each."""
+def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, ws: Workspace, words: int, name: str) -> DataFrame:
+    """(key, key_2, apart) of ``pairs`` (key, key_2): the Jaccard distance of their whole sets. The sets of pairs with one key meet in groups of about
+    GROUP; a key with more pairs has more groups, and its set goes to each."""
     wanted = pairs.select("key").union(pairs.select("key_2")).distinct()
     reps = ws.save(wanted.join(nodes.select("key", "doc"), "key"), f"{name}-wanted")
     found = texts.join(reps.select("doc").distinct().hint("shuffle_hash"), F.col("doc_id") == F.col("doc"), "left_semi").select("text")
@@ -298,18 +298,18 @@ def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, ws: Workspac
     def compare(key: tuple, rows: pa.Table) -> pa.Table:
         first = key[0].as_py()
         sets = {k: np.frombuffer(h, np.uint64) for k, h in zip(rows["of"].to_pylist(), rows["hashes"].to_pylist(), strict=True)}
-        ok = []
+        of, apart = [], []
         for k, y in sets.items():
             x = sets.get(first)
             if x is not None and k != first:
                 both = int(_among(x, y).sum())
-                if both >= like * (len(x) + len(y) - both) - 1e-9:
-                    ok.append(k)
-        return pa.table([pa.array([first] * len(ok), pa.int64()), pa.array(ok, pa.int64())], ["key", "key_2"])
+                of.append(k)
+                apart.append(1 - both / (len(x) + len(y) - both))
+        return pa.table([pa.array([first] * len(of), pa.int64()), pa.array(of, pa.int64()), pa.array(apart, pa.float64())], ["key", "key_2", "apart"])
 
     # Merged whatever the sizes, so that the plan is the same at any scale.
     met = sent.join(sets.hint("merge"), F.col("of") == F.col("key")).select("first", "part", "of", "hashes")
-    out = ws.save(met.groupBy("first", "part").applyInArrow(compare, "key long, key_2 long"), f"{name}-links")
+    out = ws.save(met.groupBy("first", "part").applyInArrow(compare, "key long, key_2 long, apart double"), f"{name}-links")
     ws.remove(*(f"{name}-{old}" for old in ("sets", "sent", "groups", "wanted")))
     return out
 
@@ -326,7 +326,8 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     as many more as their sizes tell (``_enough``). Common runs come last in the order. Equal sets are one node. Runs that up to
     ``dense`` nodes have among their first give all their pairs, whose shared runs are counted; of the pairs with enough, whole sets are
     compared. Nodes of other runs are parted by sizes and places first. Of a part that is still dense, each node is compared with one in
-    its middle; where that leaves more than one component, nodes outside the part's largest are compared with the others. So a large
+    its middle; where that leaves more than one component, nodes outside the part's largest are compared with those of the others whose
+    distance to the middle differs by no more than that of nodes as alike. So a large
     group of near copies is linked by about as many pairs as it has nodes. A radius of fingerprints can't do this: texts of likeness
     0.8 differ by about ten bits, give or take some.
     Null texts count as empty and link to each other only; a null doc_id takes the component of its text, null if no other row gives
@@ -378,7 +379,9 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     middle = ws.save(many.groupBy(*at).agg(F.max(F.struct("more", "key", "n", "pos")).alias("m")).select(*at, F.col("m.key").alias("key_2"), F.col("m.n").alias("n_2"), F.col("m.pos").alias("pos_2")), "middles")
     stars = many.join(middle.hint("merge"), at).where((F.col("key") != F.col("key_2")) & _alike_in_size(like)).select(F.least("key", "key_2").alias("key"), F.greatest("key", "key_2").alias("key_2"))
     pairs = ws.save(pairs.union(met).union(stars).distinct(), "pairs")
-    links = _verified(pairs, texts, nodes, ws, words, like, "first")
+    compared = _verified(pairs, texts, nodes, ws, words, "first")
+    near = F.col("apart") <= 1 - like + 1e-9
+    links = compared.where(near)
     ends = nodes.select("key", F.col("doc").alias("a")), nodes.select(F.col("key").alias("key_2"), F.col("doc").alias("b"))
 
     def components(links: DataFrame, name: str) -> DataFrame:
@@ -388,15 +391,20 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     groups = components(links, "near")
     placed = ws.save(many.select(*at, "class", "key", "n", "pos").join(groups.select("key", "component_id").hint("merge"), "key"), "dense-placed")
     largest = placed.groupBy(*at, "component_id").count().groupBy(*at).agg(F.max_by("component_id", F.struct("count", "component_id")).alias("largest"), F.count("*").alias("kinds")).where("kinds > 1")
-    left = ws.save(placed.join(ws.save(largest.select(*at, "largest"), "dense-largest").hint("merge"), at), "dense-left")
+    left = placed.join(ws.save(largest.select(*at, "largest"), "dense-largest").hint("merge"), at)
+    # The middle is a pivot: as alike as wanted are only nodes whose distances to it differ by as much at most (triangle inequality).
+    to = compared.select("key", F.col("key_2").alias("pivot"), "apart").union(compared.select("key_2", "key", "apart"))
+    left = left.join(middle.select(*at, F.col("key_2").alias("pivot")).hint("merge"), at).join(to.hint("merge"), ["key", "pivot"], "left")
+    left = ws.save(left.withColumn("apart", F.when(F.col("key") == F.col("pivot"), 0.0).otherwise(F.col("apart"))).drop("pivot"), "dense-left")
     if left.limit(1).count():
-        outside = left.where(F.col("component_id") != F.col("largest")).select(*at, "class", "key", "n", "pos", "component_id")
-        cross = outside.join(left.select(*at, *twin, F.col("component_id").alias("component_2")).hint("merge"), at)
+        outside = left.where(F.col("component_id") != F.col("largest")).select(*at, "class", "key", "n", "pos", "apart", "component_id")
+        cross = outside.join(left.select(*at, *twin, F.col("apart").alias("apart_2"), F.col("component_id").alias("component_2")).hint("merge"), at)
+        cross = cross.where(F.coalesce(F.abs(F.col("apart") - F.col("apart_2")) <= 1 - like + 1e-9, F.lit(True)))
         cross = cross.where((F.col("component_id") != F.col("component_2")) & others & _alike_in_size(like) & _early(like))
         cross = cross.select(F.least("key", "key_2").alias("key"), F.greatest("key", "key_2").alias("key_2")).distinct().join(pairs.hint("merge"), ["key", "key_2"], "left_anti")
-        again = _verified(ws.save(cross, "cross-pairs"), texts, nodes, ws, words, like, "second")
+        again = _verified(ws.save(cross, "cross-pairs"), texts, nodes, ws, words, "second").where(near)
         if again.limit(1).count():
-            groups = components(links.union(again), "all")
+            groups = components(links.unionByName(again), "all")
     ws.remove("members", "dense", "dense-counts", "part-sizes", "parted", "dense-parts", "middles", "dense-placed", "dense-largest", "dense-left", "pairs", "cross-pairs", "first-links", "second-links")
     return prints.select("doc_id", "digest").join(groups.select("digest", "component_id"), "digest", "left").select("doc_id", "component_id")
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, chunks, free_name, map_arrow, slices, spread, squeeze, text_or_empty
 from .components import connected_components
-from .hashing import padded, xxh64_spans
+from .hashing import mix, padded, xxh64_spans
 
 WORDS, MAX_BITS = 3, 2
 #: Reference fingerprints of the distance table, besides zero.
@@ -27,6 +27,9 @@ DENSE, FINE = 32, 4
 SAMPLE, COMMON, COMMON_MOST = 8, 4, 1 << 20
 #: Characters of text for each bucket of hashes; pairs of a key that are verified together.
 BUCKET, GROUP = 8 << 20, 64
+#: Differing bits of fingerprints that make candidates for a likeness; one-bit references of so many groups are equal in a cell, and fingerprints of
+#: a bucket of cells.
+RADIUS, EQUAL, CELLS = 8, 3, 1 << 20
 #: Classes of size from a size to the least one that can be as alike.
 CLASSES = 4
 
@@ -54,13 +57,12 @@ def _shingles(texts: list[bytes], words: int, seed: int) -> tuple[np.ndarray, np
     return xxh64_spans(buf, starts[at], stop - starts[at], seed), owner[at]
 
 
-def _fingerprints(texts: list[bytes], words: int, seed: int) -> np.ndarray:
-    """The fingerprint of each text."""
-    h, owner = _shingles(texts, words, seed)
-    many = np.bincount(owner, minlength=len(texts))
-    ones = np.empty((len(texts), 64), np.int64)
+def _majority(h: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
+    """The fingerprint of each of so many texts, from the hashes of their runs."""
+    many = np.bincount(owner, minlength=texts)
+    ones = np.empty((texts, 64), np.int64)
     for k, lane in enumerate(h.view(np.uint8).reshape(-1, 8).T):
-        ones[:, 8 * k : 8 * k + 8] = np.bincount(owner * 256 + lane, minlength=256 * len(texts)).reshape(-1, 256) @ _BITS
+        ones[:, 8 * k : 8 * k + 8] = np.bincount(owner * 256 + lane, minlength=256 * texts).reshape(-1, 256) @ _BITS
     return np.packbits(2 * ones > many[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
@@ -68,7 +70,7 @@ def fingerprint_texts(texts: list[str], words: int = WORDS, seed: int = 42) -> n
     """Unsigned 64-bit fingerprints; lower-cases A-Z, splits at the white space of ASCII."""
     out = np.zeros(len(texts), np.uint64)
     for a, b in chunks(texts):
-        out[a:b] = _fingerprints([b" ".join(t.encode("utf-8", "surrogatepass").lower().split()) for t in texts[a:b]], words, seed)
+        out[a:b] = _majority(*_shingles([b" ".join(t.encode("utf-8", "surrogatepass").lower().split()) for t in texts[a:b]], words, seed), b - a)
     return out
 
 
@@ -146,6 +148,98 @@ def near_edges(spark: SparkSession, nodes: DataFrame, ws: Workspace, max_bits: i
     return pairs.select(F.col("node").alias("a"), F.col("node_2").alias("b")).distinct()
 
 
+def _cuts(max_bits: int) -> tuple[list[int], list[tuple[int, ...]]]:
+    """Masks of max_bits + EQUAL groups of the one-bit references, and every choice of EQUAL of them."""
+    at = np.linspace(0, 64, max_bits + EQUAL + 1).astype(int).tolist()
+    return [(1 << b) - (1 << a) for a, b in zip(at[:-1], at[1:], strict=True)], list(combinations(range(max_bits + EQUAL), EQUAL))
+
+
+def _table_of(fps: np.ndarray) -> np.ndarray:
+    """Distances to zero and to the references, a row per fingerprint."""
+    out = np.empty((len(fps), REFERENCES + 1), np.int8)
+    for k, r in enumerate((0, *references())):
+        out[:, k] = np.bitwise_count(fps ^ np.uint64(r & 0xFFFFFFFFFFFFFFFF))
+    return out
+
+
+def _cell_links(fps: np.ndarray, masks: list[int], chosen: tuple[int, ...], max_bits: int, dense: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs at ``max_bits`` or less that share a cell of the chosen groups, and none of an earlier choice; in a cell of more than ``dense``
+    fingerprints only as many as link the same ones."""
+    cell = fps & np.uint64(sum(masks[g] for g in chosen))
+    order = np.argsort(cell, kind="stable")
+    cell = cell[order]
+    start = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
+    size = np.diff(np.append(start, len(cell)))
+    x = fps[order[np.repeat(size, size) > 1]]
+    size = size[size > 1]
+    table, end = _table_of(x), np.repeat(np.cumsum(size), size)
+    earlier = [np.uint64(masks[g]) for g in range(chosen[-1]) if g not in chosen]
+
+    def linked(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which pairs of places: the largest difference of distances discards, the rest are verified."""
+        on = np.flatnonzero(np.abs(table[a] - table[b]).max(axis=1, initial=0) <= max_bits)
+        apart = x[a[on] if a.shape else a] ^ x[b[on]]
+        keep = np.bitwise_count(apart) <= max_bits
+        for m in earlier:
+            keep &= apart & m != 0
+        return on[keep]
+
+    left, right = [], []
+    at, step = np.flatnonzero(np.repeat(size, size) <= dense), 0
+    while len(at):
+        step += 1
+        at = at[at + step < end[at]]
+        for some in np.array_split(at, len(at) // (1 << 18) + 1):
+            on = some[linked(some, some + step)]
+            left.append(on)
+            right.append(on + step)
+    for stop, n in zip(np.cumsum(size)[size > dense].tolist(), size[size > dense].tolist(), strict=True):
+        rest = np.arange(stop - n, stop)
+        while len(rest):
+            found, rest = [rest[0]], rest[1:]
+            while found and len(rest):
+                u = np.array(found.pop())
+                on = linked(u, rest)
+                left.append(np.full(len(on), u))
+                right.append(rest[on])
+                found += rest[on].tolist()
+                rest = np.delete(rest, on)
+    a, b = (x[np.concatenate([*p, np.zeros(0, np.int64)]).astype(np.int64)] for p in (left, right))
+    return a, b
+
+
+def near_links(nodes: DataFrame, max_bits: int = RADIUS, dense: int = DENSE) -> DataFrame:
+    """Pairs (fp, fp_2) of different fingerprints of ``nodes`` (fp) at ``max_bits`` or less, such that their components are those of all such pairs.
+
+    As ``near_edges``, for larger distances: two fingerprints have equal distances to all one-bit references of EQUAL of max_bits + EQUAL
+    groups at least. Each choice of groups cuts the space into cells, and buckets of whole cells go to workers. There the distances to
+    zero and to the references are laid down; pairs of a cell whose distances to any differ by more than ``max_bits`` are discarded
+    (triangle inequality), and the rest are verified. A pair is given by the first choice that it shares. Cells of up to ``dense``
+    fingerprints give all their pairs, larger ones as many as link the same fingerprints.
+    """
+    masks, choices = _cuts(max_bits)
+    fps = nodes.select("fp").distinct()
+    parts = int(max(1, fps.count() // CELLS))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = b.column(0).to_numpy().view(np.uint64)
+            buckets, blobs = [], []
+            for t, chosen in enumerate(choices if len(x) else []):
+                to = ((mix(x & np.uint64(sum(masks[g] for g in chosen)), t) >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+                for p in np.unique(to).tolist():
+                    buckets.append(t * parts + p)
+                    blobs.append(x[to == p].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "fps"])
+
+    def link(key: tuple, rows: pa.Table) -> pa.Table:
+        x = np.concatenate([np.frombuffer(f, np.uint64) for f in rows["fps"].to_pylist()])
+        a, b = _cell_links(x, masks, choices[key[0].as_py() // parts], max_bits, dense)
+        return pa.table([a.view(np.int64), b.view(np.int64)], ["fp", "fp_2"])
+
+    return fps.transform(map_arrow, deal, "bucket long, fps binary").groupBy("bucket").applyInArrow(link, "fp long, fp_2 long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, words: int = WORDS) -> DataFrame:
     """(doc_id, fp, component_id): a row per row of ``docs``; the component is the smallest doc_id reachable over links of
     fingerprints at ``max_bits`` or fewer differing bits.
@@ -163,14 +257,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(groups, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def shingle_sets(texts: list[str], words: int, seed: int = 42) -> list[np.ndarray]:
-    """The sorted different hashes of each text's runs of ``words`` words, of all its words where there are fewer."""
+def _sets(texts: list[str], words: int, prints: bool, seed: int = 42) -> tuple[list[np.ndarray], list[int]]:
     out: list[np.ndarray] = []
+    fps: list[int] = []
     for a, b in chunks(texts):
         h, owner = _shingles([b" ".join(t.encode("utf-8", "surrogatepass").lower().split()) for t in texts[a:b]], words, seed)
         cuts = np.searchsorted(owner, np.arange(b - a + 1))
         out += [np.unique(h[i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
-    return out
+        fps += _majority(h, owner, b - a).tolist() if prints else []
+    return out, fps
+
+
+def shingle_sets(texts: list[str], words: int) -> list[np.ndarray]:
+    """The sorted different hashes of each text's runs of ``words`` words, of all its words where there are fewer."""
+    return _sets(texts, words, False)[0]
 
 
 def _digest(hashes: np.ndarray) -> bytes:
@@ -199,37 +299,38 @@ def _common(texts: DataFrame, words: int) -> np.ndarray:
     return np.sort(np.array([r["h"] for r in rows], np.int64).view(np.uint64))
 
 
-_HEADS = "slice long, bucket int, ids array<long>, of binary, digests binary, n binary, h binary, node binary, pos binary"
+_HEADS = "slice long, bucket int, ids array<long>, of binary, digests binary, n binary, fps binary, h binary, node binary, pos binary"
 
 
 def _heads(texts: DataFrame, words: int, like: float, buckets: int, common: object) -> DataFrame:
     """Rows of slices of ``texts`` (doc_id, text). One a slice holds its ids, the number of each one's set among the slice's different sets, and the
-    digests and sizes of those; others, by bucket, hold the first hashes of the sets, n - ceil(like * n) + 1 of n, common ones last, with their
+    digests, sizes and fingerprints of those; others, by bucket, hold the first hashes of the sets, n - ceil(like * n) + 1 of n, common ones last, with their
     places."""
     names = [f.split()[0] for f in _HEADS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 8 << 20):
             known: dict[bytes, int] = {}
-            of, sizes, heads = [], [], []
-            for h in shingle_sets(b.column(1).to_pylist(), words):
+            of, sizes, prints, heads = [], [], [], []
+            for h, fp in zip(*_sets(b.column(1).to_pylist(), words, True), strict=True):
                 d = _digest(h)
                 if d not in known:
                     known[d] = len(known)
                     sizes.append(len(h))
+                    prints.append(fp)
                     late = _among(common.value, h)
                     heads.append(np.concatenate([h[~late], h[late]])[: len(h) - int(np.ceil(like * len(h) - 1e-9)) + 1])
                 of.append(known[d])
             slice_ = uuid.uuid4().int >> 65
-            rows = [(slice_, None, b.column(0).to_pylist(), np.array(of, "<i4").tobytes(), b"".join(known), np.array(sizes, "<i4").tobytes(), None, None, None)]
+            rows = [(slice_, None, b.column(0).to_pylist(), np.array(of, "<i4").tobytes(), b"".join(known), np.array(sizes, "<i4").tobytes(), np.array(prints, "<u8").tobytes(), None, None, None)]
             pos = np.concatenate([*map(np.arange, map(len, heads)), np.zeros(0, np.int64)])
             h, node = np.concatenate([*heads, np.zeros(0, np.uint64)]), np.repeat(np.arange(len(heads), dtype="<i4"), list(map(len, heads)))
             to = (((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
             order = np.argsort(to, kind="stable")
             cuts = np.flatnonzero(np.diff(to[order])) + 1
             for at in np.split(order, cuts) if len(order) else []:
-                rows.append((slice_, int(to[at[0]]), None, None, None, None, h[at].tobytes(), squeeze(node[at]), squeeze(pos[at])))
-            kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), *[pa.binary()] * 6)
+                rows.append((slice_, int(to[at[0]]), None, None, None, None, None, h[at].tobytes(), squeeze(node[at]), squeeze(pos[at])))
+            kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), *[pa.binary()] * 7)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     return texts.transform(map_arrow, run, _HEADS)
@@ -246,15 +347,15 @@ def _shared(key: tuple, rows: pa.Table) -> pa.Table:
 
 
 def _prints(heads: DataFrame) -> DataFrame:
-    """(doc_id, slice, node, digest, n), a row per text."""
+    """(doc_id, slice, node, digest, n, fp), a row per text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for slice_, ids, of, digests, n in zip(*(b.column(k) for k in range(5)), strict=True):
-                of, d, size = np.frombuffer(of.as_py(), "<i4"), digests.as_py(), np.frombuffer(n.as_py(), "<i4")
-                yield pa.RecordBatch.from_arrays([ids.values, pa.array(np.full(len(of), slice_.as_py())), pa.array(of), pa.array([d[16 * k : 16 * k + 16] for k in of.tolist()], pa.binary()), pa.array(size[of].astype(np.int64))], ["doc_id", "slice", "node", "digest", "n"])
+            for slice_, ids, of, digests, n, fps in zip(*(b.column(k) for k in range(6)), strict=True):
+                of, d, size, fp = np.frombuffer(of.as_py(), "<i4"), digests.as_py(), np.frombuffer(n.as_py(), "<i4"), np.frombuffer(fps.as_py(), "<i8")
+                yield pa.RecordBatch.from_arrays([ids.values, pa.array(np.full(len(of), slice_.as_py())), pa.array(of), pa.array([d[16 * k : 16 * k + 16] for k in of.tolist()], pa.binary()), pa.array(size[of].astype(np.int64)), pa.array(fp[of])], ["doc_id", "slice", "node", "digest", "n", "fp"])
 
-    return heads.where("bucket is null").select("slice", "ids", "of", "digests", "n").transform(map_arrow, run, "doc_id long, slice long, node int, digest binary, n long")
+    return heads.where("bucket is null").select("slice", "ids", "of", "digests", "n", "fps").transform(map_arrow, run, "doc_id long, slice long, node int, digest binary, n long, fp long")
 
 
 def _alike_in_size(like: float) -> Column:
@@ -277,11 +378,9 @@ def _early(like: float) -> Column:
     return F.least(F.col("n") - F.col("pos"), F.col("n_2") - F.col("pos_2")) >= _both(F.col("n"), F.col("n_2"), like)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, ws: Workspace, words: int, name: str) -> DataFrame:
-    """(key, key_2, apart) of ``pairs`` (key, key_2): the Jaccard distance of their whole sets. The sets of pairs with one key meet in groups of about
-    GROUP; a key with more pairs has more groups, and its set goes to each."""
-    wanted = pairs.select("key").union(pairs.select("key_2")).distinct()
-    reps = ws.save(wanted.join(nodes.select("key", "doc"), "key"), f"{name}-wanted")
+def _wanted(keys: DataFrame, texts: DataFrame, nodes: DataFrame, ws: Workspace, words: int, name: str) -> DataFrame:
+    """(key, hashes): the whole sets of ``keys``; a key may come twice, and other sets of the same documents with it."""
+    reps = ws.save(keys.distinct().join(nodes.select("key", "doc"), "key"), f"{name}-wanted")
     found = texts.join(reps.select("doc").distinct().hint("shuffle_hash"), F.col("doc_id") == F.col("doc"), "left_semi").select("text")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,7 +388,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, ws: Workspac
             sets = shingle_sets(b.column(0).to_pylist(), words)
             yield pa.RecordBatch.from_arrays([pa.array([_key(_digest(h)) for h in sets], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())], ["key", "hashes"])
 
-    sets = ws.save(found.transform(map_arrow, whole, "key long, hashes binary"), f"{name}-sets")
+    return ws.save(found.transform(map_arrow, whole, "key long, hashes binary"), f"{name}-sets")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, ws: Workspace, words: int, name: str) -> DataFrame:
+    """(key, key_2, apart) of ``pairs`` (key, key_2): the Jaccard distance of their whole sets. The sets of pairs with one key meet in groups of about
+    GROUP; a key with more pairs has more groups, and its set goes to each."""
+    sets = _wanted(pairs.select("key").union(pairs.select("key_2")), texts, nodes, ws, words, name)
     groups = ws.save(pairs.groupBy("key").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups")), f"{name}-groups")
     members = pairs.join(groups, "key").select("key", F.pmod(F.xxhash64("key_2"), F.col("groups")).cast("int").alias("part"), F.col("key_2").alias("of"))
     firsts = groups.select("key", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), F.col("key").alias("of"))
@@ -322,14 +427,16 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     """(doc_id, component_id): a row per row of ``docs``; the component is the smallest doc_id reachable over links of texts whose sets of
     runs of ``words`` words have a Jaccard likeness of ``like`` or more.
 
-    Exact: under one order of all runs, the first n - ceil(like * n) + 1 of two sets as alike share one, early enough in both (``_early``), and
-    as many more as their sizes tell (``_enough``). Common runs come last in the order. Equal sets are one node. Runs that up to
-    ``dense`` nodes have among their first give all their pairs, whose shared runs are counted; of the pairs with enough, whole sets are
-    compared. Nodes of other runs are parted by sizes and places first. Of a part that is still dense, each node is compared with one in
+    Equal sets are one node, with the SimHash fingerprint of ``words`` words. Fingerprints at RADIUS bits or less, found with pivot distance
+    tables (``near_links``), are candidates; whole sets are compared, and nodes as alike are linked. No radius is exact for a likeness:
+    texts of likeness 0.8 differ by about ten bits, give or take some. So what this leaves in different components is completed:
+
+    Under one order of all runs, the first n - ceil(like * n) + 1 of two sets as alike share one, early enough in both (``_early``), and
+    as many more as their sizes tell (``_enough``). Common runs come last in the order. Runs that up to ``dense`` nodes have among
+    their first give all their pairs, whose shared runs are counted; of the pairs with enough, whole sets are compared. Nodes of other
+    runs are parted by sizes and places first. Of a part that is still dense, each node is compared with one in
     its middle; where that leaves more than one component, nodes outside the part's largest are compared with those of the others whose
-    distance to the middle differs by no more than that of nodes as alike. So a large
-    group of near copies is linked by about as many pairs as it has nodes. A radius of fingerprints can't do this: texts of likeness
-    0.8 differ by about ten bits, give or take some.
+    distance to the middle differs by no more than that of nodes as alike. Pairs of one component are nowhere compared.
     Null texts count as empty and link to each other only; a null doc_id takes the component of its text, null if no other row gives
     one. Rows that repeat a doc_id are linked. An empty table gives an empty result; other columns are not read.
     """
@@ -343,8 +450,26 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     met = ws.save(heads.where("bucket is not null").select("bucket", "slice", "h", "node", "pos").groupBy("bucket").applyInArrow(_shared, "h long, slice long, node int, pos int"), "met")
     ws.remove("heads")
     key = F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long")
-    nodes = ws.save(prints.groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n")).where("doc is not null").withColumn("key", key), "nodes")
+    nodes = ws.save(prints.groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.min("fp").alias("fp")).where("doc is not null").withColumn("key", key), "nodes")
     numbers = ws.save(prints.select("slice", "node", "digest").distinct().join(nodes, "digest").select("slice", "node", "key", "n"), "numbers")
+    near = F.col("apart") <= 1 - like + 1e-9
+    ends = nodes.select("key", F.col("doc").alias("a")), nodes.select(F.col("key").alias("key_2"), F.col("doc").alias("b"))
+
+    def components(links: DataFrame, name: str) -> DataFrame:
+        found = connected_components(spark, links.join(ends[0], "key").join(ends[1], "key_2").select("a", "b"), ws, name)
+        return ws.save(nodes.join(found, nodes["doc"] == found["node"], "left").select("digest", "key", F.coalesce("component", "doc").alias("component_id")), f"{name}-of")
+
+    # A fingerprint's least node stands for it; the others that have it are candidates with that one.
+    printed = nodes.where("n > 0").select("fp", "key")
+    least = ws.save(printed.groupBy("fp").agg(F.min("key").alias("key")), "fingerprints")
+    close = ws.save(near_links(least), "near-links")
+    least_2 = least.select(F.col("fp").alias("fp_2"), F.col("key").alias("key_2"))
+    close = close.join(least.hint("merge"), "fp").join(least_2.hint("merge"), "fp_2").select("key", "key_2")
+    same = printed.join(least_2.hint("merge"), F.col("fp") == F.col("fp_2")).where("key <> key_2").select(F.col("key_2").alias("key"), F.col("key").alias("key_2"))
+    links = _verified(ws.save(close.union(same), "close"), texts, nodes, ws, words, "close").where(near).select("key", "key_2")
+    groups = components(links, "close").select("key", "component_id")
+    apart = groups.hint("merge"), groups.select(F.col("key").alias("key_2"), F.col("component_id").alias("component_2")).hint("merge")
+
     rows = ws.save(met.join(numbers.hint("merge"), ["slice", "node"]).select("h", "key", "n", "pos").distinct(), "rows")
     sizes = ws.save(rows.groupBy("h").count().where("count > 1"), "sizes")
     rows = ws.save(rows.join(sizes.hint("merge"), "h"), "members")
@@ -378,16 +503,10 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     many = ws.save(parted.where(F.col("count") > dense), "dense-parts")
     middle = ws.save(many.groupBy(*at).agg(F.max(F.struct("more", "key", "n", "pos")).alias("m")).select(*at, F.col("m.key").alias("key_2"), F.col("m.n").alias("n_2"), F.col("m.pos").alias("pos_2")), "middles")
     stars = many.join(middle.hint("merge"), at).where((F.col("key") != F.col("key_2")) & _alike_in_size(like)).select(F.least("key", "key_2").alias("key"), F.greatest("key", "key_2").alias("key_2"))
-    pairs = ws.save(pairs.union(met).union(stars).distinct(), "pairs")
+    pairs = pairs.union(met).union(stars).distinct().join(apart[0], "key").join(apart[1], "key_2").where("component_id <> component_2").select("key", "key_2")
+    pairs = ws.save(pairs, "pairs")
     compared = _verified(pairs, texts, nodes, ws, words, "first")
-    near = F.col("apart") <= 1 - like + 1e-9
-    links = compared.where(near)
-    ends = nodes.select("key", F.col("doc").alias("a")), nodes.select(F.col("key").alias("key_2"), F.col("doc").alias("b"))
-
-    def components(links: DataFrame, name: str) -> DataFrame:
-        found = connected_components(spark, links.join(ends[0], "key").join(ends[1], "key_2").select("a", "b"), ws, name)
-        return ws.save(nodes.join(found, nodes["doc"] == found["node"], "left").select("digest", "key", F.coalesce("component", "doc").alias("component_id")), f"{name}-of")
-
+    links = links.union(compared.where(near).select("key", "key_2"))
     groups = components(links, "near")
     placed = ws.save(many.select(*at, "class", "key", "n", "pos").join(groups.select("key", "component_id").hint("merge"), "key"), "dense-placed")
     largest = placed.groupBy(*at, "component_id").count().groupBy(*at).agg(F.max_by("component_id", F.struct("count", "component_id")).alias("largest"), F.count("*").alias("kinds")).where("kinds > 1")
@@ -404,8 +523,8 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
         cross = cross.select(F.least("key", "key_2").alias("key"), F.greatest("key", "key_2").alias("key_2")).distinct().join(pairs.hint("merge"), ["key", "key_2"], "left_anti")
         again = _verified(ws.save(cross, "cross-pairs"), texts, nodes, ws, words, "second").where(near)
         if again.limit(1).count():
-            groups = components(links.unionByName(again), "all")
-    ws.remove("members", "dense", "dense-counts", "part-sizes", "parted", "dense-parts", "middles", "dense-placed", "dense-largest", "dense-left", "pairs", "cross-pairs", "first-links", "second-links")
+            groups = components(links.union(again.select("key", "key_2")), "all")
+    ws.remove("members", "dense", "dense-counts", "part-sizes", "parted", "dense-parts", "middles", "dense-placed", "dense-largest", "dense-left", "pairs", "cross-pairs", "near-links", "close", "fingerprints", "close-links", "first-links", "second-links")
     return prints.select("doc_id", "digest").join(groups.select("digest", "component_id"), "digest", "left").select("doc_id", "component_id")
 
 

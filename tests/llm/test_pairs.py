@@ -168,6 +168,52 @@ def test_similar(spark, dense, monkeypatch):
     assert simhash.similar(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("bits", "dense"), [(8, 32), (8, 1), (3, 4)])
+def test_near_links(spark, bits, dense, monkeypatch):
+    monkeypatch.setattr(simhash, "CELLS", 50)
+    rng = random.Random(11)
+    prints = {0, (1 << 64) - 1}
+    for _ in range(10):
+        s = rng.getrandbits(64)
+        for _ in range(25):  # a walk, and copies around its start
+            prints.add(s ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(9))))
+            for b in rng.sample(range(64), rng.randrange(12)):
+                s ^= 1 << b
+            prints.add(s)
+    prints = sorted(prints)
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    got = simhash.near_links(spark.createDataFrame([(p,) for p in signed], "fp long"), bits, dense).collect()
+    place = {p: i for i, p in enumerate(signed)}
+    near = {(i, j) for i in range(len(prints)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= bits}
+    found = [tuple(sorted((place[r.fp], place[r.fp_2]), reverse=True)) for r in got]
+    assert set(found) <= near and len(set(found)) == len(found) and (dense < 32 or set(found) == near)
+    assert groups(range(len(prints)), found) == groups(range(len(prints)), near)
+    assert simhash.near_links(spark.createDataFrame([], "fp long"), bits, dense).count() == 0
+
+
+def tables_of(monkeypatch):
+    """Rows of all tables that are written, by name."""
+    rows, save = {}, Workspace.save
+
+    def counted(self, df, table):
+        out = save(self, df, table)
+        rows[table] = out.count()
+        return out
+
+    monkeypatch.setattr(Workspace, "save", counted)
+    return rows
+
+
+def test_similar_starts_from_fingerprints(spark, monkeypatch):
+    rng = random.Random(12)
+    texts = [[f"w{rng.randrange(5000)}" for _ in range(400)] for _ in range(30)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(100 + i, " ".join([*t[:-1], "end"])) for i, t in enumerate(texts)]
+    made = tables_of(monkeypatch)
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), words=5, like=0.8)
+    assert {r.doc_id for r in kept.collect()} == set(range(30))
+    assert made["close"] == 30 and made["near-links"] > 10 and made["pairs"] == 0  # all were found by their fingerprints
+
+
 def test_compare_edited_with_clashing_columns_and_long_texts(spark):
     long = "the cat sat on a mat " * 60_000
     rows = [(2, long, "x", 1), (1, long, None, 2), (1, long, None, 2), (None, None, "y", None)]

@@ -30,6 +30,8 @@ BUCKET, GROUP = 8 << 20, 64
 #: Differing bits of fingerprints that make candidates for a likeness; one-bit references of so many groups are equal in a cell, and fingerprints of
 #: a bucket of cells.
 RADIUS, EQUAL, CELLS = 8, 3, 1 << 20
+#: Nodes, and hashes of their sets, of a block that is compared with other blocks.
+BLOCK, BLOCK_HASHES = 128, 1 << 17
 #: Classes of size from a size to the least one that can be as alike.
 CLASSES = 4
 
@@ -419,6 +421,47 @@ def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, ws: Workspac
     return out
 
 
+def _across(families: DataFrame, texts: DataFrame, nodes: DataFrame, ws: Workspace, words: int, like: float) -> DataFrame:
+    """(key, key_2) of all nodes as alike, of one of ``families`` (family, key, n, component_id, out) and of different components, one of them ``out``.
+    Nodes are dealt to blocks; blocks of those that are out meet all blocks, so a set is sent once for a block and not for a node."""
+    many = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_HASHES)).cast("int")
+    blocks = ws.save(families.groupBy("family").agg(many.alias("blocks")), "family-blocks")
+    of = families.join(blocks, "family").withColumn("own", F.pmod(F.xxhash64("key", "family"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    first = of.where("out").withColumn("other", every).select("family", F.col("own").alias("i"), F.col("other").alias("j"), F.lit(True).alias("first"), "component_id", F.col("key").alias("of"))
+    met = ws.save(first.select("family", "i", "j").distinct(), "family-meetings")
+    second = of.join(met.withColumnRenamed("j", "own"), ["family", "own"]).select("family", "i", F.col("own").alias("j"), F.lit(False).alias("first"), "component_id", F.col("key").alias("of"))
+    sent = ws.save(first.union(second), "family-sent")
+    sets = _wanted(families.select("key"), texts, nodes, ws, words, "family")
+
+    def compare(key: tuple, rows: pa.Table) -> pa.Table:
+        sides: list[dict] = [{}, {}]
+        for first, component, k, h in zip(*(rows[c].to_pylist() for c in ("first", "component_id", "of", "hashes")), strict=True):
+            sides[not first][k] = (component, np.frombuffer(h, np.uint64))
+        if not all(sides):
+            return pa.table([pa.array([], pa.int64())] * 2, ["key", "key_2"])
+        names, groups = (np.array(x) for x in zip(*((k, c) for k, (c, _) in sides[0].items()), strict=True))
+        sizes = np.array([len(h) for _, h in sides[0].values()])
+        hashes, owner = np.concatenate([h for _, h in sides[0].values()]), np.repeat(np.arange(len(sizes)), sizes)
+        order = np.argsort(hashes, kind="stable")
+        hashes, owner = hashes[order], owner[order]
+        a, b = [], []
+        for k, (component, h) in sides[1].items():
+            low, high = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
+            n = high - low
+            both = np.bincount(owner[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(sizes))
+            on = np.flatnonzero((both >= (like - 1e-9) * (sizes + len(h) - both)) & (groups != component))
+            a += np.minimum(names[on], k).tolist()
+            b += np.maximum(names[on], k).tolist()
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["key", "key_2"])
+
+    # Merged whatever the sizes, so that the plan is the same at any scale.
+    out = sent.join(sets.hint("merge"), F.col("of") == F.col("key")).select("family", "i", "j", "first", "component_id", "of", "hashes")
+    out = ws.save(out.groupBy("family", "i", "j").applyInArrow(compare, "key long, key_2 long").distinct(), "family-links")
+    ws.remove("family-sets", "family-sent", "family-meetings", "family-blocks", "family-wanted")
+    return out
+
+
 def _key(digest: bytes) -> int:
     return int.from_bytes(digest[:8], "big", signed=True)
 
@@ -434,9 +477,9 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     Under one order of all runs, the first n - ceil(like * n) + 1 of two sets as alike share one, early enough in both (``_early``), and
     as many more as their sizes tell (``_enough``). Common runs come last in the order. Runs that up to ``dense`` nodes have among
     their first give all their pairs, whose shared runs are counted; of the pairs with enough, whole sets are compared. Nodes of other
-    runs are parted by sizes and places first. Of a part that is still dense, each node is compared with one in
-    its middle; where that leaves more than one component, nodes outside the part's largest are compared with those of the others whose
-    distance to the middle differs by no more than that of nodes as alike. Pairs of one component are nowhere compared.
+    runs are parted by sizes and places first. Of a part that is still dense, each node is compared with one in its middle. Parts with
+    one middle are a family; where a family is left in more than one component, nodes outside its largest are compared with all of the
+    others, in blocks (``_across``). Pairs of one component are nowhere compared.
     Null texts count as empty and link to each other only; a null doc_id takes the component of its text, null if no other row gives
     one. Rows that repeat a doc_id are linked. An empty table gives an empty result; other columns are not read.
     """
@@ -504,27 +547,18 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     middle = ws.save(many.groupBy(*at).agg(F.max(F.struct("more", "key", "n", "pos")).alias("m")).select(*at, F.col("m.key").alias("key_2"), F.col("m.n").alias("n_2"), F.col("m.pos").alias("pos_2")), "middles")
     stars = many.join(middle.hint("merge"), at).where((F.col("key") != F.col("key_2")) & _alike_in_size(like)).select(F.least("key", "key_2").alias("key"), F.greatest("key", "key_2").alias("key_2"))
     pairs = pairs.union(met).union(stars).distinct().join(apart[0], "key").join(apart[1], "key_2").where("component_id <> component_2").select("key", "key_2")
-    pairs = ws.save(pairs, "pairs")
-    compared = _verified(pairs, texts, nodes, ws, words, "first")
-    links = links.union(compared.where(near).select("key", "key_2"))
+    links = links.union(_verified(ws.save(pairs, "pairs"), texts, nodes, ws, words, "first").where(near).select("key", "key_2"))
     groups = components(links, "near")
-    placed = ws.save(many.select(*at, "class", "key", "n", "pos").join(groups.select("key", "component_id").hint("merge"), "key"), "dense-placed")
-    largest = placed.groupBy(*at, "component_id").count().groupBy(*at).agg(F.max_by("component_id", F.struct("count", "component_id")).alias("largest"), F.count("*").alias("kinds")).where("kinds > 1")
-    left = placed.join(ws.save(largest.select(*at, "largest"), "dense-largest").hint("merge"), at)
-    # The middle is a pivot: as alike as wanted are only nodes whose distances to it differ by as much at most (triangle inequality).
-    to = compared.select("key", F.col("key_2").alias("pivot"), "apart").union(compared.select("key_2", "key", "apart"))
-    left = left.join(middle.select(*at, F.col("key_2").alias("pivot")).hint("merge"), at).join(to.hint("merge"), ["key", "pivot"], "left")
-    left = ws.save(left.withColumn("apart", F.when(F.col("key") == F.col("pivot"), 0.0).otherwise(F.col("apart"))).drop("pivot"), "dense-left")
+    family = many.join(middle.select(*at, F.col("key_2").alias("family")).hint("merge"), at).select("family", "key", "n").distinct()
+    placed = ws.save(family.join(groups.select("key", "component_id").hint("merge"), "key"), "families")
+    largest = placed.groupBy("family", "component_id").count().groupBy("family").agg(F.max_by("component_id", F.struct("count", "component_id")).alias("largest"), F.count("*").alias("kinds")).where("kinds > 1")
+    left = placed.join(ws.save(largest.select("family", "largest"), "family-largest").hint("merge"), "family")
+    left = ws.save(left.withColumn("out", F.col("component_id") != F.col("largest")).drop("largest"), "families-left")
     if left.limit(1).count():
-        outside = left.where(F.col("component_id") != F.col("largest")).select(*at, "class", "key", "n", "pos", "apart", "component_id")
-        cross = outside.join(left.select(*at, *twin, F.col("apart").alias("apart_2"), F.col("component_id").alias("component_2")).hint("merge"), at)
-        cross = cross.where(F.coalesce(F.abs(F.col("apart") - F.col("apart_2")) <= 1 - like + 1e-9, F.lit(True)))
-        cross = cross.where((F.col("component_id") != F.col("component_2")) & others & _alike_in_size(like) & _early(like))
-        cross = cross.select(F.least("key", "key_2").alias("key"), F.greatest("key", "key_2").alias("key_2")).distinct().join(pairs.hint("merge"), ["key", "key_2"], "left_anti")
-        again = _verified(ws.save(cross, "cross-pairs"), texts, nodes, ws, words, "second").where(near)
+        again = _across(left, texts, nodes, ws, words, like)
         if again.limit(1).count():
-            groups = components(links.union(again.select("key", "key_2")), "all")
-    ws.remove("members", "dense", "dense-counts", "part-sizes", "parted", "dense-parts", "middles", "dense-placed", "dense-largest", "dense-left", "pairs", "cross-pairs", "near-links", "close", "fingerprints", "close-links", "first-links", "second-links")
+            groups = components(links.union(again), "all")
+    ws.remove("members", "dense", "dense-counts", "part-sizes", "parted", "dense-parts", "middles", "families", "family-largest", "families-left", "pairs", "near-links", "close", "fingerprints", "first-links", "close-links", "family-links")
     return prints.select("doc_id", "digest").join(groups.select("digest", "component_id"), "digest", "left").select("doc_id", "component_id")
 
 

@@ -214,6 +214,24 @@ def test_similar_starts_from_fingerprints(spark, monkeypatch):
     assert made["close"] == 30 and made["near-links"] > 10 and made["pairs"] == 0  # all were found by their fingerprints
 
 
+def test_similar_in_a_group_of_near_copies_without_its_pairs(spark, monkeypatch):
+    rng = random.Random(13)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(400):  # copies of one text, most of which are alike to no other
+        w = list(base)
+        for _ in range(rng.choice((2, 4, 8, 9, 10))):
+            w[rng.randrange(200)] = f"x{i}-{rng.randrange(9)}"
+        rows.append((i, " ".join(w)))
+    made = tables_of(monkeypatch)
+    got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(196)} for _, t in rows]
+    alike = [(a, b) for a in range(400) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert got == groups(range(400), alike) and len(set(got.values())) > 30
+    sent = {t: n for t, n in made.items() if t in ("first-sent", "second-sent", "family-sent", "pairs", "cross-pairs")}
+    assert max(sent.values()) < 400 * 10 and made["family-sent"] > 0, sent
+
+
 def test_compare_edited_with_clashing_columns_and_long_texts(spark):
     long = "the cat sat on a mat " * 60_000
     rows = [(2, long, "x", 1), (1, long, None, 2), (1, long, None, 2), (None, None, "y", None)]

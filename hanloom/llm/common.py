@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import sys
 import tempfile
 import types
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from typing import ClassVar
 
 import numpy as np
@@ -134,6 +135,13 @@ def slices(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[
             yield b.slice(at, n)
 
 
+def trim() -> None:
+    """Gives free memory back to the system: a worker would else keep the most it has held. Without effect where the C library can't."""
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError, TypeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def squeeze(a: np.ndarray) -> bytes:
     """Counts in the least width that holds them, compressed."""
     width = next(w for w in (1, 2, 4, 8) if not len(a) or int(a.max()) < 1 << 8 * w)

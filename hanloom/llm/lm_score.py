@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Workspace, map_arrow, spread, squeeze, worker_state
+from .common import Workspace, map_arrow, spread, squeeze, trim, worker_state
 from .hashing import mix
 
 #: Characters of text for each bucket of the tables, and bytes of text of a slice.
@@ -22,7 +22,9 @@ DISCOUNT = 0.75
 #: The pairs of a context that has more than a bucket's share of all words, or this share, are dealt to several buckets by the second word.
 COMMON = 1e-5
 _START = np.uint64(2)
-_KEPT = 1 << 17
+_KEPT = 1 << 16
+#: Pairs whose logarithms are taken together.
+_BLOCK = 1 << 17
 _WORDS = re.compile(r"[^\W_]+")
 _WORD, _PAIR, _CONTEXT, _SUM = range(4)
 
@@ -54,26 +56,41 @@ def _runs(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.append(start, len(sorted_))[1:]
 
 
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different values, the place of each value among them, how many there are; as ``np.unique``, in less memory."""
+    order = np.argsort(x, kind="stable")
+    start, end = _runs(sorted_ := x[order])
+    keys = sorted_[start]
+    del sorted_
+    place = np.empty(len(x), np.int32)
+    place[order] = np.repeat(np.arange(len(keys), dtype=np.int32), end - start)
+    return keys, place, end - start
+
+
 class _Slice:
     """The words and pairs of a slice of documents, each in the order in which its buckets are asked and answer."""
 
     def __init__(self, words: bytes, place: bytes, n: bytes, buckets: int, salts: tuple[np.ndarray, np.ndarray]):
         self.words = np.append(np.frombuffer(words, "<u8"), _START)  # the last is the start of a text
         self.n = np.frombuffer(n, "<i8")
-        self.place = spread(place)
         size = len(self.words)
-        before = np.concatenate(([size - 1], self.place[:-1])) if len(self.place) else self.place
+        after = spread(place)
+        code = np.empty_like(after)
+        code[1:] = after[:-1]
         first = np.cumsum(self.n) - self.n
-        before[first[self.n > 0]] = size - 1
-        code, self.pair = np.unique(before * size + self.place, return_inverse=True)
-        self.before, self.after = code // size, code % size
+        code[first[self.n > 0]] = size - 1
+        code *= size
+        code += after
+        del after
+        code, self.pair, _ = _distinct(code)
+        self.before, self.after = (code // size).astype(np.int32), (code % size).astype(np.int32)
         self.word_bucket = _bucket(self.words, buckets)
         known, many = salts
         at = np.minimum(np.searchsorted(known, self.words), max(0, len(known) - 1))
         parts = np.where(known[at] == self.words, many[at], np.uint64(1)) if len(known) else np.ones(size, np.uint64)
         salt = mix(self.words, 7)[self.after] % parts[self.before]
         self.pair_bucket = _bucket(mix(self.words[self.before], salt), buckets)
-        self.word_order, self.pair_order = (np.argsort(x, kind="stable") for x in (self.word_bucket, self.pair_bucket))
+        self.word_order, self.pair_order = (np.argsort(x, kind="stable").astype(np.int32) for x in (self.word_bucket, self.pair_bucket))
 
     def counts(self, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For documents that count ``weight`` times: of pairs; of words; of words as contexts."""
@@ -191,9 +208,10 @@ def score(docs: DataFrame, target_ids: DataFrame, ws: Workspace, id_col: str = "
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), text.alias("text"), counted.alias("counted"))
 
     def packed(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
-        table = pa.Table.from_batches(batches).combine_chunks()
+        trim()
+        table = pa.Table.from_batches(batches)
         words, n = tokens(table["text"].to_pylist())
-        keys, place, many = np.unique(words, return_inverse=True, return_counts=True)
+        keys, place, many = _distinct(words)
         order = np.argsort(-many, kind="stable")  # common words have small numbers
         number = np.empty(len(keys), np.int64)
         number[order] = np.arange(len(keys))
@@ -225,6 +243,7 @@ def score(docs: DataFrame, target_ids: DataFrame, ws: Workspace, id_col: str = "
     def ask(pack: pa.Table, flag: pa.Table) -> pa.Table:
         if not pack.num_rows:
             return _table([], _ASKED)
+        trim()
         (slice_,), (words,), (place,), (n,), (counted,) = (pack[c].to_pylist() for c in ("slice", "words", "place", "n", "counted"))
         own = _Slice(words, place, n, buckets, salts.value)
         every = np.frombuffer(counted, np.uint8).astype(float)
@@ -246,6 +265,7 @@ def score(docs: DataFrame, target_ids: DataFrame, ws: Workspace, id_col: str = "
     asked = packs.select("slice", "words", "place", "n", "counted").groupBy("slice").cogroup(flags.groupBy("of")).applyInArrow(ask, _ASKED)
 
     def answer(key: tuple, rows: pa.Table) -> pa.Table:
+        trim()
         kind, bucket = (k.as_py() for k in key)
         return _table(_words_of(bucket, rows) if kind == _WORD else _pairs_of(bucket, rows, buckets), _GOT)
 
@@ -258,20 +278,26 @@ def score(docs: DataFrame, target_ids: DataFrame, ws: Workspace, id_col: str = "
     def finish(pack: pa.Table, got: pa.Table) -> pa.Table:
         if not pack.num_rows:
             return pa.table([pa.array([], t) for t in (pack.schema.field("rows").type.value_type, pa.int64(), *[pa.float64()] * 3)], names)
+        trim()
         (words,), (place,), (n,) = (pack[c].to_pylist() for c in ("words", "place", "n"))
         own = _Slice(words, place, n, buckets, salts.value)
-        kinds, blobs = got["kind"].to_numpy(), got["counts"].to_pylist()
+        kinds, blobs = got["kind"].to_numpy(), got["counts"]
         order = np.argsort(got["bucket"].to_numpy(), kind="stable")
         of = []
         for kind, width, at in ((_WORD, 6, own.word_order), (_PAIR, 2, own.pair_order)):
-            parts = [spread(blobs[i]).reshape(width, -1) for i in order if kinds[i] == kind]
-            counts = np.zeros((width, len(at)))
-            counts[:, at] = np.concatenate([*parts, np.zeros((width, 0), np.int64)], 1)
+            counts, done = np.zeros((width, len(at))), 0
+            for i in order[kinds[order] == kind].tolist():
+                part = spread(blobs[i].as_py()).reshape(width, -1)
+                counts[:, at[done : done + part.shape[1]]] = part
+                done += part.shape[1]
             of.append(counts)
-        word, pair = of
-        mass, follow = word[2:4, own.before], word[4:6, own.before]
-        left = np.where(mass > 0, np.maximum(discount * follow, 1e-12) / np.maximum(mass, 1), 1.0)
-        p = np.log(np.maximum(pair - discount, 0) / np.maximum(mass, 1) + left * (word[:2, own.after] + 1) / (total[:, None] + size))
+        word, p = of
+        for a in range(0, p.shape[1], _BLOCK):  # counts of pairs become the logarithms of their probabilities
+            some = slice(a, a + _BLOCK)
+            before, after = own.before[some], own.after[some]
+            mass, follow = word[2:4, before], word[4:6, before]
+            left = np.where(mass > 0, np.maximum(discount * follow, 1e-12) / np.maximum(mass, 1), 1.0)
+            p[:, some] = np.log(np.maximum(p[:, some] - discount, 0) / np.maximum(mass, 1) + left * (word[:2, after] + 1) / (total[:, None] + size))
         doc = np.repeat(np.arange(len(own.n)), own.n)
         loss = [-np.bincount(doc, x[own.pair], len(own.n)) / np.maximum(own.n, 1) for x in p]
         return pa.table([pa.chunked_array([c.flatten() for c in pack["rows"].chunks]), own.n, loss[0], loss[1], loss[0] - loss[1]], names)

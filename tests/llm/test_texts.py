@@ -5,6 +5,7 @@ import math
 import random
 import re
 import shutil
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -247,6 +248,21 @@ def test_token_cache_by_tokenizer_and_twice(spark, tmp_path, monkeypatch):
     assert counter.by_word and counter.counts(texts()) == [len(sp.encode(t)) for t in texts()] and len(counter.words) <= 8 >= len(counter.words.old)
 
 
+def test_lm_slice_in_bounded_memory():
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(1 << 20, 1 << 63, 100_000).astype("<u8"))
+    place = np.minimum(rng.zipf(1.3, 1_000_000), len(keys)) - 1
+    n = np.array([0, 400_000, 0, 600_000])
+    packed = keys.tobytes(), lm_score.squeeze(place), n.astype("<i8").tobytes(), 8, (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+    tracemalloc.start()
+    own = lm_score._Slice(*packed)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    before = np.concatenate([[len(keys)], place[:399_999], [len(keys)], place[400_000:-1]])
+    assert np.array_equal(own.before[own.pair], before) and np.array_equal(own.after[own.pair], place) and len(np.unique(own.before * (len(keys) + 1) + own.after.astype(np.int64))) == len(own.before)
+    assert most < 45 * len(place), most
+
+
 def test_lm_score_keeps_every_word_and_pair(spark, monkeypatch):
     monkeypatch.setattr(lm_score, "BUCKET", 1 << 16)
     many = " ".join(f"w{k}" for k in range(60_000))  # over 1 / 1e-5 tokens with the rest, so that single words used to go

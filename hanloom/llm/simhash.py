@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, chunks, free_name, map_arrow, slices, spread, squeeze, text_or_empty
+from .common import Workspace, chunks, free_name, map_arrow, slices, spread, squeeze, text_or_empty, trim
 from .components import connected_components
 from .hashing import mix, padded, xxh64_spans
 
@@ -312,6 +312,7 @@ def _heads(texts: DataFrame, words: int, like: float, buckets: int, common: obje
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 8 << 20):
+            trim()
             known: dict[bytes, int] = {}
             of, sizes, prints, heads = [], [], [], []
             for h, fp in zip(*_sets(b.column(1).to_pylist(), words, True), strict=True):
@@ -340,6 +341,7 @@ def _heads(texts: DataFrame, words: int, like: float, buckets: int, common: obje
 
 def _shared(key: tuple, rows: pa.Table) -> pa.Table:
     """(h, slice, node, pos) of the hashes of a bucket that stand more than once."""
+    trim()
     h = [np.frombuffer(x, np.int64) for x in rows["h"].to_pylist()]
     slice_ = np.repeat(rows["slice"].to_numpy(), list(map(len, h)))
     h, node, pos = np.concatenate(h), *(np.concatenate([spread(x) for x in rows[c].to_pylist()]) for c in ("node", "pos"))
@@ -387,6 +389,7 @@ def _wanted(keys: DataFrame, texts: DataFrame, nodes: DataFrame, ws: Workspace,
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
+            trim()
             sets = shingle_sets(b.column(0).to_pylist(), words)
             yield pa.RecordBatch.from_arrays([pa.array([_key(_digest(h)) for h in sets], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())], ["key", "hashes"])
 

@@ -23,6 +23,7 @@ BATCH = 4 << 20
 
 
 _ARROW = "spark.sql.execution.arrow.maxBytesPerBatch"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,6 +38,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """What a query inside has shuffled goes from disk as the query ends. It would else stay until the driver happens to collect its garbage."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 class Workspace:
     """Tables written to the shared folder. They cut lineage: what an executor loses is read again, not computed again. Operators remove what
     they alone have read; what a result still reads stays until ``remove``, or the end of ``temporary``."""

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Workspace, map_arrow, spread, squeeze, trim, worker_state
+from .common import Workspace, map_arrow, shuffles_removed, spread, squeeze, trim, worker_state
 from .hashing import mix
 
 #: Characters of text for each bucket of the tables, and bytes of text of a slice.
@@ -197,7 +197,8 @@ def score(docs: DataFrame, target_ids: DataFrame, ws: Workspace, id_col: str = "
 
     Texts become slices of word places. The different pairs and words of a slice go to buckets by hash, with their counts; a bucket adds
     them up and answers each slice with the sums. So what is gathered grows with the text, in buckets of bounded size, and a common
-    pair, word or context is a number a slice. Nothing of the corpus is on the driver but three sums.
+    pair, word or context is a number a slice. Nothing of the corpus is on the driver but three sums. What the steps before the last one
+    shuffle goes from disk as each ends.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
@@ -205,7 +206,11 @@ def score(docs: DataFrame, target_ids: DataFrame, ws: Workspace, id_col: str = "
     others = [c for c in docs.columns if c != text_col]
     share = max(1 / buckets, COMMON)
     counted = F.coalesce(F.col(f"`{counted_col}`"), F.lit(False)) if counted_col else F.lit(True)
+    target = ws.save(target_ids.select(F.col(target_ids.columns[0]).alias("target")).where("target is not null").distinct(), "target")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), text.alias("text"), counted.alias("counted"))
+    # Merged whatever the sizes, before texts become slices, so that slices need no second meeting with what was found of their rows.
+    rows = rows.join(target.hint("merge"), F.col("row")[id_col] == F.col("target"), "left")
+    rows = rows.select("row", "text", F.when(~F.col("counted"), 0).when(F.col("target").isNull(), 1).otherwise(2).cast("byte").alias("counted"))
 
     def packed(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
         trim()
@@ -233,23 +238,21 @@ def score(docs: DataFrame, target_ids: DataFrame, ws: Workspace, id_col: str = "
 
     names_packed = ["slice", "rows", "words", "place", "n", "counted", "common", "common_n"]
     schema = T.StructType([T.StructField(c, T.ArrayType(rows.schema["row"].dataType) if c == "rows" else T.BinaryType()) for c in names_packed])
-    packs = ws.save(rows.transform(map_arrow, pack, schema), "slices")
-    salts = _salts(packs, share, buckets)
+    with shuffles_removed(spark):
+        packs = ws.save(rows.transform(map_arrow, pack, schema), "slices")
+        salts = _salts(packs, share, buckets)
+    ws.remove("target")
 
-    target = ws.save(target_ids.select(F.col(target_ids.columns[0]).alias("target")).where("target is not null").distinct(), "target")
-    places = packs.select("slice", F.posexplode(F.transform("rows", lambda r: r[id_col])).alias("at", "id"))
-    flags = places.join(target.hint("merge"), F.col("id") == F.col("target")).groupBy(F.col("slice").alias("of")).agg(F.collect_list("at").alias("at"))
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                trim()
+                yield from asked_by(*(c[i].as_py() for c in b.columns)).to_batches()
 
-    def ask(pack: pa.Table, flag: pa.Table) -> pa.Table:
-        if not pack.num_rows:
-            return _table([], _ASKED)
-        trim()
-        (slice_,), (words,), (place,), (n,), (counted,) = (pack[c].to_pylist() for c in ("slice", "words", "place", "n", "counted"))
+    def asked_by(slice_: bytes, words: bytes, place: bytes, n: bytes, counted: bytes) -> pa.Table:
         own = _Slice(words, place, n, buckets, salts.value)
-        every = np.frombuffer(counted, np.uint8).astype(float)
-        wanted = np.zeros(len(every))
-        wanted[np.array([i for at in flag["at"].to_pylist() for i in at], np.int64)] = 1
-        (pair_t, word_t, ctx_t), (pair, word, ctx) = own.counts(every * wanted), own.counts(every)
+        kind = np.frombuffer(counted, np.uint8)
+        (pair_t, word_t, ctx_t), (pair, word, ctx) = (own.counts((kind >= k).astype(float)) for k in (2, 1))
         out = []
         bucket = own.word_bucket[own.word_order]
         for a, b in zip(*_runs(bucket), strict=True):
@@ -262,14 +265,15 @@ def score(docs: DataFrame, target_ids: DataFrame, ws: Workspace, id_col: str = "
             out.append((_PAIR, int(bucket[a]), slice_, own.words[own.before[at[start]]].tobytes(), squeeze(end - start), own.words[own.after[at]].tobytes(), squeeze(np.concatenate([pair_t[at], pair[at]]))))
         return _table(out, _ASKED)
 
-    asked = packs.select("slice", "words", "place", "n", "counted").groupBy("slice").cogroup(flags.groupBy("of")).applyInArrow(ask, _ASKED)
+    asked = packs.select("slice", "words", "place", "n", "counted").transform(map_arrow, ask, _ASKED)
 
     def answer(key: tuple, rows: pa.Table) -> pa.Table:
         trim()
         kind, bucket = (k.as_py() for k in key)
         return _table(_words_of(bucket, rows) if kind == _WORD else _pairs_of(bucket, rows, buckets), _GOT)
 
-    got = ws.save(asked.groupBy("kind", "bucket").applyInArrow(answer, _GOT), "counts")
+    with shuffles_removed(spark):
+        got = ws.save(asked.groupBy("kind", "bucket").applyInArrow(answer, _GOT), "counts")
     sums = [x or 0 for x in got.where(F.col("kind") == _SUM).agg(F.sum("n_target"), F.sum("n_all"), F.sum("n_words")).first()]
     total, size = np.array(sums[:2], float), sums[2] + 1
     words = got.where(F.col("kind").isin(_WORD, _CONTEXT)).groupBy("bucket").applyInArrow(_follow, _GOT)

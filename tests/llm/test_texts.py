@@ -5,6 +5,7 @@ import math
 import random
 import re
 import shutil
+import time
 import tracemalloc
 
 import numpy as np
@@ -263,6 +264,24 @@ def test_lm_slice_in_bounded_memory():
     assert most < 45 * len(place), most
 
 
+def test_lm_score_leaves_no_shuffles(spark):
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f.getName(): f.length() for f in (files.apply(i) for i in range(files.size())) if f.getName().startswith("shuffle_")}
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    before, made = shuffled(), []
+    for _ in range(2):  # the driver may happen to collect its garbage, hardly each time
+        out = lm_score.score(docs, docs.where("doc_id % 3 = 0").select("doc_id"), Workspace(spark, "test"))
+        for _ in range(40):
+            if (left := sum(n for name, n in shuffled().items() if name not in before)) < 10_000:
+                break
+            time.sleep(0.25)
+        made.append(left)
+    assert max(made) < 10_000 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None
+    assert out.count() == docs.count()
+
+
 def test_lm_score_keeps_every_word_and_pair(spark, monkeypatch):
     monkeypatch.setattr(lm_score, "BUCKET", 1 << 16)
     many = " ".join(f"w{k}" for k in range(60_000))  # over 1 / 1e-5 tokens with the rest, so that single words used to go
